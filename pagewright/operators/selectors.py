@@ -67,7 +67,7 @@ def _css_tests(compound: Column) -> Column:
 
 def css_selector(text: Column) -> Column:
     """Parsed selector, or null when it is outside the supported forms."""
-    parts = F.transform(F.split(F.trim(text), r"\s*,\s*(?![^\[]*\])"), F.trim)
+    parts = F.transform(F.split(F.trim(text), r"\s*,\s*(?![^\[]*\])"), lambda x: F.trim(x))
     cut = rf"(^|\s*>\s*|\s+)((?:{_NAME}|\*)?(?:#[\w\-]+|\.[\w\-]+|{_CSS_ATTR}|:nth-of-type\(\d+\))*)"
 
     def steps(part):
@@ -98,7 +98,7 @@ def _xpath_brackets(predicates: Column) -> Column:
 
 
 def xpath_selector(text: Column) -> Column:
-    parts = F.transform(F.split(F.trim(text), r"\s*\|\s*"), F.trim)
+    parts = F.transform(F.split(F.trim(text), r"\s*\|\s*"), lambda x: F.trim(x))
     cut = rf"(//?)({_NAME}|\*)((?:{_X_PRED})*)"
 
     def steps(part):
