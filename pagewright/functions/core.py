@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Large expressions are immutable plan fragments over named columns: assemble each one once per process.
+once = lru_cache(maxsize=256)
+
+
+def bind(body: Callable[..., Column], /, **columns: Column) -> Column:
+    """``body`` over several columns, each evaluated once per row however often it is used."""
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return let(packed, lambda s: body(**{n: s[n] for n in columns}))
+
+
 def is_blank(value: Column) -> Column:
     return value.isNull() | (F.length(collapse(value)) == 0)
 

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import BLANK, collapse, let, one_space
+from .core import BLANK, collapse, let, once, one_space
 
 # Marks used while a page is a flat string: a line break and a chunk boundary.
 BREAK, EDGE = "\u0001", "\u0002"
@@ -107,6 +107,21 @@ def page_text(markup: Column) -> Column:
 strip_tags = page_text
 
 
+@once
+def lines_of(markup: str) -> Column:
+    return text_lines(F.col(markup))
+
+
+@once
+def title_of(markup: str) -> Column:
+    return page_title(F.col(markup))
+
+
+@once
+def headings_of(markup: str) -> Column:
+    return page_headings(F.col(markup))
+
+
 def _chunks_after(markup: Column, tag_pattern: str) -> Column:
     """Text chunks whose latest start tag matches; a comment ends a chunk, an element ends the run."""
     flat = F.regexp_replace(F.coalesce(markup, F.lit("")), f"[{BREAK}{EDGE}]", " ")

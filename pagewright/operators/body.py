@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import compact, let, reason
+from ..functions.core import bind, compact, let, once, reason
 from .dom import ancestors_any, identity, node_path
 from .noise import CONTENT_RE, NOISE_RE, NOISE_TAGS, blocks_in_scope, is_noise, noise_depth
 
@@ -173,4 +173,9 @@ def _selection(accepted, text, regions, coverage, blocks, continuity, noise, fou
 
 def select_body(trees: DataFrame) -> DataFrame:
     """Add the ``body`` struct."""
-    return trees.withColumn("body", body_of(F.col("nodes"), F.col("tokens")))
+    return trees.withColumn("body", _body_column())
+
+
+@once
+def _body_column() -> Column:
+    return bind(body_of, nodes=F.col("nodes"), tokens=F.col("tokens"))

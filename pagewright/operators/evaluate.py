@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let
+from ..functions.core import bind, let
 from .extract import effective, record_map
 from .specs import rules_signature
 from .verify import matches_type
@@ -95,18 +95,21 @@ def to_records(extracted: DataFrame, gold: DataFrame, key: str = "page_id") -> D
 
 def tally(records: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
     """Per-record counts that add up to every metric."""
-    gold = F.map_entries("gold")
-    required = F.array_distinct("required")
+    names = ("predicted", "gold", "required", "fields", "confidence", "field_confidences", "annotations")
+    counts = bind(lambda **r: _counts(threshold, **r), **{n: F.col(n) for n in names})
+    return records.withColumn("_t", counts).select("*", "_t.*").drop("_t")
 
+
+def _counts(threshold, predicted, gold, required, fields, confidence, field_confidences, annotations) -> Column:
     def got(name):
-        return F.try_element_at(F.col("predicted"), name)
+        return F.try_element_at(predicted, name)
 
     def empty(name):
         return F.coalesce(got(name), F.lit("")) == ""
 
     def sure(name):
-        own = F.when(F.map_contains_key("field_confidences", name), F.element_at("field_confidences", name)) \
-            .otherwise(F.col("confidence"))
+        own = F.when(F.map_contains_key(field_confidences, name), F.try_element_at(field_confidences, name)) \
+            .otherwise(confidence)
         return F.coalesce(own >= threshold, F.lit(False))
 
     def count(items, test):
@@ -115,28 +118,27 @@ def tally(records: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFr
     def right(e):
         return got(e["key"]).eqNullSafe(e["value"])
 
-    confidences = F.coalesce(F.map_values("field_confidences"), F.array().cast("array<double>"))
-    listed = F.when(F.size(confidences) > 0, confidences).otherwise(F.array_compact(F.array("confidence")))
-    declared = F.transform("fields", lambda f: f["name"])
-    adherence = F.size(F.array_except(F.map_keys("predicted"), declared)) == 0
-    complete = F.forall(required, lambda n: ~empty(n) & (got(n) != "[]"))
-    return records.select(
-        "*",
-        F.size(gold).cast("bigint").alias("_gold"),
-        count(gold, right).alias("_correct"),
-        F.size(required).cast("bigint").alias("_required"),
-        count(required, empty).alias("_required_missing"),
-        count(gold, lambda e: sure(e["key"]) & ~empty(e["key"])).alias("_accepted"),
-        count(gold, lambda e: sure(e["key"]) & right(e)).alias("_accepted_correct"),
+    labels, needed = F.map_entries(gold), F.array_distinct(required)
+    confidences = F.coalesce(F.map_values(field_confidences), F.array().cast("array<double>"))
+    listed = F.when(F.size(confidences) > 0, confidences).otherwise(F.array_compact(F.array(confidence)))
+    declared = F.transform(fields, lambda f: f["name"])
+    adherence = F.size(F.array_except(F.map_keys(predicted), declared)) == 0
+    complete = F.forall(needed, lambda n: ~empty(n) & (got(n) != "[]"))
+    annotated = annotations.isNotNull()
+    return F.struct(
+        F.size(labels).cast("bigint").alias("_gold"), count(labels, right).alias("_correct"),
+        F.size(needed).cast("bigint").alias("_required"), count(needed, empty).alias("_required_missing"),
+        count(labels, lambda e: sure(e["key"]) & ~empty(e["key"])).alias("_accepted"),
+        count(labels, lambda e: sure(e["key"]) & right(e)).alias("_accepted_correct"),
         F.aggregate(listed, F.lit(0.0), lambda acc, c: acc + c).alias("_confidence_sum"),
         F.size(listed).cast("bigint").alias("_confidences"),
-        (F.lit(2) + F.size("fields")).cast("bigint").alias("_checks"),
+        (F.lit(2) + F.size(fields)).cast("bigint").alias("_checks"),
         (adherence.cast("bigint") + complete.cast("bigint")
-         + count("fields", lambda f: matches_type(got(f["name"]), f["type"]))).alias("_checks_passed"),
-        F.col("annotations").isNotNull().alias("_annotated"),
-        F.when(F.col("annotations").isNotNull(), count(F.map_values("annotations"), lambda v: v))
-        .otherwise(F.lit(0)).cast("bigint").alias("_evidence_right"),
-        F.coalesce(F.size("annotations"), F.lit(0)).cast("bigint").alias("_annotation_count"))
+         + count(fields, lambda f: matches_type(got(f["name"]), f["type"]))).alias("_checks_passed"),
+        annotated.alias("_annotated"),
+        F.when(annotated, count(F.map_values(annotations), lambda v: v)).otherwise(F.lit(0))
+        .cast("bigint").alias("_evidence_right"),
+        F.when(annotated, F.size(annotations)).otherwise(F.lit(0)).cast("bigint").alias("_annotation_count"))
 
 
 def score_methods(records: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import BLANK, collapse, let, present
+from ..functions.core import BLANK, bind, collapse, let, once, present
 from ..functions.text import locate, normalize_date, snippet
-from .selectors import matches, outcome, parse_selector
+from .selectors import SELECTOR_TYPE, matches, outcome, parse_selector
 from .skew import attach
 from .specs import POSTPROCESS, STRATEGIES, java_pattern
 
@@ -40,25 +40,46 @@ def _miss(error: Column | None = None) -> Column:
                     F.lit(None).cast(EVIDENCE_TYPE).alias("evidence"), text.alias("error")).cast(_HIT_TYPE)
 
 
-def near_label(lines: Column, text: Column, label: Column, labels: Column) -> Column:
-    """Value behind ``label：`` on the first matching line; longer labels win, then by text."""
+COMPILED_TYPE = ("struct<field_name:string,strategy:string,enabled:boolean,selector:string,attribute:string,"
+                 f"postprocess:array<string>,steps:{SELECTOR_TYPE},pattern:string,has_group:boolean,"
+                 "labels:array<string>>")
+
+
+def compile_rules(rules: Column) -> Column:
+    """Everything about a rule that does not depend on the page, worked out once per program."""
+    def one(r):
+        full = F.concat(F.lit("(?imUd)"), java_pattern(F.nullif(r["pattern"], F.lit(""))))
+        return F.struct(
+            r["field_name"], r["strategy"], r["enabled"], r["selector"], r["attribute"], r["postprocess"],
+            parse_selector(r["strategy"], r["selector"]).alias("steps"),
+            F.when(r["strategy"] == "regex_on_text", full).alias("pattern"),
+            has_group(r["pattern"]).alias("has_group"),
+            ranked_labels(r["label"], r["labels"]).alias("labels")).cast(COMPILED_TYPE)
+
+    return F.transform(rules, one)
+
+
+def ranked_labels(label: Column, labels: Column) -> Column:
+    """Distinct non-empty labels, longest first, then by text."""
     given = F.array_distinct(F.filter(
         F.concat(F.array(label), F.coalesce(labels, F.array().cast("array<string>"))),
         lambda x: F.coalesce(x, F.lit("")) != ""))
-    ranked = F.array_sort(F.transform(given, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    return F.array_sort(F.transform(given, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"]
 
+
+def near_label(lines: Column, text: Column, labels: Column) -> Column:
+    """Value behind ``label：`` on the first matching line; ``labels`` in order of preference."""
     def value_after(line, x):
         rest = F.substring(line, F.length(x) + 1, F.length(line))
         return F.when(line.startswith(x), collapse(F.regexp_extract(
             rest, rf"^{BLANK}*[：:\-]{BLANK}*(.+)$", 1)))
 
-    def first_on(line, known):
-        tried = F.transform(known, lambda k: value_after(line, k["x"]))
-        return F.get(F.filter(tried, present), F.lit(0))
+    def first_on(line):
+        return F.get(F.filter(F.transform(labels, lambda x: value_after(line, x)), present), F.lit(0))
 
-    def found(known):
-        return F.filter(F.transform(lines, lambda line: F.struct(
-            line.alias("line"), first_on(line, known).alias("value"))), lambda h: h["value"].isNotNull())
+    named = F.filter(lines, lambda line: F.exists(labels, lambda x: line.startswith(x)))
+    hits = F.filter(F.transform(named, lambda line: F.struct(
+        line.alias("line"), first_on(line).alias("value"))), lambda h: h["value"].isNotNull())
 
     def report(h):
         start = F.greatest(F.instr(text, h["line"]) - 1, F.lit(0))
@@ -67,28 +88,24 @@ def near_label(lines: Column, text: Column, label: Column, labels: Column) -> Co
             h["value"], F.lit("text_near_label"), snippet(text, start, end), start, end,
             F.lit(SCORE["text_near_label"])))
 
-    return let(let(ranked, lambda known: F.get(found(known), F.lit(0))), report)
+    return let(F.get(hits, F.lit(0)), report)
 
 
 def has_group(pattern: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[[^\]]*\]", "")
-    return plain.rlike(r"\((?!\?)|\(\?P?<[A-Za-z]")
+    return F.coalesce(plain.rlike(r"\((?!\?)|\(\?P?<[A-Za-z]"), F.lit(False))
 
 
-def by_pattern(text: Column, pattern: Column) -> Column:
+def by_pattern(text: Column, pattern: Column, grouped: Column) -> Column:
     """First match, case-insensitive, multi-line; group 1 if the pattern has groups."""
-    def run(p):
-        start = F.call_function("regexp_instr", text, p) - 1
-        whole = F.call_function("regexp_extract", text, p, F.lit(0))
-        value = F.when(has_group(p), F.call_function(
-            "regexp_extract", text, p, F.when(has_group(p), 1).otherwise(0))).otherwise(whole)
-        return let(F.struct(start.alias("at"), F.length(whole).alias("n"), value.alias("v")), lambda m: F.when(
-            m["at"] >= 0, _hit(collapse(m["v"]), F.lit("regex_on_text"),
-                               snippet(text, m["at"], m["at"] + m["n"]), m["at"], m["at"] + m["n"],
-                               F.lit(SCORE["regex_on_text"]))).otherwise(_miss()))
-
-    full = F.concat(F.lit("(?imUd)"), java_pattern(pattern))
-    return F.when(F.coalesce(pattern, F.lit("")) == "", _miss()).otherwise(let(full, run))
+    start = F.call_function("regexp_instr", text, pattern) - 1
+    whole = F.call_function("regexp_extract", text, pattern, F.lit(0))
+    value = F.call_function("regexp_extract", text, pattern, grouped.cast("int"))
+    found = let(F.struct(start.alias("at"), F.length(whole).alias("n"), value.alias("v")), lambda m: F.when(
+        m["at"] >= 0, _hit(collapse(m["v"]), F.lit("regex_on_text"),
+                           snippet(text, m["at"], m["at"] + m["n"]), m["at"], m["at"] + m["n"],
+                           F.lit(SCORE["regex_on_text"]))).otherwise(_miss()))
+    return F.when(pattern.isNull(), _miss()).otherwise(found)
 
 
 def by_selector(rule: Column, nodes: Column, tokens: Column, text: Column) -> Column:
@@ -104,8 +121,7 @@ def by_selector(rule: Column, nodes: Column, tokens: Column, text: Column) -> Co
             .when(state.isin("invalid_selector", "ambiguous_matches"), _miss(fail)).otherwise(_miss())
 
     return F.when(F.coalesce(rule["selector"], F.lit("")) == "", _miss()).otherwise(
-        let(matches(nodes, tokens, parse_selector(rule["strategy"], rule["selector"]),
-                    rule["attribute"]), judge))
+        let(matches(nodes, tokens, rule["steps"], rule["attribute"]), judge))
 
 
 def postprocess(value: Column, steps: Column) -> Column:
@@ -127,11 +143,11 @@ def confidence(strategy: Column, value: Column, score: Column) -> Column:
 
 
 def run_rule(rule: Column, page: dict[str, Column]) -> Column:
-    """STRUCT<value, evidence, error> of one rule on one page."""
+    """STRUCT<value, evidence, error> of one compiled rule on one page."""
     strategy = rule["strategy"]
     branch = F.when(strategy == "text_near_label", near_label(
-        page["lines"], page["text"], rule["label"], rule["labels"])) \
-        .when(strategy == "regex_on_text", by_pattern(page["text"], rule["pattern"]))
+        page["lines"], page["text"], rule["labels"])) \
+        .when(strategy == "regex_on_text", by_pattern(page["text"], rule["pattern"], rule["has_group"]))
     if "nodes" in page:
         branch = branch.when(strategy.isin("css", "xpath"), by_selector(
             rule, page["nodes"], page["tokens"], page["text"]))
@@ -182,26 +198,48 @@ def run_field(field: Column, position: Column, rules: Column, page: dict[str, Co
 
 
 def overall_confidence(results: Column) -> Column:
+    return let(results, _mean_of_found)
+
+
+def _mean_of_found(results: Column) -> Column:
     total = F.aggregate(results, F.lit(0.0), lambda acc, r: acc + F.when(
         r["status"] != "missing", r["confidence"]).otherwise(0.0))
     return F.when(F.size(results) > 0, F.round(total / F.size(results), 4)).otherwise(0.0)
 
 
+_VIEWS = ("text", "lines", "nodes", "tokens", "answers")
+
+
+@once
+def _results(views: tuple[str, ...], compiled: bool, method: str | None, allow_model: bool) -> Column:
+    def run(fields, rules, **view):
+        return F.transform(fields, lambda f, i: run_field(f, i, rules, view, allow_model))
+
+    rules = F.col("compiled") if compiled else compile_rules(F.col("rules"))
+    if method == "rules only":
+        rules = F.filter(rules, lambda r: r["strategy"] != "llm_fallback")
+    return bind(run, fields=F.col("fields"), rules=rules, **{v: F.col(v) for v in views})
+
+
+def results_of(pages: DataFrame, allow_model: bool = False, rules_only: bool = False) -> Column:
+    """``results`` for pages holding fields, rules (or compiled rules) and the views rules need."""
+    views = tuple(n for n in _VIEWS if n in pages.columns)
+    return _results(views, "compiled" in pages.columns, "rules only" if rules_only else None, allow_model)
+
+
 def extract_fields(pages: DataFrame, allow_model: bool = False) -> DataFrame:
     """Add ``results`` (one struct per schema field) and ``overall_confidence``.
 
     Needs text, lines, fields and rules; nodes and tokens for DOM rules; answers for the model.
     """
-    names = ("text", "lines", "nodes", "tokens", "answers")
-    page = {n: F.col(n) for n in names if n in pages.columns}
-    results = F.transform("fields", lambda f, i: run_field(f, i, F.col("rules"), page, allow_model))
-    return pages.withColumn("results", results) \
+    return pages.withColumn("results", results_of(pages, allow_model)) \
         .withColumn("overall_confidence", overall_confidence(F.col("results")))
 
 
 def with_programs(pages: DataFrame, programs: DataFrame, on: str = "schema_id") -> DataFrame:
-    """Bring each page its schema's fields and rules."""
-    return attach(pages, programs, on, how="inner")
+    """Bring each page its schema's fields and compiled rules."""
+    ready = programs.select(on, "fields", compile_rules(F.col("rules")).alias("compiled"))
+    return attach(pages, ready, on, how="inner")
 
 
 def field_results(extracted: DataFrame, *keys: str) -> DataFrame:
@@ -230,3 +268,18 @@ def evidence_rows(extracted: DataFrame, *keys: str) -> DataFrame:
     rows = extracted.select(*keys, F.explode("results").alias("r"))
     return rows.select(*keys, "r.field_pos", "r.field_name", F.posexplode("r.evidence").alias("evidence_no", "e")) \
         .select(*keys, "field_pos", "field_name", "evidence_no", "e.*")
+
+
+def model_results(fields: Column, answers: Column) -> Column:
+    """Results of asking a model for every field, without any program."""
+    def one(f, i, answers):
+        answer = F.get(F.filter(answers, lambda a: a["field_name"] == f["name"]), F.lit(0))
+        return let(answer, lambda a: F.struct(
+            i.cast("int").alias("field_pos"), f["name"].alias("field_name"), a["value"].alias("value"),
+            a["value"].alias("normalized_value"), F.coalesce(a["evidence"]["score"], F.lit(0.0)).alias("confidence"),
+            F.array_compact(F.array(a["evidence"])).alias("evidence"), F.lit("llm_fallback").alias("strategy"),
+            F.when(F.coalesce(a["value"], F.lit("")) != "", "extracted").otherwise("missing").alias("status"),
+            a["error"].alias("error_message")).cast(RESULT_TYPE))
+
+    return bind(lambda fields, answers: F.transform(fields, lambda f, i: one(f, i, answers)),
+                fields=fields, answers=answers)

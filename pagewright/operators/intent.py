@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import compact, let, reason
+from ..functions.core import bind, compact, let, once, reason
 from .dom import ancestors_any, identity
 from .noise import NOISE_TAGS, blocks_in_page, noise_depth
 
@@ -120,8 +120,12 @@ def intent_of(nodes: Column, tokens: Column, requested: Column) -> Column:
 def assess_intent(trees: DataFrame, requested: str | None = None) -> DataFrame:
     """Add the ``intent`` struct; ``requested='auto'`` means no request."""
     wanted = None if requested == "auto" else requested
-    return trees.withColumn("intent", intent_of(
-        F.col("nodes"), F.col("tokens"), F.lit(wanted).cast("string")))
+    return trees.withColumn("intent", _intent_column(wanted))
+
+
+@once
+def _intent_column(requested: str | None) -> Column:
+    return bind(intent_of, nodes=F.col("nodes"), tokens=F.col("tokens"), requested=F.lit(requested).cast("string"))
 
 
 def passing_gate(assessed: DataFrame) -> DataFrame:

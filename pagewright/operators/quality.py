@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let
+from ..functions.core import bind, let
 from .selectors import DOCUMENT_TAGS, matches, outcome, parse_selector
 from .specs import RULE_TYPE, _rule, _strings, is_body_field
 
@@ -29,6 +29,10 @@ def rule_reason(rule: Column, nodes: Column, tokens: Column, body: Column) -> Co
 
 def check_rules(rules: Column, nodes: Column, tokens: Column, body: Column) -> Column:
     """STRUCT<rules, diagnostics>. Disabled and text rules pass unchecked."""
+    return bind(_check_rules, rules=rules, nodes=nodes, tokens=tokens, body=body)
+
+
+def _check_rules(rules: Column, nodes: Column, tokens: Column, body: Column) -> Column:
     def check(r):
         nothing = F.lit(None).cast("struct<reason:string,match_count:int>")
         state = F.when(r["strategy"].isin("css", "xpath") & r["enabled"],
@@ -48,6 +52,10 @@ def check_rules(rules: Column, nodes: Column, tokens: Column, body: Column) -> C
 
 def add_body_rules(rules: Column, fields: Column, body: Column) -> Column:
     """CSS rules from the accepted body regions for body-like fields without a DOM rule."""
+    return bind(_add_body_rules, rules=rules, fields=fields, body=body)
+
+
+def _add_body_rules(rules: Column, fields: Column, body: Column) -> Column:
     steps = _strings("strip", "normalize_whitespace")
 
     def for_field(f):

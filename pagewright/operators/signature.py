@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import compact, let, reason
+from ..functions.core import bind, compact, let, reason
 from .noise import BLOCKS
 from .skew import attach
 
@@ -30,19 +30,18 @@ EXACT = (
 )
 
 
-def signature_of(nodes: Column, intent: Column, body: Column, match_counts: Column | None = None) -> Column:
+def signature_of(nodes: Column, intent: Column, body: Column, match_counts: Column) -> Column:
     titles = F.filter(nodes, lambda n: n["tag"].isin("h1", "h2", "h3") & (n["chars"] > 0))["tag"]
     regions = F.filter(nodes, lambda n: n["tag"].isin("main", "article")
                        | (F.coalesce(n["attrs"]["role"], F.lit("")) == "main"))["tag"]
     blocks = F.filter(nodes, lambda n: n["tag"].isin(*BLOCKS) & (n["chars"] > 0))
-    counts = F.create_map().cast("map<string,int>") if match_counts is None else match_counts
     return F.struct(
         F.lit(SIGNATURE_VERSION).alias("signature_version"), intent["intent"].alias("page_intent"),
         F.slice(titles, 1, 8).alias("title_shape"),
         F.slice(F.array_distinct(regions), 1, 8).alias("content_shape"),
         F.size(titles).alias("heading_count"), F.size(blocks).alias("text_block_count"),
         intent["repeated_item_ratio"].alias("repeated_item_ratio"),
-        counts.alias("selector_match_counts"),
+        match_counts.alias("selector_match_counts"),
         body["visible_text_coverage"].alias("body_visible_text_coverage"),
         body["continuity_score"].alias("body_continuity_score"),
         body["noise_ratio"].alias("body_noise_ratio"),
@@ -51,8 +50,9 @@ def signature_of(nodes: Column, intent: Column, body: Column, match_counts: Colu
 
 def page_signatures(assessed: DataFrame, match_counts: Column | None = None) -> DataFrame:
     """Add ``structure`` to a frame holding ``nodes``, ``intent`` and ``body``."""
-    return assessed.withColumn("structure", signature_of(
-        F.col("nodes"), F.col("intent"), F.col("body"), match_counts))
+    counts = F.create_map().cast("map<string,int>") if match_counts is None else match_counts
+    return assessed.withColumn("structure", bind(
+        signature_of, nodes=F.col("nodes"), intent=F.col("intent"), body=F.col("body"), match_counts=counts))
 
 
 def compare(expected: Column, actual: Column, strict: bool = False) -> Column:
@@ -60,6 +60,10 @@ def compare(expected: Column, actual: Column, strict: bool = False) -> Column:
 
     A missing selector count does not by itself make two pages incompatible; ``strict`` makes it.
     """
+    return bind(lambda expected, actual: _compare(expected, actual, strict), expected=expected, actual=actual)
+
+
+def _compare(expected: Column, actual: Column, strict: bool) -> Column:
     reasons = [reason(~expected[name].eqNullSafe(actual[name]), text) for name, text in EXACT]
     unknown = F.lit(False)
     for name, tolerance, text in TOLERANCES:

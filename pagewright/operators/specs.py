@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import compact, let, reason
+from ..functions.core import bind, compact, let, reason
 from ..functions.text import field_identifier, label_list, optional_text, safe_text, safe_text_list, strip
 from ..functions.web import signature
 from .skew import with_position
@@ -74,8 +74,8 @@ def schema_errors(fields: Column) -> Column:
 
 
 def duplicate_names(fields: Column) -> Column:
-    names = fields["name"]
-    return F.array_distinct(F.filter(names, lambda n, i: F.array_position(names, n) != i + 1))
+    return let(fields["name"], lambda names: F.array_distinct(
+        F.filter(names, lambda n, i: F.array_position(names, n) != i + 1)))
 
 
 def validate_schemas(schemas: DataFrame) -> DataFrame:
@@ -296,7 +296,8 @@ def field_type_map(fields: Column) -> Column:
 
 def clean_rules(rules: Column, fields: Column) -> Column:
     """STRUCT<rules, issues> for one program; issues are distinct in order of appearance."""
-    checked = let(field_type_map(fields), lambda types: F.transform(rules, lambda r: clean_rule(r, types)))
+    checked = bind(lambda rules, types: F.transform(rules, lambda r: clean_rule(r, types)),
+                   rules=rules, types=field_type_map(fields))
     return let(checked, lambda c: F.struct(
         F.filter(c["rule"], lambda r: r.isNotNull()).alias("rules"),
         F.array_distinct(F.filter(c["issue"], lambda i: i.isNotNull())).alias("issues")))
@@ -338,6 +339,10 @@ def _same_rule(rule: Column) -> Column:
 
 def merge_rules(preferred: Column, fallback: Column, field_names: Column) -> Column:
     """Per field in schema order: preferred rules, then fallback ones, first of equals kept."""
+    return bind(_merge_rules, preferred=preferred, fallback=fallback, field_names=field_names)
+
+
+def _merge_rules(preferred: Column, fallback: Column, field_names: Column) -> Column:
     by_field = F.flatten(F.transform(field_names, lambda n: F.filter(
         F.concat(preferred, fallback), lambda r: r["field_name"] == n)))
     return let(by_field, lambda rules: let(F.transform(rules, _same_rule), lambda ids: F.filter(

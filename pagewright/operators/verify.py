@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import collapse, let
+from ..functions.core import bind, collapse, let, once
 from ..functions.text import normalize_date, strip
 from .extract import RESULT_TYPE, effective
 
@@ -110,6 +110,10 @@ def _date_confusion(results: Column) -> Column:
 
 
 def issues_of(fields: Column, results: Column) -> Column:
+    return bind(_issues, fields=fields, results=results)
+
+
+def _issues(fields: Column, results: Column) -> Column:
     per_field = F.flatten(F.transform(fields, lambda f: let(
         F.get(F.filter(results, lambda r: r["field_name"] == f["name"]), F.lit(0)),
         lambda r: _field_issues(f, r))))
@@ -117,18 +121,25 @@ def issues_of(fields: Column, results: Column) -> Column:
 
 
 def report_of(issues: Column) -> Column:
-    def count(severity):
-        return F.size(F.filter(issues, lambda i: i["severity"] == severity))
+    def count(items, severity):
+        return F.size(F.filter(items, lambda i: i["severity"] == severity))
+
+    def both(items):
+        return F.struct(count(items, "error").alias("e"), count(items, "warning").alias("w"))
 
-    return let(F.struct(count("error").alias("e"), count("warning").alias("w")), lambda n: F.struct(
+    return let(let(issues, both), lambda n: F.struct(
         (n["e"] == 0).alias("passed"), n["e"].alias("error_count"), n["w"].alias("warning_count"),
         F.round(F.greatest(F.lit(0.0), 1.0 - n["e"] * ERROR_COST - n["w"] * WARNING_COST), 4).alias("score")))
 
 
 def verify(records: DataFrame) -> DataFrame:
     """Add ``issues`` and ``report``; a record without issues scores 1."""
-    return records.withColumn("issues", issues_of(F.col("fields"), F.col("results"))) \
-        .withColumn("report", report_of(F.col("issues")))
+    return records.withColumn("issues", _issues_column()).withColumn("report", report_of(F.col("issues")))
+
+
+@once
+def _issues_column() -> Column:
+    return issues_of(F.col("fields"), F.col("results"))
 
 
 def issue_rows(verified: DataFrame, *keys: str) -> DataFrame:
@@ -143,6 +154,10 @@ def report_rows(verified: DataFrame, *keys: str) -> DataFrame:
 
 def model_fields(fields: Column, results: Column, issues: Column) -> Column:
     """ARRAY<STRUCT<field_name, reason>>: where a model's answer is worth asking for."""
+    return bind(_model_fields, fields=fields, results=results, issues=issues)
+
+
+def _model_fields(fields: Column, results: Column, issues: Column) -> Column:
     def decide(f):
         result = F.get(F.filter(results, lambda r: r["field_name"] == f["name"]), F.lit(0))
 
@@ -162,7 +177,12 @@ def model_fields(fields: Column, results: Column, issues: Column) -> Column:
 
 
 def decide_fallback(verified: DataFrame) -> DataFrame:
-    return verified.withColumn("fallback", model_fields(F.col("fields"), F.col("results"), F.col("issues")))
+    return verified.withColumn("fallback", _fallback_column())
+
+
+@once
+def _fallback_column() -> Column:
+    return model_fields(F.col("fields"), F.col("results"), F.col("issues"))
 
 
 def repair(decided: DataFrame, attempts: Column | None = None) -> DataFrame:
@@ -172,81 +192,103 @@ def repair(decided: DataFrame, attempts: Column | None = None) -> DataFrame:
     overall_confidence, issues and report. A missing answer counts as an abstention.
     """
     tried = F.lit(0) if attempts is None else attempts
-    active = (F.size("fallback") > 0) & (tried < 1)
+    step = decided.withColumn("_tried", tried).withColumn("_r", _repair_column()).drop("_tried")
+    for name in ("repair_outcomes", "overall_confidence", "results", "issues", "report", "repair_status",
+                 "repair_attempts"):
+        step = step.withColumn(name, F.col("_r")[name])
+    return step.drop("_r")
+
+
+@once
+def _repair_column() -> Column:
+    return bind(_repair, fields=F.col("fields"), results=F.col("results"), fallback=F.col("fallback"),
+                answers=F.col("answers"), overall=F.col("overall_confidence"), tried=F.col("_tried"))
 
-    def rework(r):
-        flag = F.get(F.filter("fallback", lambda d: d["field_name"] == r["field_name"]), F.lit(0))
-        answer = F.get(F.filter("answers", lambda a: a["field_name"] == r["field_name"]), F.lit(0))
-        kind = F.get(F.filter("fields", lambda f: f["name"] == r["field_name"]), F.lit(0))["type"]
 
-        def failed(message):
-            return F.struct(*[r[k] for k in ("field_pos", "field_name", "value", "normalized_value", "confidence",
-                                             "evidence", "strategy")],
-                            F.lit("fallback_failed").alias("status"), message.alias("error_message")) \
-                .cast(RESULT_TYPE)
+def _repair(fields, results, fallback, answers, overall, tried) -> Column:
+    active = (F.size(fallback) > 0) & (tried < 1)
+
+    def named(items, name):
+        return F.get(F.filter(items, lambda x: x["field_name"] == name), F.lit(0))
+
+    def failed(r, message):
+        kept = [r[k] for k in ("field_pos", "field_name", "value", "normalized_value", "confidence", "evidence",
+                               "strategy")]
+        return F.struct(*kept, F.lit("fallback_failed").alias("status"), message.alias("error_message")) \
+            .cast(RESULT_TYPE)
+
+    def rework(r):
+        kind = F.get(F.filter(fields, lambda f: f["name"] == r["field_name"]), F.lit(0))["type"]
 
         def apply(x):
-            value = F.when(x["kind"] == "date", normalize_date(x["a"]["value"])).otherwise(x["a"]["value"])
+            given = x["a"]["value"]
+            value = F.when(x["kind"] == "date", normalize_date(given)).otherwise(given)
             fixed = F.struct(
-                r["field_pos"], r["field_name"], x["a"]["value"].alias("value"), value.alias("normalized_value"),
+                r["field_pos"], r["field_name"], given.alias("value"), value.alias("normalized_value"),
                 F.lit(REPAIR_CONFIDENCE).alias("confidence"), F.array(x["a"]["evidence"]).alias("evidence"),
                 F.lit("llm_fallback").alias("strategy"), F.lit("repaired").alias("status"),
                 F.lit(None).cast("string").alias("error_message")).cast(RESULT_TYPE)
-            given = (F.coalesce(x["a"]["value"], F.lit("")) != "") & x["a"]["evidence"].isNotNull()
-            return F.when(x["d"].isNull(), r).when(x["a"]["error"].isNotNull(), failed(x["a"]["error"])) \
-                .when(given, fixed).otherwise(failed(F.concat(
+            usable = (F.coalesce(given, F.lit("")) != "") & x["a"]["evidence"].isNotNull()
+            return F.when(x["d"].isNull(), r).when(x["a"]["error"].isNotNull(), failed(r, x["a"]["error"])) \
+                .when(usable, fixed).otherwise(failed(r, F.concat(
                     F.lit("LLM fallback abstained: "), x["d"]["reason"])))
 
-        return let(F.struct(flag.alias("d"), answer.alias("a"), kind.alias("kind")), apply)
+        return let(F.struct(named(fallback, r["field_name"]).alias("d"), named(answers, r["field_name"]).alias("a"),
+                            kind.alias("kind")), apply)
 
     def outcome(old, new):
         state = F.when(new["status"] == "repaired", "repaired").when(
             new["error_message"].startswith("LLM fallback abstained: "), "abstained").otherwise("failed")
         return F.struct(
             old["field_name"].alias("field_name"), effective(old).alias("before"), effective(new).alias("after"),
-            F.get(F.filter("fallback", lambda d: d["field_name"] == old["field_name"]), F.lit(0))["reason"]
-            .alias("reason"), state.alias("result"))
-
-    def mean(results):
-        total = F.aggregate(results, F.lit(0.0), lambda acc, r: acc + r["confidence"])
-        return F.when(F.size(results) > 0, F.round(total / F.size(results), 4)).otherwise(0.0)
-
-    names = F.col("fallback")["field_name"]
-    step = decided.withColumn("_active", active) \
-        .withColumn("_new", F.when(F.col("_active"), F.transform("results", rework)).otherwise(F.col("results"))) \
-        .withColumn("_new_issues", issues_of(F.col("fields"), F.col("_new")))
-    raw = F.filter(F.zip_with("results", "_new", outcome), lambda o: F.array_contains(names, o["field_name"]))
-    open_fields = F.col("_new_issues")["field_name"]
-    outcomes = F.transform(raw, lambda o: F.struct(
-        o["field_name"], o["before"], o["after"], o["reason"], o["result"],
-        ((o["result"] == "repaired") & ~F.array_contains(open_fields, o["field_name"])).alias("verified")))
-    return step.withColumn("repair_outcomes", F.when(F.col("_active"), outcomes).otherwise(F.slice(outcomes, 1, 0))) \
-        .withColumn("overall_confidence", F.when(F.col("_active"), mean(F.col("_new"))).otherwise(
-            F.col("overall_confidence"))) \
-        .withColumn("results", F.col("_new")).withColumn("issues", F.col("_new_issues")) \
-        .withColumn("report", report_of(F.col("issues"))) \
-        .withColumn("repair_status", F.when(F.col("_active"), "repaired").otherwise("repair_skipped")) \
-        .withColumn("repair_attempts", tried + F.col("_active").cast("int")) \
-        .drop("_active", "_new", "_new_issues")
+            named(fallback, old["field_name"])["reason"].alias("reason"), state.alias("result"))
+
+    def mean(items):
+        total = F.aggregate(items, F.lit(0.0), lambda acc, r: acc + r["confidence"])
+        return F.when(F.size(items) > 0, F.round(total / F.size(items), 4)).otherwise(0.0)
+
+    def finish(new):
+        return let(F.struct(new.alias("r"), issues_of(fields, new).alias("i")), report)
+
+    def report(x):
+        asked = let(fallback["field_name"], lambda names: F.filter(
+            F.zip_with(results, x["r"], outcome), lambda o: F.array_contains(names, o["field_name"])))
+        checked = let(x["i"]["field_name"], lambda open_: F.transform(asked, lambda o: F.struct(
+            o["field_name"], o["before"], o["after"], o["reason"], o["result"],
+            ((o["result"] == "repaired") & ~F.array_contains(open_, o["field_name"])).alias("verified"))))
+        return F.struct(
+            F.when(active, checked).otherwise(F.slice(checked, 1, 0)).alias("repair_outcomes"),
+            F.when(active, mean(x["r"])).otherwise(overall).alias("overall_confidence"),
+            x["r"].alias("results"), x["i"].alias("issues"), report_of(x["i"]).alias("report"),
+            F.when(active, "repaired").otherwise("repair_skipped").alias("repair_status"),
+            (tried + active.cast("int")).alias("repair_attempts"))
+
+    return let(F.when(active, F.transform(results, rework)).otherwise(results), finish)
 
 
 # -- rule checks before publication ----------------------------------------------------------
 
 def check_expected(verified: DataFrame, expected: str = "expected_values") -> DataFrame:
     """Confirmed values (MAP) must be reproduced; any error caps the score at one half."""
-    def test(e):
-        got = F.get(F.filter("results", lambda r: r["field_name"] == e["key"]), F.lit(0))
+    def test(e, results):
+        got = F.get(F.filter(results, lambda r: r["field_name"] == e["key"]), F.lit(0))
         return F.when(collapse(effective(got)) != collapse(e["value"]), _issue(
             e["key"], "guidance_mismatch", "error", "当前规则不能重现已确认的字段值，请重新协作此字段。"))
 
-    mismatch = F.array_compact(F.transform(F.map_entries(expected), test))
-    extra = verified.withColumn("_base", F.col("report.score")) \
-        .withColumn("issues", F.concat("issues", F.coalesce(mismatch, F.array().cast(f"array<{ISSUE_TYPE}>"))))
-    errors = F.size(F.filter("issues", lambda i: i["severity"] == "error"))
-    return extra.withColumn("report", F.struct(
-        (errors == 0).alias("passed"), errors.alias("error_count"),
-        F.size(F.filter("issues", lambda i: i["severity"] == "warning")).alias("warning_count"),
-        F.when(errors > 0, F.least("_base", F.lit(0.5))).otherwise(F.col("_base")).alias("score"))).drop("_base")
+    def check(results, issues, expected, report):
+        mismatch = F.array_compact(F.transform(F.map_entries(expected), lambda e: test(e, results)))
+        whole = F.concat(issues, F.coalesce(mismatch, F.array().cast(f"array<{ISSUE_TYPE}>")))
+        return let(whole, lambda all_: F.struct(all_.alias("issues"), capped(report_of(all_), report).alias("report")))
+
+    def capped(fresh, report):
+        return let(fresh, lambda n: F.struct(
+            n["passed"], n["error_count"], n["warning_count"],
+            F.when(n["passed"], report["score"]).otherwise(F.least(report["score"], F.lit(0.5))).alias("score")))
+
+    state = bind(check, results=F.col("results"), issues=F.col("issues"), expected=F.col(expected),
+                 report=F.col("report"))
+    return verified.withColumn("_c", state).withColumn("issues", F.col("_c.issues")) \
+        .withColumn("report", F.col("_c.report")).drop("_c")
 
 
 def second_page_gate(checks: DataFrame, second: DataFrame, key: str = "check_id") -> DataFrame:

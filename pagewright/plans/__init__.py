@@ -8,7 +8,7 @@ from .registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from . import pages  # noqa: F401
+    from . import extraction, pages  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -18,7 +18,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def viewed(spark: SparkSession, folder: str) -> DataFrame:
-    return pages(spark, folder).withColumn("lines", tx.text_lines(F.col("html"))) \
+    return pages(spark, folder).withColumn("lines", tx.lines_of("html")) \
         .withColumn("text", tx.join_lines(F.col("lines")))
 
 
@@ -48,8 +48,8 @@ def page_lines(spark, folder):
     lambda c: {sql.collapse(sql.entities(sql.entities("c")))}), lambda c: c<>''),'|') AS headings FROM pages""")
 def page_titles_headings(spark, folder):
     return pages(spark, folder).select(
-        "page_id", tx.page_title(F.col("html")).alias("title"),
-        F.array_join(tx.page_headings(F.col("html")), "|").alias("headings"))
+        "page_id", tx.title_of("html").alias("title"),
+        F.array_join(tx.headings_of("html"), "|").alias("headings"))
 
 
 @query(r"""SELECT page_id, sha256(html) AS page_hash, regexp_extract(url,'^(https?)://',1)||'://'||

@@ -68,10 +68,10 @@ def items_without_schema(items: DataFrame) -> DataFrame:
 
 def page_views(pages: DataFrame, markup: str = "html") -> DataFrame:
     """Add lines, text, title and headings. Columns nobody reads are pruned by the optimizer."""
-    return pages.withColumn("lines", tx.text_lines(F.col(markup))) \
+    return pages.withColumn("lines", tx.lines_of(markup)) \
         .withColumn("text", tx.join_lines(F.col("lines"))) \
-        .withColumn("title", tx.page_title(F.col(markup))) \
-        .withColumn("headings", tx.page_headings(F.col(markup)))
+        .withColumn("title", tx.title_of(markup)) \
+        .withColumn("headings", tx.headings_of(markup))
 
 
 def dump_payload(value: Column) -> Column:
