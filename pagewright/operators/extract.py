@@ -56,7 +56,15 @@ def compile_rules(rules: Column) -> Column:
             has_group(r["pattern"]).alias("has_group"),
             ranked_labels(r["label"], r["labels"]).alias("labels")).cast(COMPILED_TYPE)
 
-    return F.transform(rules, one)
+    # A label rule carries all labels of its field, so an equal one behind it can never succeed.
+    def repeated(kept, r):
+        return (r["strategy"] == "text_near_label") & F.exists(kept, lambda k: (
+            k["strategy"] == r["strategy"]) & (k["field_name"] == r["field_name"]) & (k["labels"] == r["labels"])
+            & (k["enabled"] == r["enabled"]))
+
+    start = F.array().cast(f"array<{COMPILED_TYPE}>")
+    return F.aggregate(F.transform(rules, one), start, lambda kept, r: F.when(
+        repeated(kept, r), kept).otherwise(F.concat(kept, F.array(r))))
 
 
 def ranked_labels(label: Column, labels: Column) -> Column:
