@@ -125,7 +125,7 @@ def retry_receipts(runs: DataFrame, requests: DataFrame, key_rows: int = KEY_ROW
 
 
 def queue_wait_ms(created: Column, started: Column) -> Column:
-    micros = F.unix_micros(started) - F.unix_micros(created)
+    micros = F.unix_micros(started.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))
     return F.greatest(F.lit(0.0), micros / 1000.0)
 
 
@@ -371,7 +371,8 @@ def activity_sessions(events: DataFrame, gap_seconds: int = 1800, key: str = "ta
     never split. The window then sees at most one row per task and gap-length of time, whatever
     share of the log a task owns.
     """
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    kind = events.schema["ts"].dataType
     gap = gap_seconds * 1_000_000
     buckets = events.groupBy(key, F.floor(micros / F.lit(gap)).alias("_b")).agg(
         F.min(micros).alias("_from"), F.max(micros).alias("_to"), F.count("*").alias("_n"),
@@ -381,7 +382,7 @@ def activity_sessions(events: DataFrame, gap_seconds: int = 1800, key: str = "ta
     marked = buckets.withColumn("_new", starts.cast("int")) \
         .withColumn("session_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "session_no").agg(
-        F.timestamp_micros(F.min("_from")).alias("session_start"),
-        F.timestamp_micros(F.max("_to")).alias("last_event"),
+        F.timestamp_micros(F.min("_from")).cast(kind).alias("session_start"),
+        F.timestamp_micros(F.max("_to")).cast(kind).alias("last_event"),
         F.sum("_n").alias("events"), F.sum("_v").alias("total_value"))
 

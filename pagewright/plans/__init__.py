@@ -8,7 +8,7 @@ from .registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from . import extraction, notices, pages, programs  # noqa: F401
+    from . import extraction, notices, pages, programs, runs  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
