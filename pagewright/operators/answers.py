@@ -33,8 +33,11 @@ def schema_requests(pages: DataFrame) -> DataFrame:
 
 
 def program_requests(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", page_view(PROGRAM_LINES, PROGRAM_TEXT).alias("page"),
-                        F.to_json("fields").alias("schema_fields"))
+    """Page view, schema and, from the page context, the focus excerpt and selector suggestions."""
+    return pages.select(
+        "page_id", page_view(PROGRAM_LINES, PROGRAM_TEXT).alias("page"), F.to_json("fields").alias("schema_fields"),
+        F.substring("focus_text", 1, PROGRAM_MARKUP).alias("excerpt"),
+        F.to_json("selector_candidates").alias("selector_candidates"))
 
 
 def field_requests(decided: DataFrame) -> DataFrame:

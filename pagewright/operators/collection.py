@@ -29,12 +29,16 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         .withColumn("signal", classification_signal(F.col("status_code"), F.col("classification")))
 
 
+def is_usable() -> Column:
+    return F.col("classification") == "usable_content"
+
+
 def usable(classified: DataFrame) -> DataFrame:
-    return classified.filter(F.col("classification") == "usable_content")
+    return classified.filter(is_usable())
 
 
 def rejected(classified: DataFrame) -> DataFrame:
-    return classified.filter(F.col("classification") != "usable_content")
+    return classified.filter(~is_usable())
 
 
 def resolve_attempts(attempts: DataFrame, key: str = "page_id") -> DataFrame:

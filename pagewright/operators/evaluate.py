@@ -49,15 +49,11 @@ def as_records(df: DataFrame) -> DataFrame:
         (F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in RECORD_TYPE.items()])
 
 
-def method_table(spark) -> DataFrame:
-    names = list(next(iter(METHODS.values())))
-    return spark.createDataFrame([(m, *[s[n] for n in names]) for m, s in METHODS.items()],
-                                 "method string, " + ", ".join(f"{n} boolean" for n in names))
-
-
 def per_method(pages: DataFrame) -> DataFrame:
-    """Every page once per method; five rows are broadcast."""
-    return pages.crossJoin(F.broadcast(method_table(pages.sparkSession)))
+    """Every page once per method, with the method's switches. Rows unfold in place, without a join."""
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), *[F.lit(v).alias(n) for n, v in s.items()])
+                        for m, s in METHODS.items()])
+    return pages.select("*", F.inline(methods))
 
 
 def method_rules(rules: Column, method: Column) -> Column:

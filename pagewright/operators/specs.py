@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.core import bind, compact, let, reason
 from ..functions.text import field_identifier, label_list, optional_text, safe_text, safe_text_list, strip
 from ..functions.web import signature
-from .skew import with_position
+from .skew import attach, with_position
 
 FIELD_TYPE = ("struct<name:string,description:string,type:string,required:boolean,"
               "aliases:array<string>,examples:array<string>>")
@@ -115,7 +115,7 @@ def register_versions(registry: DataFrame, arrivals: DataFrame) -> DataFrame:
         "schema_signature", "first_name", "first_arrival", "now")
     numbered = with_position(new, ["first_name"], [F.col("first_arrival"), F.col("schema_signature")], "_n")
     highest = registry.groupBy(F.col("schema_name").alias("first_name")).agg(F.max("version").alias("_top"))
-    fresh = numbered.join(highest, "first_name", "left").select(
+    fresh = attach(numbered, highest, "first_name").select(
         "schema_signature", F.col("now.schema_name").alias("schema_name"),
         (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("bigint").alias("version"),
         F.col("now.source").alias("source"))

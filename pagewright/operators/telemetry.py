@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .answers import token_metrics
 from .evaluate import ENVELOPE
 from .extract import effective
-from .skew import KEY_ROWS, percentiles, with_position
+from .skew import KEY_ROWS, attach, percentiles, with_position
 from .verify import is_missing
 
 # States and the metric names of each kind of average.
@@ -98,8 +98,8 @@ def close_nodes(expected: DataFrame, nodes: DataFrame, tasks: DataFrame) -> Data
 
 def interrupted(events: DataFrame) -> DataFrame:
     """Tasks without a terminal event, marked failed."""
-    done = events.filter(F.col("status").isin(*TERMINAL)).select("task_id")
-    return events.select("task_id").join(done, "task_id", "left_anti").distinct().select(
+    ended = events.groupBy("task_id").agg(F.max(F.col("status").isin(*TERMINAL)).alias("_ended"))
+    return ended.filter(~F.col("_ended")).select(
         "task_id", F.lit("failed").alias("status"), F.lit(0.0).alias("runtime_ms"),
         F.array(F.lit("backend restart interrupted task")).alias("errors"))
 
@@ -113,7 +113,7 @@ def retry_receipts(runs: DataFrame, requests: DataFrame, key_rows: int = KEY_ROW
     original = runs.select(
         F.col("task_id").alias("original_task_id"), "correlation_id", "workflow_type",
         F.col("status").alias("_status"), F.col("input_retained").alias("_kept"))
-    joined = requests.join(original, "original_task_id", "left")
+    joined = attach(requests, original, "original_task_id")
     problem = F.when(F.col("_status").isNull(), "run not found") \
         .when(F.col("_status") != "failed", "only failed runs can be retried") \
         .when(~F.col("_kept"), "run input was not retained; retry is unavailable")
@@ -293,7 +293,9 @@ def summarize_runs(runs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
                      F.count_if(ended).cast("double")).alias("failure_rate"),
         F.avg("queue_wait_ms").alias("average_queue_wait_ms"))
     tails = percentiles(runs.filter(ended), [], "runtime_ms", [0.5, 0.95, 0.99], key_rows)
-    both = base.join(F.broadcast(tails), how="left")
+    # Two one-row frames side by side.
+    rows = base.unionByName(tails, allowMissingColumns=True)
+    both = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     p = F.col("percentiles")
     return both.select(
         "total", *STATES, "terminal", F.col("n").alias("runtime_samples"), "average_runtime_ms",

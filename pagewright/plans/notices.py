@@ -146,7 +146,7 @@ def date_normalisation(spark, folder):
       THEN trim(text,' '||chr(9)||chr(10)||chr(13)) END AS optional,
     greatest(1,length(text)//4) AS tokens, sha256(text) AS hash FROM k""")
 def text_cleanup(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select(
         "doc_id", tx.field_identifier(F.substring(tx.collapse(F.col("text")), 1, 80)).alias("identifier"),
         tx.safe_text(F.col("text")).alias("safe"), tx.optional_text(F.col("text")).alias("optional"),
@@ -160,7 +160,7 @@ def text_cleanup(spark, folder):
   r AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM u)
   SELECT doc_id, k AS item_no, v AS item FROM r WHERE k<=8""")
 def distinct_text_lists(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select("doc_id", F.posexplode(tx.safe_text_list(F.split("text", "\n"))).alias("p", "item")).select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("item_no"), "item")
 
@@ -168,7 +168,7 @@ def distinct_text_lists(spark, folder):
 @query(r"""SELECT doc_id, left(regexp_replace(replace(replace('see https://me:pw@site/'||source||' '||text,'token','[redacted]'),
   '@mail','[redacted]'),'(https?://)[^/\s@]+@','\1[redacted]@','g'),1000) AS redacted FROM documents""")
 def redacted_documents(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     whole = F.concat(F.lit("see https://me:pw@site/"), "source", F.lit(" "), "text")
     return d.select("doc_id", web.redact(whole, ["token", "@mail", ""]).alias("redacted"))
 
