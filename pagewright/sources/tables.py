@@ -38,7 +38,7 @@ def supplied_pages(df: DataFrame, markup: str = "html") -> DataFrame:
 
 def page_folder(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of .html files keyed by file stem."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     return files.select(F.regexp_extract(path, r"([^/]+)\.html$", 1).alias("item_id"), path.alias("url"),
                         F.col("value").alias("html"))
