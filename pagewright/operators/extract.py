@@ -250,6 +250,13 @@ def with_programs(pages: DataFrame, programs: DataFrame, on: str = "schema_id")
     return attach(pages, ready, on, how="inner")
 
 
+def with_one_program(pages: DataFrame, program: DataFrame) -> DataFrame:
+    """The same when all pages share one program: a scalar subquery, so there is no join at all."""
+    one = program.select(F.struct("fields", compile_rules(F.col("rules")).alias("compiled")).alias("p")).scalar()
+    return pages.withColumn("_p", one).withColumn("fields", F.col("_p.fields")) \
+        .withColumn("compiled", F.col("_p.compiled")).drop("_p")
+
+
 def field_results(extracted: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per page and field."""
     keys = keys or ("page_id",)

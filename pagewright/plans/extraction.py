@@ -38,7 +38,7 @@ def page_program() -> tuple[Column, Column]:
 
 
 def program_table(spark: SparkSession) -> DataFrame:
-    """The program as a one-row table, compiled once and broadcast to the pages."""
+    """The program as a one-row table, compiled once for all pages."""
     fields, rules = page_program()
     return spark.range(1).select(F.lit("page").alias("schema_id"), fields.alias("fields"), rules.alias("rules"))
 
@@ -47,8 +47,8 @@ def ready(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with views, tree and program on one row."""
     rows = dom.page_trees(pages(spark, folder), ("page_id", "url", "html"))
     rows = rows.withColumn("lines", tx.lines_of("html")).withColumn("text", tx.join_lines(F.col("lines"))) \
-        .withColumn("title", tx.title_of("html")).drop("html").withColumn("schema_id", F.lit("page"))
-    return extract.with_programs(rows, program_table(spark))
+        .withColumn("title", tx.title_of("html")).drop("html")
+    return extract.with_one_program(rows, program_table(spark))
 
 
 def _pattern_sql(pos, name, kind, required, pattern):
@@ -85,8 +85,8 @@ def extracted(spark, folder) -> DataFrame:
 def extract_publisher_regex(spark, folder):
     """The smallest slice: one text rule, so no tree is ever built."""
     rows = pages(spark, folder).withColumn("lines", tx.lines_of("html")) \
-        .withColumn("text", tx.join_lines(F.col("lines"))).withColumn("schema_id", F.lit("page"))
-    out = extract.extract_fields(extract.with_programs(
+        .withColumn("text", tx.join_lines(F.col("lines")))
+    out = extract.extract_fields(extract.with_one_program(
         rows, program_table(spark).withColumn("fields", F.slice("fields", 3, 1))))
     r = F.col("results")[0]
     e = r["evidence"][0]

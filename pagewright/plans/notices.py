@@ -28,10 +28,14 @@ NOTICE_FIELDS = (
 )
 
 
-def notice_schema(spark: SparkSession) -> DataFrame:
-    rows = [("notice", "订单通知", "", "orders", [(n, d, t, r, list(a), []) for n, d, t, r, a in NOTICE_FIELDS])]
-    return spark.createDataFrame(rows, f"schema_id string, name string, description string, domain string, "
-                                       f"fields array<{specs.FIELD_TYPE}>")
+def notice_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """One schema per order priority, so notices meet their program through a keyed lookup."""
+    fields = F.array(*[F.struct(
+        F.lit(n).alias("name"), F.lit(d).alias("description"), F.lit(t).alias("type"), F.lit(r).alias("required"),
+        specs._strings(*a).alias("aliases"), specs._strings().alias("examples")).cast(specs.FIELD_TYPE)
+        for n, d, t, r, a in NOTICE_FIELDS])
+    kinds = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("schema_id")).distinct()
+    return kinds.withColumn("fields", fields)
 
 
 # One SQL text serves both engines; it only renders the input.
@@ -52,7 +56,7 @@ _RENDER = f"""SELECT o_orderkey AS id, concat('订单号：',CAST(o_orderkey AS
   concat(CASE WHEN o_orderkey%7=0 THEN '公告' ELSE '' END,'发布日期：',{_date("o_orderdate")}) AS l3,
   CASE WHEN o_orderkey%3<>0 THEN concat('报名截止：',{_date(_DUE)}) END AS l4,
   concat(CASE WHEN o_orderkey%2=0 THEN '- ' ELSE '' END,'优先级:',o_orderpriority) AS l5,
-  CASE WHEN o_orderkey%11<>0 THEN concat('金额-',CASE WHEN o_orderkey%13=0 THEN '约' ELSE '' END,
+  o_orderpriority AS kind, CASE WHEN o_orderkey%11<>0 THEN concat('金额-',CASE WHEN o_orderkey%13=0 THEN '约' ELSE '' END,
     CAST(CAST(floor(o_totalprice) AS BIGINT) AS {{s}})) END AS l6,
   {_date("o_orderdate")} AS pub, {_date(_DUE)} AS due FROM orders JOIN customer ON o_custkey=c_custkey"""
 
@@ -61,13 +65,13 @@ def notices(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.sql(_RENDER.format(s="STRING").replace(
         "FROM orders JOIN customer", "FROM {orders} JOIN {customer}"),
         orders=spread(table(spark, folder, "orders")), customer=table(spark, folder, "customer"))
-    return rows.select(F.col("id").alias("page_id"),
+    return rows.select(F.col("id").alias("page_id"), F.col("kind").alias("schema_id"),
                        F.array_compact(F.array("l1", "l2", "l3", "l4", "l5", "l6")).alias("lines")) \
-        .withColumn("text", F.array_join("lines", "\n")).withColumn("schema_id", F.lit("notice"))
+        .withColumn("text", F.array_join("lines", "\n"))
 
 
 def read_back(spark, folder) -> DataFrame:
-    programs = specs.build_programs(notice_schema(spark))
+    programs = specs.build_programs(notice_schemas(spark, folder))
     return extract.extract_fields(extract.with_programs(notices(spark, folder), programs))
 
 
