@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import BLANK, bind, collapse, let, once, present
-from ..functions.text import locate, normalize_date, snippet
+from ..functions.text import join_lines, lines_of, locate, normalize_date, snippet
+from .dom import page_trees
 from .selectors import SELECTOR_TYPE, matches, outcome, parse_selector
 from .skew import attach
 from .specs import POSTPROCESS, STRATEGIES, java_pattern
@@ -250,6 +251,21 @@ def with_programs(pages: DataFrame, programs: DataFrame, on: str = "schema_id")
     return attach(pages, ready, on, how="inner")
 
 
+def prepare(pages: DataFrame, programs: DataFrame, on: str = "schema_id", keep: tuple[str, ...] = ("page_id", "url"),
+            markup: str = "html") -> DataFrame:
+    """Views and programs for pages with their markup.
+
+    Only pages whose program holds an enabled DOM rule are parsed into trees; the others pass the
+    parsing stage with nothing to parse.
+    """
+    dom_rules = F.exists("rules", lambda r: r["enabled"] & r["strategy"].isin("css", "xpath"))
+    marked = attach(pages, programs.select(on, dom_rules.alias("_dom")), on, how="inner") \
+        .withColumn("_markup", F.when(F.col("_dom"), F.col(markup)))
+    rows = page_trees(marked, (*keep, on, markup), "_markup").withColumn("lines", lines_of(markup)) \
+        .withColumn("text", join_lines(F.col("lines"))).drop(markup)
+    return with_programs(rows, programs, on)
+
+
 def with_one_program(pages: DataFrame, program: DataFrame) -> DataFrame:
     """The same when all pages share one program: a scalar subquery, so there is no join at all."""
     one = program.select(F.struct("fields", compile_rules(F.col("rules")).alias("compiled")).alias("p")).scalar()

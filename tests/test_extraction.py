@@ -60,6 +60,18 @@ def test_rules_run_in_order_and_errors_are_kept(spark):
     assert name.status == "missing" and name.error_message == "ambiguous css selector: p; invalid xpath selector: count(//p)"
 
 
+def test_only_pages_with_dom_rules_are_parsed(spark):
+    pages = spark.createDataFrame([(1, "u", "dom", "<h1>Head</h1><p>name: A</p>"), (2, "u", "text", "<h1>Head</h1><p>name: B</p>"),
+                                   (3, "u", "none", "<p>name: C</p>")], "page_id bigint, url string, schema_id string, html string")
+    fields = schema(spark, [("name", "text", True, "", []), ("title", "text", False, "", [])]).drop("schema_id")
+    rules = {"text": [specs._rule("name", "text_near_label", label="name")],
+             "dom": [specs._rule("name", "text_near_label", label="name"), specs._rule("title", "css", selector="h1")]}
+    programs = fields.withColumn("schema_id", F.lit("text")).withColumn("rules", F.array(*rules["text"])).unionByName(
+        fields.withColumn("schema_id", F.lit("dom")).withColumn("rules", F.array(*rules["dom"])))
+    rows = extract.extract_fields(extract.prepare(pages, programs)).orderBy("page_id").collect()
+    assert [(r.page_id, [x.value for x in r.results], len(r.nodes) > 0) for r in rows] == [(1, ["A", "Head"], True), (2, ["B", None], False)]
+
+
 def test_unknown_strategy_and_step_stop_the_job(spark):
     base = spark.range(1).withColumn("text", F.lit("x")).withColumn("lines", F.array(F.lit("x: y"))).join(
         schema(spark, [("a", "text", True, "a", [])]))
