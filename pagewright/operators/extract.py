@@ -220,20 +220,18 @@ _VIEWS = ("text", "lines", "nodes", "tokens", "answers")
 
 
 @once
-def _results(views: tuple[str, ...], compiled: bool, method: str | None, allow_model: bool) -> Column:
+def _results(views: tuple[str, ...], compiled: bool, allow_model: bool) -> Column:
     def run(fields, rules, **view):
         return F.transform(fields, lambda f, i: run_field(f, i, rules, view, allow_model))
 
     rules = F.col("compiled") if compiled else compile_rules(F.col("rules"))
-    if method == "rules only":
-        rules = F.filter(rules, lambda r: r["strategy"] != "llm_fallback")
     return bind(run, fields=F.col("fields"), rules=rules, **{v: F.col(v) for v in views})
 
 
-def results_of(pages: DataFrame, allow_model: bool = False, rules_only: bool = False) -> Column:
+def results_of(pages: DataFrame, allow_model: bool = False) -> Column:
     """``results`` for pages holding fields, rules (or compiled rules) and the views rules need."""
     views = tuple(n for n in _VIEWS if n in pages.columns)
-    return _results(views, "compiled" in pages.columns, "rules only" if rules_only else None, allow_model)
+    return _results(views, "compiled" in pages.columns, allow_model)
 
 
 def extract_fields(pages: DataFrame, allow_model: bool = False) -> DataFrame:
@@ -269,8 +267,8 @@ def prepare(pages: DataFrame, programs: DataFrame, on: str = "schema_id", keep:
 def with_one_program(pages: DataFrame, program: DataFrame) -> DataFrame:
     """The same when all pages share one program: a scalar subquery, so there is no join at all."""
     one = program.select(F.struct("fields", compile_rules(F.col("rules")).alias("compiled")).alias("p")).scalar()
-    return pages.withColumn("_p", one).withColumn("fields", F.col("_p.fields")) \
-        .withColumn("compiled", F.col("_p.compiled")).drop("_p")
+    return pages.withColumn("_p", one).withColumns(
+        {"fields": F.col("_p.fields"), "compiled": F.col("_p.compiled")}).drop("_p")
 
 
 def field_results(extracted: DataFrame, *keys: str) -> DataFrame:
@@ -301,8 +299,13 @@ def evidence_rows(extracted: DataFrame, *keys: str) -> DataFrame:
         .select(*keys, "field_pos", "field_name", "evidence_no", "e.*")
 
 
-def model_results(fields: Column, answers: Column) -> Column:
+@once
+def model_only() -> Column:
     """Results of asking a model for every field, without any program."""
+    return model_results(F.col("fields"), F.col("answers"))
+
+
+def model_results(fields: Column, answers: Column) -> Column:
     def one(f, i, answers):
         answer = F.get(F.filter(answers, lambda a: a["field_name"] == f["name"]), F.lit(0))
         return let(answer, lambda a: F.struct(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import compact, let, reason
 from ..functions.web import redact
-from .skew import attach
+from .skew import attach, fits_broadcast
 
 # Compared fingerprint parts, weights of the quality proxy, thresholds.
 COMPARED = ("page_hash", "schema_signature", "model", "model_endpoint_hash", "enable_field_repair",
@@ -121,8 +121,10 @@ def evaluate_iterations(requests: DataFrame, runs: DataFrame, iterations: DataFr
     shape = ("task_id", "status", "workflow_type", "runtime_ms", "fingerprint", "metrics", "metrics_version")
     side = runs.select(F.struct(*shape).alias("_run"), F.col("task_id").alias("_id"))
 
+    small = fits_broadcast(side)
+
     def lookup(df, column, name):
-        return attach(df, side.select(F.col("_id").alias(column), F.col("_run").alias(name)), column)
+        return attach(df, side.select(F.col("_id").alias(column), F.col("_run").alias(name)), column, small=small)
 
     joined = lookup(lookup(requests, "baseline_run_id", "_b"), "candidate_run_id", "_c")
     if iterations is not None:

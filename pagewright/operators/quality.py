@@ -76,6 +76,6 @@ def fit_programs(pages: DataFrame) -> DataFrame:
     """
     checked = pages.withColumn("_checked", check_rules(
         F.col("rules"), F.col("nodes"), F.col("tokens"), F.col("body")))
-    return checked.withColumn("rules", add_body_rules(
-        F.col("_checked.rules"), F.col("fields"), F.col("body"))) \
-        .withColumn("diagnostics", F.col("_checked.diagnostics")).drop("_checked")
+    return checked.withColumns({
+        "rules": add_body_rules(F.col("_checked.rules"), F.col("fields"), F.col("body")),
+        "diagnostics": F.col("_checked.diagnostics")}).drop("_checked")

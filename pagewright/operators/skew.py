@@ -18,23 +18,25 @@ SALTS = 64
 
 
 def fits_broadcast(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Measured on no more than ``rows`` + 1 rows."""
-    measured = side.limit(rows + 1).select(
-        F.length(F.to_json(F.struct(*side.columns))).alias("n")).agg(
-        F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
-    return measured["rows"] <= rows and (measured["bytes"] or 0) <= BROADCAST_BYTES
+    """Measured: rows are counted up to the bound, bytes only once the count has passed."""
+    if side.limit(rows + 1).count() > rows:
+        return False
+    size = side.select(F.length(F.to_json(F.struct(*side.columns))).alias("n")).agg(F.sum("n")).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def attach(big: DataFrame, side: DataFrame, on: str | Sequence[str], how: str = "left",
-           rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+           rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, salts: int = SALTS,
+           small: bool | None = None) -> DataFrame:
     """Join a lookup table with unique keys onto a large table whose keys may be skewed.
 
     A small lookup is broadcast and the large side does not move. Otherwise keys that own more
     than ``hot_rows`` rows are found first; only those are salted on the large side and repeated
     on the lookup side, so a hot key spreads over ``salts`` tasks and cold keys cost nothing.
+    ``small`` passes on the answer of ``fits_broadcast`` when the caller already has it.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(side, rows):
+    if fits_broadcast(side, rows) if small is None else small:
         return big.join(F.broadcast(side), keys, how)
     # At most (rows of big / hot_rows) keys qualify.
     hot = durable(big.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(

@@ -192,11 +192,10 @@ def repair(decided: DataFrame, attempts: Column | None = None) -> DataFrame:
     overall_confidence, issues and report. A missing answer counts as an abstention.
     """
     tried = F.lit(0) if attempts is None else attempts
-    step = decided.withColumn("_tried", tried).withColumn("_r", _repair_column()).drop("_tried")
-    for name in ("repair_outcomes", "overall_confidence", "results", "issues", "report", "repair_status",
-                 "repair_attempts"):
-        step = step.withColumn(name, F.col("_r")[name])
-    return step.drop("_r")
+    names = ("repair_outcomes", "overall_confidence", "results", "issues", "report", "repair_status",
+             "repair_attempts")
+    step = decided.withColumn("_tried", tried).withColumn("_r", _repair_column())
+    return step.withColumns({n: F.col("_r")[n] for n in names}).drop("_r", "_tried")
 
 
 @once
@@ -287,8 +286,8 @@ def check_expected(verified: DataFrame, expected: str = "expected_values") -> Da
 
     state = bind(check, results=F.col("results"), issues=F.col("issues"), expected=F.col(expected),
                  report=F.col("report"))
-    return verified.withColumn("_c", state).withColumn("issues", F.col("_c.issues")) \
-        .withColumn("report", F.col("_c.report")).drop("_c")
+    return verified.withColumn("_c", state).withColumns(
+        {"issues": F.col("_c.issues"), "report": F.col("_c.report")}).drop("_c")
 
 
 def second_page_gate(checks: DataFrame, second: DataFrame, key: str = "check_id") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import web
 from ..operators import answers as ans
 from ..operators import body, dom, evaluate, extract, quality, review, selectors, specs, verify, views
 from . import sql
-from .pages import big, pages, trees
+from .pages import big, pages, trees, viewed
 from .registry import query
 
 # The schema and program these queries run. Name, type, required, then one rule.
@@ -197,7 +197,7 @@ _WORD = r"regexp_extract(title,'^([A-Za-zÀ-ÿ]+)',1)"
 
 
 def responses(spark, folder) -> DataFrame:
-    rows = ready(spark, folder).select("page_id", "title", "text")
+    rows = viewed(spark, folder).select("page_id", tx.title_of("html").alias("title"), "text")
     word = F.regexp_extract("title", "^([A-Za-zÀ-ÿ]+)", 1)
     good = F.concat(F.lit('```json\n{"value":"'), word, F.lit('","evidence_text":"'),
                     F.replace("title", F.lit('"'), F.lit("")), F.lit('","confidence":0.7}\n```'))
@@ -255,7 +255,8 @@ def open_record_answers(spark, folder):
         F.struct(F.nullif(title, F.lit("")).alias("headline"), web.host(F.col("url")).alias("site")).alias("record"),
         F.struct(F.struct(title.alias("text"), F.lit(0.9).alias("confidence")).alias("headline"),
                  F.struct(F.lit(7).alias("confidence")).alias("site")).alias("evidence")))
-    return ans.record_rows(ready(spark, folder).withColumn("content", content))
+    rows = pages(spark, folder).select("page_id", "url", tx.title_of("html").alias("title"))
+    return ans.record_rows(rows.withColumn("content", content))
 
 
 def repaired(spark, folder) -> DataFrame:
@@ -410,10 +411,10 @@ def benchmark_records(spark, folder) -> DataFrame:
         "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>")))
 
     # All methods run on the row of their page: the page is read, decoded and parsed once.
-    full = verify.repair(verify.decide_fallback(verify.verify(extract.extract_fields(base))))
-    model = extract.model_results(F.col("fields"), F.col("answers"))
-    rows = full.withColumn("_plain", extract.results_of(base, rules_only=True)) \
-        .withColumn("_hybrid", extract.results_of(base, allow_model=True)).withColumn("_model", model)
+    # Without a model the rules alone and the full method start from the same results.
+    ruled = extract.extract_fields(base).withColumn("_plain", F.col("results"))
+    full = verify.repair(verify.decide_fallback(verify.verify(ruled)))
+    rows = full.withColumns({"_hybrid": extract.results_of(base, allow_model=True), "_model": extract.model_only()})
     none = F.slice("repair_outcomes", 1, 0)
 
     def run(name, results, outcomes=none, overall=None):
@@ -476,3 +477,21 @@ def method_scores(spark, folder):
 def metric_provenance(spark, folder):
     rows = evaluate.score_methods(benchmark_records(spark, folder))
     return rows.select("method", F.explode("unavailable_reasons").alias("metric", "reason"))
+
+
+@query(f"""WITH {_FOUND}, l AS (SELECT page_id AS id, regexp_extract(url,'^https?://[^/]*/([a-z][a-z])/',1) AS lang FROM pages)
+  SELECT id AS page_id, lang AS schema_id, CASE WHEN lang='en' THEN max(val) FILTER (field='title') END AS title,
+    max(val) FILTER (field='publisher') AS publisher, lang='en' AS parsed FROM fr JOIN l USING (id) WHERE lang IN ('en','de','fr','es')
+  GROUP BY 1,2""")
+def programs_by_language(spark, folder):
+    """A program per language: one with a DOM rule, the others on text alone and so never parsed."""
+    fields, rules = page_program()
+    names = F.array(*[F.lit(n) for n in ("title", "publisher")])
+    picked = F.filter(rules, lambda r: F.array_contains(names, r["field_name"]))
+    lang = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]))
+    programs = spark.range(1).select(lang.alias("schema_id")).select(
+        "schema_id", F.filter(fields, lambda f: F.array_contains(names, f["name"])).alias("fields"),
+        F.filter(picked, lambda r: (F.col("schema_id") == "en") | (r["strategy"] != "css")).alias("rules"))
+    rows = pages(spark, folder).withColumn("schema_id", F.regexp_extract("url", "^https?://[^/]*/([a-z][a-z])/", 1))
+    done = extract.extract_fields(extract.prepare(rows, programs)).withColumn("parsed", F.size("nodes") > 0)
+    return extract.wide_records(done, ["title", "publisher"], "page_id", "schema_id", "parsed")
