@@ -452,19 +452,20 @@ _AB = f"""{_RUNS}, r AS (SELECT task_id, CASE status WHEN 'running' THEN 'comple
       list_filter([CASE WHEN x.vs-y.vs>1e-9 THEN 'verification_score' END, CASE WHEN x.fc-y.fc>1e-9 THEN 'field_completion_rate' END,
         CASE WHEN x.ec-y.ec>1e-9 THEN 'evidence_coverage' END, CASE WHEN y.mr-x.mr>1e-9 THEN 'required_field_missing_rate' END],
         lambda z: z IS NOT NULL) AS worse,
-      0.5*(y.vs-x.vs)+0.3*(y.fc-x.fc)+0.2*(y.ec-x.ec) AS gain, (y.rt-x.rt)/x.rt AS slow, y.ac-x.ac AS dac
+      0.5*(y.vs-x.vs)+0.3*(y.fc-x.fc)+0.2*(y.ec-x.ec) AS gain, (y.rt-x.rt)/nullif(x.rt,0) AS slow, coalesce(x.rt,0)=0 OR y.rt IS NULL AS timeless, y.ac-x.ac AS dac
     FROM q LEFT JOIN r x ON x.task_id=b LEFT JOIN r y ON y.task_id=c LEFT JOIN events p ON p.event_id=parent),
   e AS (SELECT *, CASE WHEN bs IS NULL THEN 'run not found: '||b WHEN bs<>'completed' THEN 'run '||b||' is not completed'
       WHEN cs IS NULL THEN 'run not found: '||c WHEN cs<>'completed' THEN 'run '||c||' is not completed'
       WHEN parent IS NOT NULL AND pe IS NULL THEN 'parent iteration not found'
       WHEN parent IS NOT NULL AND pe<>experiment_id THEN 'parent iteration belongs to a different experiment' END AS error FROM j),
-  d AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN len(apart)>0 OR len(un)>0 THEN 'blocked' WHEN len(worse)>0 OR gain+1e-9<0.01 OR slow>0.2 THEN 'rejected'
+  d AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN len(apart)>0 OR len(un)>0 OR timeless THEN 'blocked' WHEN len(worse)>0 OR gain+1e-9<0.01 OR slow>0.2 THEN 'rejected'
       ELSE 'accepted' END AS status FROM e)"""
 
 
 @query(f"""WITH {_AB} SELECT iteration_id, error, status, CASE WHEN error IS NOT NULL THEN NULL
     WHEN len(apart)>0 THEN 'incomparable fingerprints: '||array_to_string(apart,', ')
     WHEN len(un)>0 THEN 'guardrail measurements unavailable: '||array_to_string(un,', ')
+    WHEN timeless THEN 'quality or runtime metric unavailable'
     WHEN len(worse)>0 THEN 'quality guardrail regression: '||array_to_string(worse,', ')
     WHEN gain+1e-9<0.01 THEN 'quality improvement is below configured threshold'
     WHEN slow>0.2 THEN 'latency regression exceeds configured threshold'

@@ -6,9 +6,10 @@ ENDERS = (r"(?i)</(?:p|div|li|tr|h1|h2|h3|br)\s*>|<(?:p|div|li|tr|h1|h2|h3|br)(?
 
 
 def entities(x: str) -> str:
-    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">")):
         x = f"replace({x},'&{name};','{char}')"
-    return x
+    # Cut-off titles end in an ampersand entity without its semicolon, which decodes all the same.
+    return f"regexp_replace({x},'&amp;?','&','g')"
 
 
 def collapse(x: str) -> str:

@@ -52,8 +52,10 @@ def compare(spark, con, query, sql: str, folder: str) -> tuple[bool, str]:
     if len(got) != len(want):
         only = [r for r in want if r not in set(got)][:2], [r for r in got if r not in set(want)][:2]
         return False, f"rows {len(got)} / {len(want)} missing {only[0]} extra {only[1]}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    return (not bad), (f"{len(bad)} of {len(got)} rows differ: {bad[0]}" if bad else f"{len(got)} rows")
+    if got == want:
+        return True, f"{len(got)} rows"
+    extra, lacking = sorted(set(got) - set(want)), sorted(set(want) - set(got))
+    return False, f"{len(extra)} of {len(got)} rows differ: got {extra[:1]} want {lacking[:1]}"
 
 
 if __name__ == "__main__":
