@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,26 @@ def build(app: str = "pagewright", master: str | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per context: they need not have it installed.
+
+    The archive is made beside the driver; Spark's own file server hands it to the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pagewright_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="pagewright-"), "pagewright-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._pagewright_shipped = True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor and never change again.
 
