@@ -102,3 +102,10 @@ def parts_for(spark: SparkSession, size: int, each: int) -> int:
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of a value's text modulo n; a missing value counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: compact, and safe from lost executors."""
+    place = shared_folder(df.sparkSession, what)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, shards, simhash, warc
+from . import bpe, decontaminate, ppm, shards, simhash, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.scores(table(spark, folder, "documents"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(table(spark, folder, "documents"), shards=40)
 
@@ -35,7 +39,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_decontamination, op6_simhash, op9_sharding, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_decontamination, op6_simhash, op7_ppm, op9_sharding, op10_warc)}
 
 ORACLES = {
     "op5_decontamination": r"""
