@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ppm, shards, simhash, warc
+from . import bpe, decontaminate, ppm, shards, simhash, topk, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.scores(table(spark, folder, "documents"))
 
 
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), every=20, k=20)
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(table(spark, folder, "documents"), shards=40)
 
@@ -39,7 +43,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_decontamination, op6_simhash, op7_ppm, op9_sharding, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_decontamination, op6_simhash, op7_ppm, op8_topk, op9_sharding, op10_warc)}
 
 ORACLES = {
     "op5_decontamination": r"""
@@ -64,6 +68,14 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_topk": r"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20""",
     "op10_warc": r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, coalesce(regexp_replace(url, '[\x00-\x20]', '%20', 'g'), 'urn:page:' || coalesce(page_id::VARCHAR, 'none')) AS url,
