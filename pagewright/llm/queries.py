@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ppm, shards, simhash, suffixes, topk, warc
+from . import bpe, decontaminate, html, ppm, shards, simhash, suffixes, topk, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), tokenizer())
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(table(spark, folder, "pages"))
+
+
 def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(table(spark, folder, "documents"))
 
@@ -47,7 +55,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_suffixes, op5_decontamination, op6_simhash, op7_ppm, op8_topk, op9_sharding, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_suffixes, op5_decontamination, op6_simhash, op7_ppm, op8_topk, op9_sharding, op10_warc)}
 
 ORACLES = {
     "op5_decontamination": r"""
