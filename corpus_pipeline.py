@@ -1,36 +1,50 @@
-"""A corpus from raw documents to token ids: each stage works on all that its predecessor kept."""
+"""A corpus from raw documents to token ids: each stage works on all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last keep the columns of ``docs``, whatever they are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, decontaminate, simhash
+from pagewright.llm import bpe, decontaminate, simhash, suffixes, toxicity
 from pagewright.llm.common import shared_folder, table
 from pagewright.llm.queries import tokenizer
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, does not call toxic."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Rows that repeat that id stay once. A group without any id keeps one of its rows.
+    Rows that repeat that id and text stay once. A group without any id keeps one of its rows.
     """
     return simhash.keep_first(docs)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without bytes that repeat 50 bytes or more of a document with a smaller id."""
+    return suffixes.remove(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digests of ids and decoded text."""
+    """doc_id, n_tokens and digests of the ids and of the decoded text of every document."""
     return bpe.digests(docs, tokenizer())
 
 
-STAGES = [("simhash", near_dedup), ("decontamination", decontamination), ("encode", encode)]
+STAGES = [("toxicity", reject_toxic), ("simhash", near_dedup), ("suffixes", passage_dedup),
+          ("decontamination", decontamination), ("bpe", encode)]
 
-#: Fingerprints, a trained classifier and a tokenizer are beyond SQL; tests compare with brute force.
+#: A trained classifier, hash fingerprints and a tokenizer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
