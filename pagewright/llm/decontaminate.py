@@ -28,7 +28,6 @@ SHINGLE = 5
 BLOCK_SHINGLES = 2_000_000
 #: What a word is, after lower case: fixed by the contract.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,34 +62,42 @@ def _tokens(distinct: DataFrame) -> DataFrame:
     return out.withColumn("h", hashed)
 
 
-def _found(documents: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, text_hash, n_words, pos, h, low, around: document shingles that the benchmark holds.
+def _found(documents: DataFrame, hashes: DataFrame, sizes: list[int], every_row: bool) -> DataFrame:
+    """doc_id, text_hash, n_words, pos, nth, h, low, around: document shingles that the benchmark holds.
 
     One pass: words are unfolded, hashed and probed in generated code. The generator is an outer one,
-    which keeps the optimizer from extracting words a second time in a filter of its own.
+    which keeps the optimizer from extracting words a second time in a filter of its own. With
+    ``every_row`` each document row also has one row with its number of words: that of position 0
+    and shingle size 0, or of no position.
     """
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("_w"))
     each = rows.select("doc_id", "text_hash", "_w", F.posexplode_outer("_w").alias("pos", "_word"))
     if len(sizes) == 1:
-        each = each.withColumn("h", _shingle(F.col("_w"), F.col("pos"), sizes[0]))
+        each = each.withColumn("nth", F.lit(0)).withColumn("h", _shingle(F.col("_w"), F.col("pos"), sizes[0]))
     else:
-        each = each.select("doc_id", "text_hash", "_w", "pos", F.explode_outer(F.array(
-            *[_shingle(F.col("_w"), F.col("pos"), s) for s in sizes])).alias("h"))
+        each = each.select("doc_id", "text_hash", "_w", "pos", F.posexplode_outer(F.array(
+            *[_shingle(F.col("_w"), F.col("pos"), s) for s in sizes])).alias("nth", "h"))
     low = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
-    return each.join(F.broadcast(hashes), "h").select(
-        "doc_id", "text_hash", F.size("_w").alias("n_words"), "pos", "h", low.alias("low"),
-        F.slice("_w", low + 1, F.lit(2 * WINDOW)).alias("around"))
+    marked = F.broadcast(hashes.select(F.col("h").alias("_h"), F.lit(True).alias("held")))
+    joined = each.join(marked, F.col("h") == F.col("_h"), "left" if every_row else "inner")
+    if every_row:
+        joined = joined.filter(F.col("held") | ((F.coalesce("pos", F.lit(0)) == 0) & (F.col("nth") == 0)))
+    return joined.select(
+        "doc_id", "text_hash", F.size("_w").alias("n_words"), "pos", "nth", F.when(F.col("held"), F.col("h")).alias("h"),
+        low.alias("low"), F.when(F.col("held"), F.slice("_w", low + 1, F.lit(2 * WINDOW))).alias("around"))
 
 
-def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
-    """doc_id, text_hash, words, start: where windows occur in documents."""
+def _matches(documents: DataFrame, distinct: DataFrame, every_row: bool) -> tuple[DataFrame, DataFrame]:
+    """The stored shingles of documents, and the occurrences of windows they lead to."""
     tokens = durable(_tokens(distinct))
     shape = tokens.agg(F.collect_set("size").alias("sizes"), F.approx_count_distinct("h").alias("n")).first()
     sizes = sorted(shape["sizes"]) or [SHINGLE]
     blocks = max(1, -(-(shape["n"] or 0) * 11 // (10 * BLOCK_SHINGLES)))
     held = tokens.select("h").distinct()
-    parts = [_found(documents, held.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b), sizes) for b in range(blocks)]
-    found = durable(reduce(DataFrame.unionByName, parts))
+    parts = [_found(documents, held.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b), sizes, every_row and b == 0)
+             for b in range(blocks)]
+    stored_ = durable(reduce(DataFrame.unionByName, parts))
+    found = stored_.filter("h is not null")
     # Rarity over all documents; a shingle that no document holds rules its windows out.
     rarity = found.groupBy("h").agg(F.count("*").alias("rows"))
     ranked = tokens.join(rarity, "h", "left").groupBy("words").agg(
@@ -101,13 +108,19 @@ def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     bounded = lookup(found, prefix, "h", "inner").withColumn("start", start).filter(
         (F.col("start") >= 0) & (F.col("start") >= F.col("low")) & (F.col("start") + F.size("words") <= F.col("n_words")))
     exact = F.slice("around", F.col("start") - F.col("low") + 1, F.size("words")) == F.col("words")
-    return bounded.filter(exact).select("doc_id", "text_hash", "words", "start")
+    return stored_, bounded.filter(exact).select("doc_id", "text_hash", "words", "start")
+
+
+def occurrences(documents: DataFrame, distinct: DataFrame) -> DataFrame:
+    """doc_id, text_hash, words, start: where windows occur in documents."""
+    return _matches(documents, distinct, False)[1]
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated for every document row."""
     wide = durable(windows(benchmark))
-    hits = durable(occurrences(documents, wide.select("words").distinct()).distinct())
+    stored_, hits = _matches(documents, wide.select("words").distinct(), True)
+    hits = durable(hits.distinct())
     keys = ["doc_id", "text_hash"]
     covered = hits.select(*keys, F.explode(F.sequence("start", F.col("start") + F.size("words") - 1)).alias("at")) \
         .distinct().groupBy(*keys).agg(F.count("*").alias("n_hit"))
@@ -119,8 +132,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = covered.withColumnsRenamed({k: f"_{k}" for k in keys}).alias("c").join(
         items.alias("i"), (F.col("_doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("_text_hash") == F.col("text_hash")),
         "left").select("_doc_id", "_text_hash", "n_hit", "items")
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(F.regexp_extract_all(
-        F.coalesce(F.col("text"), F.lit("")), F.lit(ANY_CASE), F.lit(0))).cast("bigint").alias("n_words"))
+    rows = stored_.filter((F.coalesce("pos", F.lit(0)) == 0) & (F.col("nth") == 0)).select(
+        "doc_id", "text_hash", F.greatest("n_words", F.lit(0)).cast("bigint").alias("n_words"))
     # Most rows have no hit: only marked keys are on the right.
     out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")), "left")
     none = F.array().cast("array<string>")
