@@ -51,13 +51,17 @@ def arrow_stage(df: DataFrame, fn: Callable[..., Iterator[Sequence[list]]], sche
     return df.mapInArrow(run, kind)
 
 
-def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", salts: int = 16,
+           bound: int = 0) -> DataFrame:
     """Join rows with a side that has unique keys when a few keys may own a large share of the rows.
 
     Each key of the side is repeated once per salt, so a hot key is spread over ``salts`` tasks at
     the price of a larger side. Rows without a key match nothing and are spread too. Spark may still
-    broadcast the side or split partitions at run time.
+    broadcast the side or split partitions at run time. A stored side of at most ``bound`` rows,
+    which is measured, is broadcast; the result is the same.
     """
+    if bound and side.limit(bound + 1).count() <= bound:
+        return big.join(F.broadcast(side), key, how)
     marked = big.withColumn("_salt", F.pmod(F.xxhash64(*_plain(big, key)), F.lit(salts)).cast("int"))
     # A missing key cannot match; a random-looking stand-in keeps such rows out of one task.
     kind = dict(big.dtypes)[key]

@@ -26,12 +26,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, lookup, parts_for, shared_folder, ship
+from .common import arrow_stage, durable, lookup, parts_for, shared_folder, ship
 
 MIN_REVISIT = 100
 #: Bytes of payload an archive holds on average; rows of the index one merge range holds.
 ARCHIVE_BYTES = 8 << 20
 RANGE_ROWS = 50_000
+#: Repeated payloads whose digests (some 100 bytes each) may be sent to all tasks instead of moving pages.
+SMALL_SIDE = 200_000
 INDEX = ("urlkey string, captured string, archive string, offset bigint, record_bytes bigint, page_id bigint, "
          "payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string")
 
@@ -63,7 +65,7 @@ def records(pages: DataFrame) -> DataFrame:
     # Only payloads that occur more than once take part in the join.
     first = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = lookup(rows, first, "digest")
+    joined = lookup(rows, durable(first), "digest", bound=SMALL_SIDE)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     # Captures follow each other by a second per page id.
     when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0))),
