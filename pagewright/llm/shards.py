@@ -48,7 +48,7 @@ def assign(documents: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
                             F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = durable(rows)  # narrow; the texts are read once
     n = rows.count()
-    buckets = max(16, -(-n // BUCKET_ROWS))
+    buckets = max(64, -(-n // BUCKET_ROWS))
     spark = documents.sparkSession
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")) \
         .withColumn("_stratum", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit(""))) \
