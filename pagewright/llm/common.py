@@ -113,3 +113,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     place = shared_folder(df.sparkSession, what)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -147,6 +147,5 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` in which no window of the benchmark occurs."""
     hits = occurrences(documents, windows(benchmark).select("words").distinct())
     marked = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    named = documents.withColumn("_own", F.xxhash64("text"))
-    return named.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti") \
-        .select(*documents.columns)
+    return documents.alias("d").join(marked.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._id")) & (
+        F.xxhash64("d.text") == F.col("m._hash")), "left_anti")

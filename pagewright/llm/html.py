@@ -47,13 +47,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 DROPPED = set("nav aside footer form button select option datalist dialog menu head header search label fieldset "
               "legend audio video canvas".split())
 #: Words in class, id or role that mark what does not belong to the article.
-MARKS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promos "
+MARKS = set("ad ads adsbygoogle adsense adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promos "
             "cookie cookies consent gdpr notice notices alert alerts warning disclaimer newsletter subscribe subscription "
             "paywall popup modal overlay sidebar sidebars aside widget widgets related recommended recommendations share "
             "sharing social comments comment commentlist commentary reply replies respond disqus discussion reviews nav "
             "navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar masthead header footer copyright "
             "colophon login signin signup search searchbox form contentinfo complementary skip toc hidden".split())
-#: Marks that also name parts of articles; they count only alone.
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes without being told.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},

@@ -224,8 +224,8 @@ def keep_first(documents: DataFrame) -> DataFrame:
     copies = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
     kept = first.join(copies, first["_id"].eqNullSafe(copies["_id"]) & (first["_hash"] == copies["_hash"])) \
         .select(first["_id"], first["_hash"], "_n")
-    named = documents.withColumn("_own", F.xxhash64("text"))
-    out = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    once = out.filter("_n = 1").select(*documents.columns)
+    out = documents.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (
+        F.xxhash64("d.text") == F.col("k._hash")))
     # Only rows that repeat both id and text are compared with each other.
-    return once.unionByName(out.filter("_n > 1").dropDuplicates(["_id", "_hash"]).select(*documents.columns))
+    return out.filter("k._n = 1").select("d.*").unionByName(
+        out.filter("k._n > 1").select("d.*").dropDuplicates(["doc_id", "text"]))

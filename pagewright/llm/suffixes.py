@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import arrow_stage, ship
+from .common import arrow_stage, ship, unused
 
 LENGTH = 50
 SYNC = 24
@@ -437,12 +437,12 @@ def kept(text: bytes, stretches: np.ndarray | None) -> tuple[bytes, list[tuple[i
     return b"".join(parts), list(zip(begins, ends))
 
 
-def _rewrite(left: pa.Table, right: pa.Table, digest: bool):
+def _rewrite(left: pa.Table, right: pa.Table, tag: str, digest: bool):
     marks = _stretches(right)
     texts, out = [], [[], [], [], []]
-    for doc, tag, text in zip(*(left.column(c).to_pylist() for c in ("doc_id", "_tag", "text"))):
+    for doc, mark, text in zip(*(left.column(c).to_pylist() for c in ("doc_id", tag, "text"))):
         raw = (text or "").encode("utf-8", "replace")
-        rest, spans = kept(raw, marks.get((doc, tag)) if doc is not None else None)
+        rest, spans = kept(raw, marks.get((doc, mark)) if doc is not None else None)
         if digest:
             for column, value in zip(out, (len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest())):
                 column.append(value)
@@ -452,13 +452,13 @@ def _rewrite(left: pa.Table, right: pa.Table, digest: bool):
     return texts, out
 
 
-def _pack_rows(groups: int):
+def _pack_rows(groups: int, tag: str):
     """Rows of a batch by group, compressed: texts move once, at less than half their size."""
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            group = np.mod(ids ^ batch.column("_tag").to_numpy(), groups)
+            group = np.mod(ids ^ batch.column(tag).to_numpy(), groups)
             order = np.argsort(group, kind="stable")
             batch, group = batch.take(pa.array(order)), group[order]
             cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else []
@@ -478,7 +478,8 @@ def _apply(documents: DataFrame, fields: StructType, digest: bool) -> DataFrame:
     total = _total(documents)
     groups = max(32, -(-total // GROUP_BYTES))
     stretches = covered(documents, total, groups)
-    rows = documents.withColumn("_tag", _tag()).mapInArrow(_pack_rows(groups), "group bigint, rows binary")
+    tag = unused(documents.columns, "_tag")
+    rows = documents.withColumn(tag, _tag()).mapInArrow(_pack_rows(groups, tag), "group bigint, rows binary")
     names = [f.name for f in fields]
     lengths = "n_chars" in documents.columns
 
@@ -487,7 +488,7 @@ def _apply(documents: DataFrame, fields: StructType, digest: bool) -> DataFrame:
         left = pa.concat_tables(parts) if parts else None
         if left is None:
             return pa.table([pa.array([], f.type) for f in arrow], names=names)
-        texts, sums = _rewrite(left, right, digest)
+        texts, sums = _rewrite(left, right, tag, digest)
         if digest:
             return pa.table([left.column("doc_id"), *(pa.array(c, pa.int64()) for c in sums[:3]), pa.array(sums[3], pa.string())],
                             names=names)

@@ -37,7 +37,10 @@ MAX_LABELLED = 20_000
 #: Lexicon entries at most, and the likelihood ratio (chi square, one degree) an entry needs.
 MAX_ENTRIES = 4096
 SIGNIFICANT = 30.0
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
+#: An entry is a word or beginning that occurs so often; the last level is a share of the text's words.
+LEVELS = (1, 2, 3, 5)
+DENSE = 1 / 50
 #: Lexicon voters of each kind of entry.
 VOTERS = 6
 #: Trust in one training label, which is a voter among others.
@@ -49,11 +52,27 @@ PATTERNS = [re.compile(p) for p in (
     r"https?://", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")]
 
 
-def entries_of(text: str | None) -> set[str]:
-    """Words, and beginnings of longer words, marked by their length."""
-    words = set(WORD.findall((text or "").lower()))
-    out = {f"{n}{w[:n]}" for w in words for n in BEGINNINGS if len(w) > n}
-    out.update(f"0{w}" for w in words if len(w) > 2)
+def entries_of(text: str | None, roots: set[str] | None = None) -> set[str]:
+    """Words, and beginnings of longer words, each with the levels that its count reaches.
+
+    A mark of length stands in front (0: the whole word). ``roots`` limits what is looked for.
+    """
+    words = Counter(WORD.findall((text or "").lower()))
+    held: Counter = Counter()
+    for w, n in words.items():
+        if roots is None or f"0{w}" in roots:
+            held[f"0{w}"] += n
+        for k in BEGINNINGS:
+            if len(w) > k and (roots is None or f"{k}{w[:k]}" in roots):
+                held[f"{k}{w[:k]}"] += n
+    dense = max(2.0, words.total() * DENSE)
+    out = set()
+    for e, n in held.items():
+        out.add(f"{e}\t1")
+        if n > 1:
+            out.update(f"{e}\t{level}" for level in LEVELS[1:] if n >= level)
+            if n >= dense:
+                out.add(f"{e}\tdense")
     return out
 
 
@@ -73,22 +92,14 @@ def _mine(columns: list[pa.Array]) -> Iterator[list]:
 
 class Model(NamedTuple):
     entries: dict[str, int]
+    roots: set[str]
     weights: np.ndarray  # entries, patterns, constant
 
     def score(self, text: str | None) -> float:
-        return self._score(text or "")
-
-    def _score(self, text: str) -> float:
         total = float(self.weights[-1])
         if self.entries:
-            words = set(WORD.findall(text.lower()))
-            held = {f"0{w}" for w in words}
-            for n in BEGINNINGS:
-                held.update([f"{n}{w[:n]}" for w in words if len(w) > n])
-            total += sum(self.weights[self.entries[e]] for e in held & self.entries.keys())
-            for i, p in enumerate(PATTERNS):
-                if self.weights[len(self.entries) + i] and p.search(text):
-                    total += self.weights[len(self.entries) + i]
+            total += sum(self.weights[self.entries[e]] for e in entries_of(text, self.roots) & self.entries.keys())
+            total += sum(w for w, x in zip(self.weights[len(self.entries):-1], _patterns(text)) if x)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, total))))
 
 
@@ -114,9 +125,9 @@ def lexicon(sample: DataFrame) -> list[tuple[str, int, int]]:
 
 def _signs(columns: list[pa.Array], entries: dict[str, int]) -> Iterator[list]:
     """Entries and patterns that each text of the sample holds."""
-    out = []
+    out, roots = [], {e.partition("\t")[0] for e in entries}
     for text in columns[0]:
-        hits = sorted(entries[e] for e in entries_of(text.as_py()) & entries.keys())
+        hits = sorted(entries[e] for e in entries_of(text.as_py(), roots) & entries.keys())
         out.append(hits + [len(entries) + i for i, x in enumerate(_patterns(text.as_py())) if x])
     yield [columns[1], out]
 
@@ -171,9 +182,12 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.nda
     return post
 
 
-def train_linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, rounds: int = 400,
-                 penalty: float = 1e-4) -> np.ndarray:
-    """Logistic regression on binary signs with soft targets: adaptive gradient steps."""
+def train_linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, rounds: int = 600,
+                 penalty: float = 1e-4, signs_from: int | None = None) -> np.ndarray:
+    """Logistic regression on binary signs with soft targets: adaptive gradient steps.
+
+    Signs from ``signs_from`` on may speak for toxic only: shouting is no excuse for what is shouted.
+    """
     w, square = np.zeros(width + 1), np.full(width + 1, 1e-8)
     w[-1] = math.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
     for _ in range(rounds):
@@ -182,7 +196,9 @@ def train_linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target:
         step = np.append(np.bincount(cols, error[rows], width), error.sum())
         step[:-1] += penalty * w[:-1] / max(1, width) ** 0.5
         square += step * step
-        w -= 0.5 * step / np.sqrt(square)
+        w -= 2.0 * step / np.sqrt(square)
+        if signs_from is not None:
+            np.maximum(w[signs_from:-1], 0, out=w[signs_from:-1])
     return w
 
 
@@ -204,14 +220,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     if not names:
         sizes = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
         share = ((sizes["p"] or 0) + 1) / (sizes["n"] + 12)
-        return Model({}, np.append(np.zeros(len(PATTERNS)), math.log(share / (1 - share))))
+        return Model({}, set(), np.append(np.zeros(len(PATTERNS)), math.log(share / (1 - share))))
     signs = arrow_stage(sample.select("text", "toxic"), _signs, "toxic int, signs array<int>", entries).toArrow()
     gold = signs.column("toxic").to_numpy().astype(np.int8)
     lists = signs.column("signs").combine_chunks()
     rows = np.repeat(np.arange(len(gold)), np.diff(lists.offsets.to_numpy()))
     cols = lists.flatten().to_numpy().astype(np.int64)
     post = label_model(votes_of(rows, cols, len(gold), names, gold), gold)
-    return Model(entries, train_linear(rows, cols, len(gold), len(names) + len(PATTERNS), post))
+    return Model(entries, {e.partition("\t")[0] for e in names}, train_linear(rows, cols, len(gold), len(names) + len(PATTERNS), post,
+                                       signs_from=len(names)))
 
 
 def _scores(columns: list[pa.Array], shared) -> Iterator[list]:
