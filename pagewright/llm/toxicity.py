@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_stage, crc32_mod, durable, ship
@@ -37,6 +38,8 @@ MAX_LABELLED = 20_000
 #: Lexicon entries at most, and the likelihood ratio (chi square, one degree) an entry needs.
 MAX_ENTRIES = 4096
 SIGNIFICANT = 30.0
+#: Share of toxic texts among those that hold an entry.
+TELLING = 0.7
 BEGINNINGS = (4, 5, 6, 7)
 #: An entry is a word or beginning that occurs so often; the last level is a share of the text's words.
 LEVELS = (1, 2, 3, 5)
@@ -118,7 +121,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, int, int]]:
 
     seen = F.col("pos") + F.col("neg")
     ratio = 2 * (term(F.col("pos"), seen * share) + term(F.col("neg"), seen * (1 - share)))
-    rows = counted.filter(F.col("pos") > seen * share).withColumn("g", ratio).filter(F.col("g") >= SIGNIFICANT) \
+    rows = counted.filter(F.col("pos") >= seen * max(share, TELLING)).withColumn("g", ratio).filter(F.col("g") >= SIGNIFICANT) \
         .orderBy(F.desc("g"), "entry").limit(MAX_ENTRIES).collect()
     return [(r["entry"], r["pos"], r["neg"]) for r in rows]
 
@@ -202,14 +205,32 @@ def train_linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target:
     return w
 
 
+def _sketch(columns: list[pa.Array]) -> Iterator[list]:
+    """Smallest hashes of a text's four-word sequences, under three mixings."""
+    out = []
+    for text in columns[2]:
+        words = (text.as_py() or "").lower().encode("utf-8", "replace").split()
+        h = np.array([zlib.crc32(b" ".join(words[i:i + 4])) for i in range(max(1, len(words) - 3))], np.uint64)
+        out.append([int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)])
+    yield [columns[0], columns[1], columns[2], *map(list, zip(*out))] if out else [*columns, [], [], []]
+
+
 def sample_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the training rows: at most MAX_LABELLED, chosen by a hash of the id."""
+    """text, toxic of the training rows: at most MAX_LABELLED, chosen by a hash of the id.
+
+    Copies and near copies are no further evidence: of rows that agree in one of three sketches of
+    their texts only the first counts.
+    """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(crc32_mod("doc_id", FOLDS) != HELD_OUT) \
         .groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     known = documents.select("doc_id").filter("doc_id is not null").distinct()
     chosen = usable.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = documents.select("doc_id", "text").join(F.broadcast(durable(chosen)), "doc_id")
-    return texts.select("text", "toxic")
+    rows = durable(arrow_stage(texts.select("doc_id", "toxic", "text"), _sketch,
+                               "doc_id bigint, toxic int, text string, m0 bigint, m1 bigint, m2 bigint"))
+    first = rows.select("doc_id", *[F.min("doc_id").over(Window.partitionBy(f"m{i}")).alias(f"f{i}") for i in range(3)])
+    single = first.filter(" AND ".join(f"doc_id = f{i}" for i in range(3))).select("doc_id").distinct()
+    return rows.join(F.broadcast(single), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
