@@ -14,7 +14,7 @@ from ..functions.text import join_lines, lines_of, locate, normalize_date, snipp
 from .dom import page_trees
 from .selectors import SELECTOR_TYPE, matches, outcome, parse_selector
 from .skew import attach
-from .specs import POSTPROCESS, STRATEGIES, java_pattern
+from .specs import POSTPROCESS, STRATEGIES, java_pattern, pattern_compiles
 
 EVIDENCE_TYPE = "struct<source:string,text:string,start_char:int,end_char:int,score:double>"
 RESULT_TYPE = ("struct<field_pos:int,field_name:string,value:string,normalized_value:string,"
@@ -43,19 +43,29 @@ def _miss(error: Column | None = None) -> Column:
 
 COMPILED_TYPE = ("struct<field_name:string,strategy:string,enabled:boolean,selector:string,attribute:string,"
                  f"postprocess:array<string>,steps:{SELECTOR_TYPE},pattern:string,has_group:boolean,"
-                 "labels:array<string>>")
+                 "labels:array<string>,error:string>")
 
 
 def compile_rules(rules: Column) -> Column:
-    """Everything about a rule that does not depend on the page, worked out once per program."""
+    """Everything about a rule that does not depend on the page, worked out once per program.
+
+    A rule that cannot run (a pattern that does not compile, an unknown strategy or step) carries an
+    error instead; it fails on its field and the other rules go on.
+    """
     def one(r):
-        full = F.concat(F.lit("(?imUd)"), java_pattern(F.nullif(r["pattern"], F.lit(""))))
+        given = F.nullif(r["pattern"], F.lit(""))
+        full = F.concat(F.lit("(?imUd)"), java_pattern(given))
+        unknown = F.filter(r["postprocess"], lambda s: ~s.isin(*POSTPROCESS))
+        error = F.when((r["strategy"] == "regex_on_text") & given.isNotNull() & ~pattern_compiles(given),
+                       F.concat(F.lit("invalid pattern: "), given)) \
+            .when(~r["strategy"].isin(*STRATEGIES), F.concat(F.lit("unsupported strategy: "), r["strategy"])) \
+            .when(F.size(unknown) > 0, F.concat(F.lit("unsupported postprocess function: "), F.get(unknown, F.lit(0))))
         return F.struct(
             r["field_name"], r["strategy"], r["enabled"], r["selector"], r["attribute"], r["postprocess"],
             parse_selector(r["strategy"], r["selector"]).alias("steps"),
-            F.when(r["strategy"] == "regex_on_text", full).alias("pattern"),
+            F.when((r["strategy"] == "regex_on_text") & error.isNull(), full).alias("pattern"),
             has_group(r["pattern"]).alias("has_group"),
-            ranked_labels(r["label"], r["labels"]).alias("labels")).cast(COMPILED_TYPE)
+            ranked_labels(r["label"], r["labels"]).alias("labels"), error.alias("error")).cast(COMPILED_TYPE)
 
     # A label rule carries all labels of its field, so an equal one behind it can never succeed.
     def repeated(kept, r):
@@ -107,7 +117,7 @@ def has_group(pattern: Column) -> Column:
 
 def by_pattern(text: Column, pattern: Column, grouped: Column) -> Column:
     """First match, case-insensitive, multi-line; group 1 if the pattern has groups."""
-    start = F.call_function("regexp_instr", text, pattern) - 1
+    start = _code_points(text, F.call_function("regexp_instr", text, pattern) - 1)
     whole = F.call_function("regexp_extract", text, pattern, F.lit(0))
     value = F.call_function("regexp_extract", text, pattern, grouped.cast("int"))
     found = let(F.struct(start.alias("at"), F.length(whole).alias("n"), value.alias("v")), lambda m: F.when(
@@ -117,6 +127,18 @@ def by_pattern(text: Column, pattern: Column, grouped: Column) -> Column:
     return F.when(pattern.isNull(), _miss()).otherwise(found)
 
 
+def _code_points(text: Column, units: Column) -> Column:
+    """The pattern engine counts UTF-16 units; texts are counted in characters.
+
+    Where a text holds characters of two units, each is written as two marks to find out how many
+    lie before the match.
+    """
+    marked = F.regexp_replace(F.regexp_replace(text, "[\ue000\ue001]", "x"), r"[\x{10000}-\x{10FFFF}]", "\ue000\ue001")
+    before = F.substring(marked, F.lit(1), units)
+    pairs = F.length(before) - F.length(F.replace(before, F.lit("\ue001"), F.lit("")))
+    return F.when((units > 0) & text.rlike(r"[\x{10000}-\x{10FFFF}]"), units - pairs).otherwise(units)
+
+
 def by_selector(rule: Column, nodes: Column, tokens: Column, text: Column) -> Column:
     """Exactly one non-empty match is a value; ambiguity and bad selectors are errors."""
     def judge(found):
@@ -134,13 +156,10 @@ def by_selector(rule: Column, nodes: Column, tokens: Column, text: Column) -> Co
 
 
 def postprocess(value: Column, steps: Column) -> Column:
-    """The three steps do not depend on their order; an unknown step stops the job."""
-    unknown = F.filter(steps, lambda s: ~s.isin(*POSTPROCESS))
-    clean = F.when(F.array_contains(steps, "normalize_date"), normalize_date(value)) \
+    """The three steps do not depend on their order; rules with unknown steps never get here."""
+    return F.when(F.array_contains(steps, "normalize_date"), normalize_date(value)) \
         .when(F.array_contains(steps, "normalize_whitespace"), collapse(value)) \
         .when(F.array_contains(steps, "strip"), F.trim(value)).otherwise(value)
-    return F.when(F.size(unknown) > 0, F.raise_error(F.concat(
-        F.lit("unsupported postprocess function: "), F.get(unknown, F.lit(0))))).otherwise(clean)
 
 
 def confidence(strategy: Column, value: Column, score: Column) -> Column:
@@ -154,8 +173,8 @@ def confidence(strategy: Column, value: Column, score: Column) -> Column:
 def run_rule(rule: Column, page: dict[str, Column]) -> Column:
     """STRUCT<value, evidence, error> of one compiled rule on one page."""
     strategy = rule["strategy"]
-    branch = F.when(strategy == "text_near_label", near_label(
-        page["lines"], page["text"], rule["labels"])) \
+    branch = F.when(rule["error"].isNotNull(), _miss(rule["error"])) \
+        .when(strategy == "text_near_label", near_label(page["lines"], page["text"], rule["labels"])) \
         .when(strategy == "regex_on_text", by_pattern(page["text"], rule["pattern"], rule["has_group"]))
     if "nodes" in page:
         branch = branch.when(strategy.isin("css", "xpath"), by_selector(
@@ -168,7 +187,7 @@ def run_rule(rule: Column, page: dict[str, Column]) -> Column:
             answer["value"], answer["evidence"], answer["error"]).cast(_HIT_TYPE))
     else:
         branch = branch.when(strategy == "llm_fallback", _miss())
-    return branch.otherwise(F.raise_error(F.concat(F.lit("unsupported strategy: "), strategy)))
+    return branch.otherwise(_miss())
 
 
 def run_field(field: Column, position: Column, rules: Column, page: dict[str, Column],
@@ -243,25 +262,36 @@ def extract_fields(pages: DataFrame, allow_model: bool = False) -> DataFrame:
         .withColumn("overall_confidence", overall_confidence(F.col("results")))
 
 
-def with_programs(pages: DataFrame, programs: DataFrame, on: str = "schema_id") -> DataFrame:
-    """Bring each page its schema's fields and compiled rules."""
+def _programs(pages: DataFrame, programs: DataFrame, on: str) -> DataFrame:
+    """Every page with its schema's fields and compiled rules; a page without a program has none.
+
+    ``program_error`` says so, and such a page has no results.
+    """
     ready = programs.select(on, "fields", compile_rules(F.col("rules")).alias("compiled"))
-    return attach(pages, ready, on, how="inner")
+    joined = attach(pages, ready, on, how="left")
+    types = dict(ready.dtypes)
+    missing = F.when(F.col("fields").isNull(), F.concat(F.lit("no program for schema "), F.coalesce(
+        F.col(on).cast("string"), F.lit("(none)"))))
+    return joined.withColumn("program_error", missing).withColumns({
+        c: F.coalesce(c, F.array().cast(types[c])) for c in ("fields", "compiled")})
+
+
+def with_programs(pages: DataFrame, programs: DataFrame, on: str = "schema_id") -> DataFrame:
+    """Bring each page its schema's fields and compiled rules; no page is lost."""
+    return _programs(pages, programs, on)
 
 
 def prepare(pages: DataFrame, programs: DataFrame, on: str = "schema_id", keep: tuple[str, ...] = ("page_id", "url"),
             markup: str = "html") -> DataFrame:
     """Views and programs for pages with their markup.
 
-    Only pages whose program holds an enabled DOM rule are parsed into trees; the others pass the
-    parsing stage with nothing to parse.
+    Programs join the raw pages once and go with them through the parsing stage. Only pages whose
+    program holds an enabled DOM rule are parsed into trees; the others have nothing to parse.
     """
-    dom_rules = F.exists("rules", lambda r: r["enabled"] & r["strategy"].isin("css", "xpath"))
-    marked = attach(pages, programs.select(on, dom_rules.alias("_dom")), on, how="inner") \
-        .withColumn("_markup", F.when(F.col("_dom"), F.col(markup)))
-    rows = page_trees(marked, (*keep, on, markup), "_markup").withColumn("lines", lines_of(markup)) \
-        .withColumn("text", join_lines(F.col("lines"))).drop(markup)
-    return with_programs(rows, programs, on)
+    dom = F.exists("compiled", lambda r: r["enabled"] & r["strategy"].isin("css", "xpath"))
+    marked = _programs(pages.select(*keep, on, markup), programs, on).withColumn("_markup", F.when(dom, F.col(markup)))
+    rows = page_trees(marked, (*keep, on, markup, "fields", "compiled", "program_error"), "_markup")
+    return rows.withColumn("lines", lines_of(markup)).withColumn("text", join_lines(F.col("lines"))).drop(markup)
 
 
 def with_one_program(pages: DataFrame, program: DataFrame) -> DataFrame:

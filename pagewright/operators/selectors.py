@@ -180,7 +180,7 @@ def matches(nodes: Column, tokens: Column, selector: Column, attribute: Column)
             own = F.transform(F.filter(
                 F.slice(tokens, n["tok_from"] + 1, n["tok_to"] - n["tok_from"]),
                 lambda t: t["node"] == n["id"]), lambda t: t["text"])
-            attr = F.try_element_at(n["attrs"], F.substring(tail, 2, 200))
+            attr = F.try_element_at(n["attrs"], F.substring(tail, F.lit(2), F.length(tail)))
             found = F.when(tail.isNull(), F.array(whole)).when(tail == "text()", own) \
                 .otherwise(F.array_compact(F.array(attr)))
             return F.transform(found, lambda v: F.struct(

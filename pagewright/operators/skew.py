@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +47,10 @@ def attach(big: DataFrame, side: DataFrame, on: str | Sequence[str], how: str =
         return big.join(side, keys, how)
     if fits_broadcast(hot, rows):
         hot = F.broadcast(hot)
-    salt = F.coalesce(F.pmod(F.xxhash64(*_hashable(big)), F.col("_n")), F.lit(0)).cast("int")
+    # A row without a key matches nothing; such rows are spread whatever their number.
+    keyless = functools.reduce(operator.or_, [F.col(k).isNull() for k in keys])
+    salt = F.when(keyless, F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts))).otherwise(
+        F.coalesce(F.pmod(F.xxhash64(*_hashable(big)), F.col("_n")), F.lit(0))).cast("int")
     salted = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_n")
     copies = side.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(
         F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1))).drop("_n")
@@ -85,14 +90,23 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
         *keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     local = cut.withColumn("_local", F.row_number().over(
         Window.partitionBy(*keys, "_range").orderBy(*order)))
-    return local.join(sizes, [*keys, "_range"]).withColumn(
+    return _null_safe(local, sizes, [*keys, "_range"]).withColumn(
         name, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which missing keys are equal to each other."""
+    other = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])
+    return left.join(other, same).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float],
-                key_rows: int = KEY_ROWS, accuracy: int = 10_000) -> DataFrame:
+                key_rows: int = KEY_ROWS, accuracy: int = 10_000, mean: str | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles: ``keys``, ``n`` and ``percentiles`` (in order).
 
+    ``mean`` names a further column for the mean of the values.
+
     Keys with few rows use the built-in exact aggregate. For larger ones a mergeable sketch
     brackets each wanted rank, only the rows inside the bracket are kept (as value counts), and
     the bracket is narrowed again until it is small.
@@ -102,9 +116,13 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence
     largest = largest_group(rows, keys)
     if largest <= key_rows:
         grouped = rows.groupBy(*keys) if keys else rows
+        extra = [F.avg("_v").alias(mean)] if mean else []
         return grouped.agg(F.count("_v").alias("n"),
-                           F.percentile("_v", F.array(*[F.lit(p) for p in points])).alias("percentiles"))
-    return _narrowed(rows, keys, points, key_rows, accuracy)
+                           F.percentile("_v", F.array(*[F.lit(p) for p in points])).alias("percentiles"), *extra)
+    out = _narrowed(rows, keys, points, key_rows, accuracy)
+    if mean:
+        out = _null_safe(out, rows.groupBy(*keys).agg(F.avg("_v").alias(mean)), keys)
+    return out
 
 
 def _narrowed(rows: DataFrame, keys: list[str], points: Sequence[float], key_rows: int,
@@ -119,11 +137,14 @@ def _narrowed(rows: DataFrame, keys: list[str], points: Sequence[float], key_row
                   "_k", "inner")
     live = live.select("_k", "_v", F.inline("_w"), F.lit(0).cast("bigint").alias("_skip"))
     live = live.groupBy("_k", "_q", "_lo", "_hi", "_skip", "_v").agg(F.count("*").alias("_c"))
+    before = None
     while True:
         live = durable(live)
         state = live.groupBy("_k", "_q").agg(F.count("*").alias("m"))
-        if (state.agg(F.max("m")).first()[0] or 0) <= key_rows:
+        most = state.agg(F.max("m")).first()[0] or 0
+        if most <= key_rows or most == before:  # few enough, or nothing left to narrow
             break
+        before = most
         live = _bracket(live, accuracy)
     upto = Window.partitionBy("_k", "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = live.withColumn("_end", F.col("_skip") + F.sum("_c").over(upto)) \

@@ -327,9 +327,8 @@ def metric_summary(runs: DataFrame) -> DataFrame:
 def node_summary(nodes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """Mean and p95 runtime per node, skipped runs left out."""
     timed = nodes.filter(F.col("runtime_ms").isNotNull() & (F.col("status") != "skipped"))
-    mean = timed.groupBy("node").agg(F.avg("runtime_ms").alias("average_runtime_ms"))
-    tail = percentiles(timed, ["node"], "runtime_ms", [0.95], key_rows)
-    return mean.join(tail, "node").select(
+    tail = percentiles(timed, ["node"], "runtime_ms", [0.95], key_rows, mean="average_runtime_ms")
+    return tail.select(
         "node", "average_runtime_ms", F.get("percentiles", F.lit(0)).alias("p95_runtime_ms"),
         F.col("n").alias("sample_count"))
 

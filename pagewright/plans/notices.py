@@ -143,7 +143,7 @@ def date_normalisation(spark, folder):
 
 @query(r"""WITH d AS (SELECT doc_id, source, lang, text, trim(regexp_replace(text,'\s+',' ','g')) AS c,
     list_transform(string_split(text,chr(10)), lambda l: nullif(left(trim(regexp_replace(l,'\s+',' ','g')),120),'')) AS ls FROM documents),
-  k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(left(c,80)),'-','_'),' ','_'),
+  k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(c),'-','_'),' ','_'),
     '[^\x00-\x7F]','','g'),'[^a-z0-9_]','_','g'),'_+','_','g'),'_') AS ident FROM d)
   SELECT doc_id, nullif(left(CASE WHEN regexp_matches(ident,'^[0-9]') THEN 'field_'||ident ELSE ident END,64),'') AS identifier,
     nullif(left(c,240),'') AS safe, CASE WHEN length(trim(text,' '||chr(9)||chr(10)||chr(13))) BETWEEN 1 AND 500
@@ -152,7 +152,7 @@ def date_normalisation(spark, folder):
 def text_cleanup(spark, folder):
     d = spread(table(spark, folder, "documents"))
     return d.select(
-        "doc_id", tx.field_identifier(F.substring(tx.collapse(F.col("text")), 1, 80)).alias("identifier"),
+        "doc_id", tx.field_identifier(tx.collapse(F.col("text"))).alias("identifier"),
         tx.safe_text(F.col("text")).alias("safe"), tx.optional_text(F.col("text")).alias("optional"),
         tx.estimate_tokens(F.length("text")).cast("bigint").alias("tokens"),
         web.fingerprint(F.col("text")).alias("hash"))

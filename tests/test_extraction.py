@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
-from pagewright.operators import answers, collection, dom, extract, specs, verify
+from pagewright.operators import answers, collection, dom, extract, selectors, specs, verify
 from pagewright.sources import tables
 
 NOTICE = [("title", "text", True, "通知标题", []), ("publish_date", "date", False, "发布时间", ["发布日期"]),
@@ -69,15 +69,45 @@ def test_only_pages_with_dom_rules_are_parsed(spark):
     programs = fields.withColumn("schema_id", F.lit("text")).withColumn("rules", F.array(*rules["text"])).unionByName(
         fields.withColumn("schema_id", F.lit("dom")).withColumn("rules", F.array(*rules["dom"])))
     rows = extract.extract_fields(extract.prepare(pages, programs)).orderBy("page_id").collect()
-    assert [(r.page_id, [x.value for x in r.results], len(r.nodes) > 0) for r in rows] == [(1, ["A", "Head"], True), (2, ["B", None], False)]
+    assert [(r.page_id, [x.value for x in r.results], len(r.nodes) > 0) for r in rows] == [(1, ["A", "Head"], True), (2, ["B", None], False), (3, [], False)]
 
 
-def test_unknown_strategy_and_step_stop_the_job(spark):
-    base = spark.range(1).withColumn("text", F.lit("x")).withColumn("lines", F.array(F.lit("x: y"))).join(
-        schema(spark, [("a", "text", True, "a", [])]))
-    for rule in (specs._rule("a", "magic"), specs._rule("a", "text_near_label", label="x", postprocess=specs._strings("boom"))):
-        with pytest.raises(Exception, match="unsupported"):
-            extract.extract_fields(base.withColumn("rules", F.array(rule))).collect()
+def test_rules_that_cannot_run_fail_on_their_field_only(spark):
+    base = spark.range(1).withColumn("text", F.lit("x: y")).withColumn("lines", F.array(F.lit("x: y"))).join(
+        schema(spark, [("a", "text", True, "a", []), ("b", "text", True, "b", [])]))
+    good = specs._rule("b", "text_near_label", label="x")
+    for rule, error in ((specs._rule("a", "magic"), "unsupported strategy: magic"),
+                        (specs._rule("a", "text_near_label", label="x", postprocess=specs._strings("boom")), "unsupported postprocess function: boom"),
+                        (specs._rule("a", "regex_on_text", pattern="(x"), "invalid pattern: (x")):
+        first, second = extract.extract_fields(base.withColumn("rules", F.array(rule, good))).first().results
+        assert (first.status, first.error_message) == ("missing", error) and second.value == "y"
+
+
+def test_pages_without_a_program_are_kept(spark):
+    pages = spark.createDataFrame([(1, "u", "s", "<p>name: A</p>"), (2, "u", "other", "<p>name: B</p>"), (3, "u", None, "<p>name: C</p>")],
+                                  "page_id bigint, url string, schema_id string, html string")
+    programs = specs.build_programs(schema(spark, [("name", "text", True, "", ["name"])]))
+    rows = extract.extract_fields(extract.prepare(pages, programs)).orderBy("page_id").collect()
+    assert [(r.page_id, len(r.results), r.program_error) for r in rows] == [
+        (1, 1, None), (2, 0, "no program for schema other"), (3, 0, "no program for schema (none)")]
+
+
+@pytest.mark.parametrize("text,start,end", [("🙂🙂🙂 x42", 4, 7), ("a 🙂 x42 🙂", 4, 7), ("\ue000\ue001🙂x42", 3, 6), ("plain x42", 6, 9)])
+def test_offsets_count_characters(spark, text, start, end):
+    rules = F.array(specs._rule("a", "regex_on_text", pattern=r"x\d+"))
+    row = spark.createDataFrame([(text,)], "text string").withColumn("lines", F.array("text")).join(
+        schema(spark, [("a", "text", True, "a", [])])).withColumn("rules", rules)
+    found = extract.extract_fields(row).first().results[0].evidence[0]
+    assert (found.start_char, found.end_char) == (start, end)
+
+
+def test_long_attribute_names(spark):
+    name = "data-" + "x" * 300
+    tree = dom.page_trees(spark.createDataFrame([(1, f'<p {name}="v">t</p>')], "page_id bigint, html string"))
+    got = tree.select(selectors.matches(F.col("nodes"), F.col("tokens"), selectors.xpath_selector(F.lit(f"//p/@{name}")),
+                                        F.lit(None).cast("string")).alias("m")).first().m
+    assert [m.value for m in got] == ["v"]
+
 
 
 def results(spark, rows):

@@ -181,3 +181,25 @@ def test_page_queries_do_not_shuffle(spark, folder):
     with contextlib.redirect_stdout(plan):
         body.select_body(intent.assess_intent(dom.page_trees(pages))).select("page_id", "intent", "body").explain("formatted")
     assert "Exchange" not in plan.getvalue() and "ReadSchema: struct<page_id:bigint,html:string>" in plan.getvalue()
+
+
+def test_missing_keys_survive_on_every_path(spark):
+    rows = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id") % 4).alias("k"), (F.col("id") % 50).alias("t"), "id")
+    plain = skew.with_position(rows, ["k"], [F.col("t"), F.col("id")], "p")
+    ranged = skew.with_position(rows, ["k"], [F.col("t"), F.col("id")], "p", key_rows=10)
+    assert ranged.count() == 600 and plain.exceptAll(ranged).count() == 0
+    side = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    for how in ("left", "inner"):
+        want = rows.join(side, "k", how)
+        for hot in (10, 10_000):
+            got = skew.attach(rows, side, "k", how, rows=1, hot_rows=hot, salts=4)
+            assert got.count() == want.count() and want.exceptAll(got).count() == 0
+    empty = rows.filter("id < 0")
+    assert skew.attach(empty, side, "k", rows=1).count() == 0 and skew.with_position(empty, ["k"], [F.col("id")], "p", key_rows=1).count() == 0
+
+
+def test_node_without_a_name_is_summarised(spark):
+    nodes = spark.createDataFrame([(n, float(i), "success") for i, n in enumerate(["a", None, "a", None, None])], "node string, runtime_ms double, status string")
+    for key_rows in (100, 1):
+        got = {r.node: (r.average_runtime_ms, r.sample_count) for r in telemetry.node_summary(nodes, key_rows).collect()}
+        assert got == {"a": (1.0, 2), None: (pytest.approx(8 / 3), 3)}
