@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 NODE_TYPE = (
     "struct<id:int,parent:int,last:int,depth:int,tag:string,nth:int,same:int,line:int,"
     "id_attr:string,class_attr:string,attrs:map<string,string>,"
@@ -265,6 +267,7 @@ def _to_arrow(trees: list[_Tree]) -> tuple[pa.ListArray, pa.ListArray]:
 
 def page_trees(pages: DataFrame, keep: tuple[str, ...] = ("page_id",), markup: str = "html") -> DataFrame:
     """One row per page: the kept columns, ``nodes`` and ``tokens``."""
+    ship(pages.sparkSession)
     kept = pages.select(*keep, markup)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

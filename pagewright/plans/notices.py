@@ -88,7 +88,7 @@ _r AS ({_label_sql(0, "order_no", "text", "true", "l1", "CAST(id AS VARCHAR)")}
   UNION ALL {_label_sql(3, "deadline", "date", "false", "l4", "CASE WHEN l4 IS NOT NULL THEN due END")}
   UNION ALL {_label_sql(4, "priority", "text", "false", "l5", "CASE WHEN id%2=1 THEN substring(l5,5) END")}
   UNION ALL {_label_sql(5, "amount", "number", "true", "l6", "substring(l6,4)")}),
-fr AS (SELECT id, pos, field, ftype, required, raw, CASE WHEN ftype='date' THEN {sql.iso_date("raw")} ELSE raw END AS val,
+fr AS MATERIALIZED (SELECT id, pos, field, ftype, required, raw, CASE WHEN ftype='date' THEN {sql.iso_date("raw")} ELSE raw END AS val,
     CASE WHEN raw IS NOT NULL THEN {sql.snippet("txt", "(strpos(txt,line)-1)", "(strpos(txt,line)-1+length(line))")} END AS ev,
     CASE WHEN raw IS NULL THEN 0.0 ELSE CASE strategy WHEN 'regex_on_text' THEN 0.755 ELSE 0.855 END
       -CASE WHEN length(raw)<2 THEN 0.075 ELSE 0 END END AS conf,
@@ -118,12 +118,14 @@ def verify_issue_counts(spark, folder):
         "field_name", "code", "severity").agg(F.count("*").alias("issues"))
 
 
-@query(f"""WITH {_FOUND}, {sql.ISSUES} SELECT fr.id AS page_id, fr.field AS field_name,
+@query(f"""WITH {_FOUND}, {sql.ISSUES}, x AS (SELECT id, field, arg_max(code, ord) AS code, arg_max(code, ord) FILTER (
+    severity<>'warning') AS hard FROM iss GROUP BY 1,2)
+  SELECT fr.id AS page_id, fr.field AS field_name,
   CASE WHEN required AND status='missing' THEN 'required_field_missing' WHEN conf<0.35 AND ev IS NULL THEN 'low_confidence'
-    ELSE x.code END AS reason FROM fr LEFT JOIN (SELECT iss.id, iss.field, arg_max(code, ord) AS code FROM iss JOIN fr
-      ON iss.id=fr.id AND iss.field=fr.field WHERE NOT (severity='warning' AND NOT required AND conf>=0.45 AND ev IS NOT NULL)
-      GROUP BY 1,2) x ON x.id=fr.id AND x.field=fr.field
-  WHERE (required AND status='missing') OR (conf<0.35 AND ev IS NULL) OR x.code IS NOT NULL""")
+    WHEN NOT required AND conf>=0.45 AND ev IS NOT NULL THEN x.hard ELSE x.code END AS reason
+  FROM fr LEFT JOIN x ON x.id=fr.id AND x.field=fr.field
+  WHERE (required AND status='missing') OR (conf<0.35 AND ev IS NULL)
+    OR CASE WHEN NOT required AND conf>=0.45 AND ev IS NOT NULL THEN x.hard ELSE x.code END IS NOT NULL""")
 def notice_fallback(spark, folder):
     rows = verify.decide_fallback(verify.verify(read_back(spark, folder)))
     return rows.select("page_id", F.inline("fallback"))

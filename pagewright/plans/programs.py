@@ -239,7 +239,7 @@ def listed_versions(spark, folder):
   FROM supplier JOIN nation ON s_nationkey=n_nationkey""")
 def content_signatures(spark, folder):
     s = table(spark, folder, "supplier").join(
-        F.broadcast(table(spark, folder, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     fields = F.array(_field("f", "d", "text", True, F.array(F.col("s_name"))))
     return s.select(F.col("s_suppkey").alias("schema_id"), specs.schema_signature(
         F.col("s_name"), F.col("n_name"), F.lit("supply"), fields).alias("sig"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..operators import iterations, review, skew, telemetry
 from ..operators.evaluate import ENVELOPE
 from ..sources.sinks import drop_heavy, latest_per_key, read_upserted
@@ -107,7 +106,7 @@ def run_summary_large(spark, folder):
 def recent_run_summary(spark, folder):
     """The last 48 hours of root runs; 'now' is the newest event."""
     runs = _runs(spark, folder)
-    now = F.lit(runs.agg(F.max("created_at")).first()[0])
+    now = runs.agg(F.max("created_at")).scalar()
     return _rounded(telemetry.summarize_runs(telemetry.recent_roots(runs, now, 48)))
 
 
@@ -265,11 +264,8 @@ def user_sessions(spark, folder):
 # -- streams ---------------------------------------------------------------------------------
 
 def _place(spark: SparkSession) -> str:
-    """A fresh folder for a stream's state: in the shared checkpoint folder if the session names one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        return tempfile.mkdtemp(prefix="pagewright-stream-")
-    return f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{next(tempfile._get_candidate_names())}"
+    """A fresh folder for a stream's output and state, shared by all executors."""
+    return session.shared_folder(spark, "stream")
 
 
 def _stream(spark, folder) -> DataFrame:

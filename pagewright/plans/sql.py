@@ -78,7 +78,7 @@ def snippet(txt: str, start: str, end: str) -> str:
 # Needs fr(id, pos, field, ftype, required, val, ev, conf, strategy, err); gives iss(id, field, code, severity, ord)
 ISSUES = rf"""
 chk AS (SELECT *, val IS NULL OR trim(val)='' AS miss FROM fr),
-iss AS (
+iss AS MATERIALIZED (
   SELECT id, field, pos, 1 AS ord, 'llm_fallback_failed' AS code, CASE WHEN required THEN 'error' ELSE 'warning' END AS severity
     FROM chk WHERE status='fallback_failed'
   UNION ALL SELECT id, field, pos, 1, 'program_execution_failed', CASE WHEN required AND miss THEN 'error' ELSE 'warning' END

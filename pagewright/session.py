@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +64,18 @@ def durable(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder for intermediate tables and stream state, below the one all executors share.
+
+    The place is ``spark.checkpoint.dir``; only a local session without it uses its own temporary
+    folder.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = os.path.join(tempfile.gettempdir(), "pagewright-shared")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
