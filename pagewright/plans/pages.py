@@ -174,9 +174,24 @@ def second_page_checks(spark, folder):
 
 # -- trees -----------------------------------------------------------------------------------
 
-@query()
+@query(rf"""WITH {sql.BLOCKS}, _s AS (SELECT page_id, string_split(h,'<')[2:] AS s FROM _bare),
+  _l AS (SELECT page_id, list_transform(s, lambda x: regexp_extract(x,'^/?[a-z][a-z0-9]*')) AS g,
+    list_transform(s, lambda x: {sql.entities("regexp_replace(x,'^[^>]*>','')")}) AS t FROM _s),
+  _t AS (SELECT page_id, k, g[k] AS tag, t FROM _l, unnest(range(1,len(g)+1)) AS u(k)),
+  _e AS (SELECT page_id, k, tag, t, row_number() OVER (PARTITION BY page_id ORDER BY k)-1 AS id FROM _t WHERE regexp_matches(tag,'^[a-z]')),
+  -- Bold text is never closed; it ends with its paragraph, which ends with the next one or the article.
+  _z AS (SELECT e.page_id, e.id, e.tag, e.k, any_value(e.t) AS t, min(c.k) AS z FROM _e e LEFT JOIN _t c ON c.page_id=e.page_id AND c.k>e.k
+    AND CASE WHEN e.tag IN ('p','b') THEN c.tag IN ('p','/p','/article') ELSE c.tag='/'||e.tag END GROUP BY 1,2,3,4),
+  _m(tag, up, depth) AS (VALUES ('html','',0), ('head','html',1), ('body','html',1), ('meta','head',2), ('title','head',2),
+    ('nav','body',2), ('div','body',2), ('article','body',2), ('footer','body',2), ('ul','nav',3), ('li','ul',4), ('a','li',5),
+    ('h1','article',3), ('p','article',3), ('b','p',4), ('br','b',5)),
+  _p AS (SELECT z.*, m.depth, coalesce((SELECT max(o.id) FROM _e o WHERE o.page_id=z.page_id AND o.tag=m.up AND o.id<z.id),-1) AS parent
+    FROM _z z JOIN _m m USING (tag))
+  SELECT page_id, id, parent, depth, tag, row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY id) AS nth,
+    CASE WHEN tag IN ('br','meta') THEN '' ELSE {sql.collapse("array_to_string(list_slice(t,k,coalesce(z-1,len(t))),' ')")} END AS text FROM _p""")
 def dom_nodes(spark, folder):
-    return dom.node_table(trees(spark, folder))
+    return dom.node_table(trees(spark, folder)).select(
+        "page_id", big("id"), big("parent"), big("depth"), "tag", big("nth"), "text")
 
 
 @query(rf"""WITH {sql.BLOCKS} SELECT page_id, tag, count(*) AS nodes FROM (SELECT page_id,
