@@ -49,6 +49,18 @@ def assign_sequence(events: DataFrame, key: str = "task_id", ts: str = "ts", tie
     return with_position(events, [key], [F.col(ts), F.col(tie)], "sequence", key_rows)
 
 
+def continue_sequence(stored: DataFrame, fresh: DataFrame, key: str = "task_id", ts: str = "ts", tie: str = "event_id",
+                      key_rows: int = KEY_ROWS) -> DataFrame:
+    """Numbers for new events that go on where each task's stored ones end.
+
+    Stored events are not numbered again: only their largest number per task is read.
+    """
+    ends = stored.groupBy(key).agg(F.max("sequence").alias("_end")).withColumnRenamed(key, "_task")
+    numbered = assign_sequence(fresh, key, ts, tie, key_rows)
+    return numbered.join(ends, F.col(key).eqNullSafe(F.col("_task")), "left").withColumn(
+        "sequence", F.col("sequence") + F.coalesce("_end", F.lit(0))).drop("_task", "_end")
+
+
 def page_after(events: DataFrame, task_id, cursor: int = 0, size: int = 200) -> DataFrame:
     """Next page of one task's events in order, with the cursor to continue from."""
     return events.filter((F.col("task_id") == F.lit(task_id)) & (F.col("sequence") > cursor)) \

@@ -131,6 +131,47 @@ def notice_fallback(spark, folder):
     return rows.select("page_id", F.inline("fallback"))
 
 
+@query(f"""WITH {_FOUND} SELECT id AS page_id, field AS field_name, CASE WHEN required THEN 'field_not_returned' END AS code,
+  CASE WHEN required THEN 'error' END AS severity FROM fr WHERE pos=id%6""")
+def unreturned_fields(spark, folder):
+    """Each notice's results without one field: an error if the field is required, else nothing."""
+    rows = read_back(spark, folder).withColumn("results", F.filter(
+        "results", lambda r: r["field_pos"] != F.col("page_id") % 6))
+    judged = verify.verify(rows).withColumn("f", F.get("fields", (F.col("page_id") % 6).cast("int"))["name"])
+    issue = F.get(F.filter("issues", lambda i: i["field_name"] == F.col("f")), F.lit(0))
+    found = F.when(issue["code"] == "field_not_returned", issue)
+    return judged.select("page_id", F.col("f").alias("field_name"), found["code"].alias("code"), found["severity"].alias("severity"))
+
+
+@query(f"""WITH {_FOUND} SELECT id AS page_id, CASE WHEN kind IN ('1-URGENT','2-HIGH') OR id%5=0 THEN 0 ELSE count(*) END AS fields,
+  CASE WHEN id%5=0 THEN 'no program for schema (none)' WHEN kind IN ('1-URGENT','2-HIGH') THEN 'no program for schema '||kind END AS program_error
+  FROM fr JOIN (SELECT o_orderkey AS k, o_orderpriority AS kind FROM orders) o ON o.k=fr.id GROUP BY id, kind""")
+def pages_without_program(spark, folder):
+    """Notices of unknown and missing schemas stay, without results and with the reason."""
+    programs = specs.build_programs(notice_schemas(spark, folder).filter("schema_id NOT IN ('1-URGENT','2-HIGH')"))
+    rows = notices(spark, folder).withColumn("schema_id", F.when(F.col("page_id") % 5 != 0, F.col("schema_id")))
+    out = extract.extract_fields(extract.with_programs(rows, programs))
+    return out.select("page_id", F.size("results").cast("bigint").alias("fields"), "program_error")
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id%4 AS n, '🙂 '||text AS t FROM documents),
+  m AS (SELECT *, regexp_extract(t,'(?i)[a-z]+ing',0) AS v FROM d)
+  SELECT doc_id, CASE WHEN v<>'' THEN strpos(t,v)-1 END AS start_char, CASE WHEN v<>'' THEN strpos(t,v)-1+length(v) END AS end_char,
+    CASE WHEN n=0 THEN 'invalid pattern: (open' WHEN n=1 THEN 'unsupported strategy: guess' END AS broken_rule FROM m""")
+def pattern_offsets(spark, folder):
+    """Offsets behind a character of two units; a rule that cannot run leaves the next field alone."""
+    d = spread(table(spark, folder, "documents")).select("doc_id", F.concat(F.lit("🙂 "), "text").alias("text"))
+    field = [F.struct(F.lit(n).alias("name"), F.lit("").alias("description"), F.lit("text").alias("type"), F.lit(False).alias("required"),
+                      specs._strings().alias("aliases"), specs._strings().alias("examples")).cast(specs.FIELD_TYPE) for n in ("bad", "good")]
+    bad = F.when(F.col("doc_id") % 4 == 0, F.array(specs._rule("bad", "regex_on_text", pattern="(open"))).when(
+        F.col("doc_id") % 4 == 1, F.array(specs._rule("bad", "guess"))).otherwise(F.array(specs._rule("bad", "text_near_label", label="§§")))
+    rows = d.withColumn("lines", specs._strings()).withColumn("fields", F.array(*field)).withColumn(
+        "rules", F.concat(bad, F.array(specs._rule("good", "regex_on_text", pattern="[a-z]+ing"))))
+    done = extract.extract_fields(rows).select("doc_id", F.get("results", F.lit(0))["error_message"].alias("broken_rule"),
+                                               F.get(F.get("results", F.lit(1))["evidence"], F.lit(0)).alias("e"))
+    return done.select("doc_id", big("e.start_char"), big("e.end_char"), "broken_rule")
+
+
 @query(f"""SELECT o_orderkey AS order_id, {_date("o_orderdate").format(s="VARCHAR")} AS written,
   strftime(o_orderdate,'%Y-%m-%d') AS iso, concat('共',CAST(o_orderkey AS VARCHAR),' 2024-13-99') AS broken FROM orders""")
 def date_normalisation(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..operators import iterations, review, skew, telemetry
 from ..operators.evaluate import ENVELOPE
-from ..sources.sinks import drop_heavy, latest_per_key, read_upserted
+from ..sources.sinks import append, drop_heavy, latest_per_key, read_upserted
 from ..sources.tables import stored, table
 from ..streaming import events as stream
 from .extraction import verified as verified_pages
@@ -41,6 +41,29 @@ def event_sequence_hot_tasks(spark, folder):
     return telemetry.assign_sequence(log(spark, folder), key_rows=20).select("event_id", "task_id", "sequence")
 
 
+@query(f"WITH {_LOG} SELECT event_id, task_id, sequence FROM seq")
+def appended_sequence(spark, folder):
+    """The log in two appends: the second goes on with the numbers that the first has stored."""
+    rows = log(spark, folder)
+    middle = rows.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2))
+                      .cast(rows.schema["ts"].dataType)).scalar()
+    place = f"{_place(spark)}/log"
+    append(telemetry.assign_sequence(rows.filter(F.col("ts") < middle)), place)
+    stored_log = spark.read.parquet(place)
+    append(telemetry.continue_sequence(stored_log, rows.filter(F.col("ts") >= middle)), place)
+    return spark.read.schema(stored_log.schema).parquet(place).select("event_id", "task_id", "sequence")
+
+
+_KEYLESS = f"""{_LOG}, nul AS (SELECT event_id, ts, CASE WHEN task_id%3=0 THEN NULL ELSE task_id END AS task_id, value FROM log)"""
+
+
+@query(f"""WITH {_KEYLESS} SELECT event_id, task_id, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS sequence FROM nul""")
+def event_sequence_missing_tasks(spark, folder):
+    """Events of no known task are numbered too, whatever their share; on the path for large tasks."""
+    rows = log(spark, folder).withColumn("task_id", F.when(F.col("task_id") % 3 != 0, F.col("task_id")))
+    return telemetry.assign_sequence(rows, key_rows=20).select("event_id", "task_id", "sequence")
+
+
 @query(f"""WITH {_LOG} SELECT event_id, sequence, event_type FROM seq WHERE task_id=8 AND sequence>5
   ORDER BY sequence LIMIT 200""")
 def event_cursor_page(spark, folder):
