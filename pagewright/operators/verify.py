@@ -70,23 +70,23 @@ def _field_issues(field: Column, result: Column) -> Column:
     floor = F.coalesce(F.try_element_at(
         F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), result["strategy"]), F.lit(0.0))
     first = F.when(failed, _issue(name, "llm_fallback_failed", weight, F.coalesce(
-        F.nullif(note, F.lit("")), F.lit("LLM fallback failed explicitly.")))) \
+        F.nullif(note, F.lit("")), F.lit("The model gave an error.")))) \
         .when(note != "", _issue(name, "program_execution_failed",
                                  F.when(required & missing, "error").otherwise("warning"), note))
     rest = F.array(
-        F.when(missing, _issue(name, "required_field_missing", "error", "必填字段缺失。")),
+        F.when(missing, _issue(name, "required_field_missing", "error", "A required field has no value.")),
         F.when(~missing & ~matches_type(value, field["type"]), _issue(
             name, "field_type_mismatch", weight,
-            F.concat(F.lit("字段值不符合 "), field["type"], F.lit(" 类型。")))),
+            F.concat(F.lit("The value is no "), field["type"], F.lit(".")))),
         F.when(~missing & (field["type"] == "date") & (normalize_date(value) != value), _issue(
-            name, "date_normalization_failure", "warning", "日期没有归一化为 YYYY-MM-DD。")),
+            name, "date_normalization_failure", "warning", "The date is not written year-month-day.")),
         F.when(~missing & ~supports(result["evidence"], value), _issue(
-            name, "evidence_not_supporting_value", "warning", "证据文本不能直接支持字段值。")),
+            name, "evidence_not_supporting_value", "warning", "The evidence does not show the value.")),
         F.when(thin, _issue(name, "empty_or_low_quality_evidence",
-                            F.when(missing, "error").otherwise("warning"), "证据为空或质量过低。")),
+                            F.when(missing, "error").otherwise("warning"), "Evidence is absent or too short.")),
         F.when(~missing & (result["confidence"] < floor), _issue(
-            name, "low_confidence", "warning", "置信度低于当前策略的建议阈值。")))
-    absent = F.when(required, F.array(_issue(name, "field_not_returned", "error", "字段没有出现在抽取结果中。"))) \
+            name, "low_confidence", "warning", "Confidence is lower than usual for this strategy.")))
+    absent = F.when(required, F.array(_issue(name, "field_not_returned", "error", "Extraction gave no row for the field."))) \
         .otherwise(F.array().cast(f"array<{ISSUE_TYPE}>"))
     # An optional field without a value is not checked further.
     some = F.when(required | ~missing, F.concat(F.array(first), rest)).otherwise(F.array(first))
@@ -104,7 +104,7 @@ def _date_confusion(results: Column) -> Column:
         mixed = F.array_join(published["evidence"]["text"], " ").contains("截止") \
             | F.array_join(due["evidence"]["text"], " ").contains("发布")
         return F.when(F.coalesce(same & mixed, F.lit(False)), _issue(
-            "publish_date", "publish_date_deadline_confusion", "warning", "发布日期和截止日期可能被混淆。"))
+            "publish_date", "publish_date_deadline_confusion", "warning", "Publication date and deadline may be swapped."))
 
     return let(F.struct(_named(results, "publish_date").alias("p"), _named(results, "deadline").alias("d")), judge)
 
@@ -272,7 +272,7 @@ def check_expected(verified: DataFrame, expected: str = "expected_values") -> Da
     def test(e, results):
         got = F.get(F.filter(results, lambda r: r["field_name"] == e["key"]), F.lit(0))
         return F.when(collapse(effective(got)) != collapse(e["value"]), _issue(
-            e["key"], "guidance_mismatch", "error", "当前规则不能重现已确认的字段值，请重新协作此字段。"))
+            e["key"], "guidance_mismatch", "error", "The rules do not give the confirmed value."))
 
     def check(results, issues, expected, report):
         mismatch = F.array_compact(F.transform(F.map_entries(expected), lambda e: test(e, results)))
@@ -293,7 +293,7 @@ def check_expected(verified: DataFrame, expected: str = "expected_values") -> Da
 def second_page_gate(checks: DataFrame, second: DataFrame, key: str = "check_id") -> DataFrame:
     """A check whose second page fails is itself failed. ``second``: key, passed."""
     failed = second.filter(~F.col("passed")).select(key).distinct().withColumn("_second_failed", F.lit(True))
-    issue = _issue("", "second_page_failed", "error", "同结构第二页未通过验证，当前候选规则不可标记为已验证。")
+    issue = _issue("", "second_page_failed", "error", "A second page of this structure failed.")
     joined = checks.join(failed, key, "left")
     return joined.withColumn("issues", F.when(
         F.col("_second_failed"), F.concat("issues", F.array(issue))).otherwise(F.col("issues"))) \
