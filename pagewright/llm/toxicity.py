@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_stage, crc32_mod, durable, ship
@@ -228,8 +228,9 @@ def sample_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").join(F.broadcast(durable(chosen)), "doc_id")
     rows = durable(arrow_stage(texts.select("doc_id", "toxic", "text"), _sketch,
                                "doc_id bigint, toxic int, text string, m0 bigint, m1 bigint, m2 bigint"))
-    first = rows.select("doc_id", *[F.min("doc_id").over(Window.partitionBy(f"m{i}")).alias(f"f{i}") for i in range(3)])
-    single = first.filter(" AND ".join(f"doc_id = f{i}" for i in range(3))).select("doc_id").distinct()
+    # A row is the first of its group exactly if its id is some group's smallest.
+    firsts = [rows.groupBy(f"m{i}").agg(F.min("doc_id").alias("doc_id")).select("doc_id") for i in range(3)]
+    single = firsts[0].join(firsts[1], "doc_id", "left_semi").join(firsts[2], "doc_id", "left_semi")
     return rows.join(F.broadcast(single), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
 
 
