@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import let
 from ..session import ship
 
 NODE_TYPE = (
     "struct<id:int,parent:int,last:int,depth:int,tag:string,nth:int,same:int,line:int,"
     "id_attr:string,class_attr:string,attrs:map<string,string>,"
-    "tok_from:int,tok_to:int,chars:int,chain:array<int>>"
+    "tok_from:int,tok_to:int,chars:int>"
 )
 TOKEN_TYPE = "struct<node:int,text:string>"
 
@@ -70,7 +71,7 @@ class _Tree:
     def __init__(self) -> None:
         self.tag: list[str] = []
         self.parent: list[int] = []
-        self.chain: list[list[int]] = []
+        self.depth: list[int] = []
         self.line: list[int] = []
         self.attrs: list[dict[str, str]] = []
         self.nth: list[int] = []
@@ -107,7 +108,7 @@ class _Tree:
             self.nth.append(1)
         self.tag.append(tag)
         self.parent.append(up)
-        self.chain.append(list(self.stack))
+        self.depth.append(len(self.stack))
         self.line.append(line)
         self.attrs.append(attrs)
         self.first_token.append(len(self.text))
@@ -228,7 +229,7 @@ def _list_of(values: pa.Array, sizes: list[int]) -> pa.ListArray:
 def _to_arrow(trees: list[_Tree]) -> tuple[pa.ListArray, pa.ListArray]:
     cols: dict[str, list] = {k: [] for k in (
         "id", "parent", "last", "depth", "tag", "nth", "same", "line", "id_attr", "class_attr",
-        "attrs", "tok_from", "tok_to", "chars", "chain")}
+        "attrs", "tok_from", "tok_to", "chars")}
     owners: list[int] = []
     texts: list[str] = []
     for t in trees:
@@ -239,7 +240,7 @@ def _to_arrow(trees: list[_Tree]) -> tuple[pa.ListArray, pa.ListArray]:
         cols["id"] += range(n)
         cols["parent"] += t.parent
         cols["last"] += t.last
-        cols["depth"] += [len(c) for c in t.chain]
+        cols["depth"] += t.depth
         cols["tag"] += t.tag
         cols["nth"] += t.nth
         cols["same"] += [t.kids[p][g] if p >= 0 else 1 for p, g in zip(t.parent, t.tag)]
@@ -251,12 +252,11 @@ def _to_arrow(trees: list[_Tree]) -> tuple[pa.ListArray, pa.ListArray]:
         cols["tok_to"] += t.end_token
         cols["chars"] += [max(0, total[e] - total[s] - 1)
                           for s, e in zip(t.first_token, t.end_token)]
-        cols["chain"] += t.chain
         owners += t.owner
         texts += t.text
     ints = pa.int32()
     types = {"tag": pa.string(), "id_attr": pa.string(), "class_attr": pa.string(),
-             "attrs": pa.map_(pa.string(), pa.string()), "chain": pa.list_(ints)}
+             "attrs": pa.map_(pa.string(), pa.string())}
     arrays = [pa.array(v, types.get(k, ints)) for k, v in cols.items()]
     nodes = pa.StructArray.from_arrays(arrays, names=list(cols))
     tokens = pa.StructArray.from_arrays(
@@ -296,9 +296,29 @@ def identity(node: Column) -> Column:
     return F.concat(node["id_attr"], F.lit(" "), node["class_attr"])
 
 
+def climb(node: Column, nodes: Column, start: Column, kind: str, step) -> Column:
+    """Fold over the strict ancestors from the nearest one up: ``step(state, ancestor)``.
+
+    Elements store their parent only, so a page's memory does not grow with its depth.
+    """
+    whole = f"struct<at:int,state:{kind}>"
+    first = F.struct(node["parent"].alias("at"), start.alias("state")).cast(whole)
+
+    def up(s, _):
+        return let(F.get(nodes, s["at"]), lambda a: F.struct(
+            a["parent"].alias("at"), step(s["state"], a).alias("state")).cast(whole))
+
+    return F.aggregate(F.array_repeat(F.lit(0), node["depth"]), first, up)["state"]
+
+
 def ancestors_any(node: Column, nodes: Column, test) -> Column:
     """Does any strict ancestor pass ``test``?"""
-    return F.exists(node["chain"], lambda a: test(F.get(nodes, a)))
+    return climb(node, nodes, F.lit(False), "boolean", lambda hit, a: hit | F.coalesce(test(a), F.lit(False)))
+
+
+def chain_of(node: Column, nodes: Column) -> Column:
+    """Ids of the strict ancestors, the root first."""
+    return climb(node, nodes, F.array().cast("array<int>"), "array<int>", lambda ids, a: F.concat(F.array(a["id"]), ids))
 
 
 def node_path(node: Column, nodes: Column) -> Column:
@@ -307,7 +327,7 @@ def node_path(node: Column, nodes: Column) -> Column:
         index = F.when(n["same"] > 1, F.format_string("[%d]", n["nth"])).otherwise("")
         return F.concat(F.lit("/"), n["tag"], index)
 
-    line = F.concat(node["chain"], F.array(node["id"]))
+    line = F.concat(chain_of(node, nodes), F.array(node["id"]))
     return F.array_join(F.transform(line, lambda a: part(F.get(nodes, a))), "")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.core import collapse, let
-from .dom import node_text
+from .dom import chain_of, node_text
 
 TEST_TYPE = "struct<op:string,name:string,value:string>"
 STEP_TYPE = f"struct<child:boolean,tag:string,tests:array<array<{TEST_TYPE}>>>"
@@ -157,7 +157,7 @@ def _path_fits(node: Column, nodes: Column, steps: Column) -> Column:
             F.zip_with(state["above"], h, lambda a, b: a | b).alias("above"), h.alias("here")))
 
     last = F.element_at(steps, -1)
-    return let(F.aggregate(node["chain"], start, advance), lambda s: F.when(
+    return let(F.aggregate(chain_of(node, nodes), start, advance), lambda s: F.when(
         last["child"], F.get(s["here"], size - 1)).otherwise(F.get(s["above"], size - 1)))
 
 

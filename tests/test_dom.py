@@ -39,7 +39,9 @@ def test_tables_and_misnested_ends(spark):
 
 def test_intervals_are_nested(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    table = dom.node_table(dom.page_trees(pages))
+    trees = dom.page_trees(pages)
+    table = trees.select("page_id", F.explode(F.transform("nodes", lambda n: F.struct(
+        n["id"], n["last"], dom.chain_of(n, F.col("nodes")).alias("chain")))).alias("n")).select("page_id", "n.*")
     bad = table.alias("a").join(table.alias("b"), "page_id").filter(
         "b.id > a.id and b.id <= a.last and (b.last > a.last or not array_contains(b.chain, a.id))")
     assert bad.count() == 0
@@ -190,3 +192,12 @@ def test_partitioning_does_not_matter(spark, folder):
         t = signature.page_signatures(body.select_body(intent.assess_intent(dom.page_trees(pages.repartition(n)))))
         return t.agg(F.sum(F.xxhash64("structure.page_intent", "body.text", "intent.confidence").cast("decimal(38,0)"))).first()[0]
     assert digest(1) == digest(8)
+
+
+def test_deep_page_takes_linear_memory(spark):
+    html = "<div>" * 20_000 + "<p class='x'>end</p>"
+    rows = dom.page_trees(spark.createDataFrame([(1, html)], "page_id bigint, html string"))
+    got = rows.select(F.size("nodes").alias("n"), F.element_at("nodes", -1).alias("p")).first()
+    assert (got.n, got.p.depth, got.p.tag) == (20_003, 20_002, "p")
+    deep = F.element_at("nodes", -1)
+    assert rows.select(dom.ancestors_any(deep, F.col("nodes"), lambda a: a["tag"] == "body")).first()[0]
