@@ -112,6 +112,7 @@ def anchor_strict(content: Column, text: Column, field: Column) -> Column:
         start = F.when(quoted != "", locate(text, quoted))
         moved = a["field_name"].isNotNull() & (a["field_name"] != field["name"])
         lost = (F.coalesce(a["evidence_text"], F.lit("")) != "") & ~collapse(text).contains(quoted)
+        # Results are compared by these texts.
         problem = F.when(a.isNull(), "answer is not a JSON object") \
             .when(moved, "field agent changed field identity") \
             .when(lost, "field evidence is absent from the saved snapshot") \

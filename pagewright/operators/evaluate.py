@@ -177,6 +177,7 @@ def score_methods(records: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -
         "*", *[F.round(v, 4).alias(n) for n, v in values.items()],
         F.when(used, F.col("actual_input_tokens")).alias("actual_in"),
         F.when(used, F.col("actual_output_tokens")).alias("actual_out"))
+    # Results are compared by these texts.
     no_checks = "no eligible annotated fields or schema checks"
     tokens = F.when(F.col("model_call_count") == 0, "no model calls").when(
         F.col("token_usage_missing_calls") > 0, "provider usage missing for one or more calls")

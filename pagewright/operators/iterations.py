@@ -96,6 +96,7 @@ def decide(base: Column, cand: Column, min_gain: float = MIN_GAIN, max_slowdown:
         status = F.when((F.size(g["apart"]) > 0) | (F.size(g["unknown"]) > 0) | blank, "blocked") \
             .when((F.size(g["worse"]) > 0) | (x["d"] + EPSILON < min_gain)
                   | F.coalesce(x["s"] > max_slowdown, F.lit(False)), "rejected").otherwise("accepted")
+        # Results are compared by these texts.
         why = F.when(F.size(g["apart"]) > 0, listed("incomparable fingerprints: ", g["apart"])) \
             .when(F.size(g["unknown"]) > 0, listed("guardrail measurements unavailable: ", g["unknown"])) \
             .when(blank, "quality or runtime metric unavailable") \

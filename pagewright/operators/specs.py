@@ -61,6 +61,7 @@ def schema_errors(fields: Column) -> Column:
         dated = F.lit(False)
         for word in DATE_WORDS:
             dated = dated | meaning.contains(word)
+        # Results are compared by these texts.
         return compact(
             reason(strip(f["name"]) == "", "field name must not be empty"),
             F.when(f["required"] & (strip(F.coalesce(f["description"], F.lit(""))) == ""), F.concat(
@@ -280,6 +281,7 @@ def clean_rule(rule: Column, field_types: Column) -> Column:
         pattern=F.when(strategy == "regex_on_text", pattern), label=F.when(near, label),
         labels=F.when(near & (F.size(labels) > 0), labels).when(near, F.array(label)).otherwise(_strings()),
         postprocess=_clean_steps(rule["postprocess"], field_type))
+    # Results are compared by these texts.
     issue = F.when(field_type.isNull(), F.concat(
         F.lit("已忽略未知字段的 ProgramSpec 规则："),
         F.coalesce(F.nullif(rule["field_name"], F.lit("")), F.lit("未命名字段")))) \
@@ -315,6 +317,7 @@ def shape_error(rule: Column) -> Column:
     def say(text):
         return F.concat(name, F.lit(": "), text if isinstance(text, Column) else F.lit(text))
 
+    # Results are compared by these texts.
     return F.when(s.isin("css", "xpath") & ~selector, say(F.concat(s, F.lit(" requires selector")))) \
         .when(s.isin("css", "xpath") & (pattern | label | labels),
               say(F.concat(s, F.lit(" cannot include regex or label parameters")))) \

@@ -126,6 +126,7 @@ def retry_receipts(runs: DataFrame, requests: DataFrame, key_rows: int = KEY_ROW
         F.col("task_id").alias("original_task_id"), "correlation_id", "workflow_type",
         F.col("status").alias("_status"), F.col("input_retained").alias("_kept"))
     joined = attach(requests, original, "original_task_id")
+    # Results are compared by these texts.
     problem = F.when(F.col("_status").isNull(), "run not found") \
         .when(F.col("_status") != "failed", "only failed runs can be retried") \
         .when(~F.col("_kept"), "run input was not retained; retry is unavailable")

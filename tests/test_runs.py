@@ -203,3 +203,14 @@ def test_node_without_a_name_is_summarised(spark):
     for key_rows in (100, 1):
         got = {r.node: (r.average_runtime_ms, r.sample_count) for r in telemetry.node_summary(nodes, key_rows).collect()}
         assert got == {"a": (1.0, 2), None: (pytest.approx(8 / 3), 3)}
+
+
+def test_evidence_precision_counts_the_larger_side_of_each_record(spark):
+    """Two records with one evidenced field and three annotations each, two of them right."""
+    fields = [(n, "text") for n in "abc"]
+    rows = [("Ours Full", str(i), "completed", {"a": "ok"}, {"a": "ok"}, ["a"], fields, {"a": 0.9}, 0, 1, {"a": True, "b": True, "c": False}) for i in range(2)]
+    df = spark.createDataFrame(rows, "method string, item_id string, status string, predicted map<string,string>, gold map<string,string>, "
+                                     "required array<string>, fields array<struct<name:string,type:string>>, field_confidences map<string,double>, "
+                                     "model_call_count int, evidenced_fields bigint, annotations map<string,boolean>")
+    got = evaluate.score_methods(evaluate.as_records(df)).first()
+    assert got.sample_count == 2 and got.evidence_precision == 0.6667
