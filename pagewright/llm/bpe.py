@@ -26,7 +26,7 @@ from .common import arrow_stage
 
 NO_MERGE = 1 << 62
 #: Words kept per worker, and the longest that is kept. They bound memory only, not what is encoded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 220_000
 CACHE_CHARS = 48
 
 
@@ -173,4 +173,4 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding every whole text."""
     return arrow_stage(documents.select("doc_id", "text"), _digests,
-                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", path)
+                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, rows=2000)

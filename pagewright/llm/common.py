@@ -31,11 +31,12 @@ def a_to_z_lower(text: str) -> bytes:
     return text.encode("utf-8", "replace").translate(_BYTES_LOWER)
 
 
-def arrow_stage(df: DataFrame, fn: Callable[..., Iterator[Sequence[list]]], schema: str, *args) -> DataFrame:
-    """Run ``fn(columns, *args)`` on every Arrow batch; it yields lists of output columns.
+def arrow_stage(df: DataFrame, fn: Callable[..., Iterator[Sequence[list]]], schema: str, *args,
+                rows: int = 10_000) -> DataFrame:
+    """Run ``fn(columns, *args)`` on pieces of Arrow batches; it yields lists of output columns.
 
-    ``fn`` must be a function of a module. Work per batch is bounded by Arrow's limits on rows and
-    bytes of a batch.
+    ``fn`` must be a function of a module. A piece has at most ``rows`` rows, and Arrow's limit on
+    the bytes of a batch: that bounds a worker's memory.
     """
     ship(df.sparkSession)
     kind = StructType.fromDDL(schema)
@@ -43,10 +44,11 @@ def arrow_stage(df: DataFrame, fn: Callable[..., Iterator[Sequence[list]]], sche
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns in fn([column for column in batch.columns], *args):
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type)
-                     for c, f in zip(columns, arrow)], schema=arrow)
+            for start in range(0, batch.num_rows, rows):
+                for columns in fn(batch.slice(start, rows).columns, *args):
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type)
+                         for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, kind)
 

@@ -56,7 +56,7 @@ def _fingerprints(columns: list[pa.Array]) -> Iterator[list]:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp: the fingerprint as a signed long, and what tells rows of one id apart."""
     return arrow_stage(documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), _fingerprints,
-                       "doc_id bigint, text_hash bigint, fp bigint")
+                       "doc_id bigint, text_hash bigint, fp bigint", rows=2000)
 
 
 def _buckets(fps: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def shared_filter(documents: DataFrame, total: int) -> tuple[int, np.ndarray]:
     """Bits per slice, and the slices as rows of bytes."""
     count = 1 << max(8, (total // SLICE_BYTES).bit_length())
     bits = max(3, min(MOST_BITS, (total // 16).bit_length(), 31) - (count.bit_length() - 1))
-    seen = arrow_stage(documents.select("doc_id", "text"), _seen, "slice bigint, blob binary", count)
+    seen = arrow_stage(documents.select("doc_id", "text"), _seen, "slice bigint, blob binary", count, rows=4000)
     slices = seen.groupBy("slice").applyInArrow(_filter_slice(bits), "slice bigint, bits binary").toArrow()
     out = np.zeros((count, (1 << bits) // 8), np.uint8)
     for part, blob in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
@@ -406,7 +406,7 @@ def covered(documents: DataFrame, total: int, groups: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(slices)
     buckets = max(64, -(-total // BUCKET_BYTES))
     runs = arrow_stage(documents.select("doc_id", _tag().alias("tag"), "text"), _runs,
-                       "bucket bigint, covered boolean, blob binary", shared, bits, buckets, groups)
+                       "bucket bigint, covered boolean, blob binary", shared, bits, buckets, groups, rows=4000)
     return runs.repartition(buckets, "bucket", "covered").mapInArrow(_families(groups), "group bigint, blob binary")
 
 

@@ -108,7 +108,7 @@ class Model(NamedTuple):
 
 def lexicon(sample: DataFrame) -> list[tuple[str, int, int]]:
     """Entries that tell toxic texts, best first: entry, toxic texts, clean texts."""
-    counted = arrow_stage(sample.select("text", "toxic"), _mine, "entry string, pos bigint, neg bigint") \
+    counted = arrow_stage(sample.select("text", "toxic"), _mine, "entry string, pos bigint, neg bigint", rows=1000) \
         .groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sizes = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, n = int(sizes["p"] or 0), int(sizes["n"] or 0)
@@ -227,7 +227,8 @@ def sample_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = usable.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = documents.select("doc_id", "text").join(F.broadcast(durable(chosen)), "doc_id")
     rows = durable(arrow_stage(texts.select("doc_id", "toxic", "text"), _sketch,
-                               "doc_id bigint, toxic int, text string, m0 bigint, m1 bigint, m2 bigint"))
+                               "doc_id bigint, toxic int, text string, m0 bigint, m1 bigint, m2 bigint",
+                               rows=1000))
     # A row is the first of its group exactly if its id is some group's smallest.
     firsts = [rows.groupBy(f"m{i}").agg(F.min("doc_id").alias("doc_id")).select("doc_id") for i in range(3)]
     single = firsts[0].join(firsts[1], "doc_id", "left_semi").join(firsts[2], "doc_id", "left_semi")
