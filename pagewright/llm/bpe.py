@@ -26,7 +26,7 @@ from .common import arrow_stage
 
 NO_MERGE = 1 << 62
 #: Words kept per worker, and the longest that is kept. They bound memory only, not what is encoded.
-CACHE_WORDS = 220_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 48
 
 
@@ -60,27 +60,29 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
+    symbols, rank = list(symbols), ranks.get
     shift = n.bit_length()
-    key = lambda i, j: (ranks[p] << shift | i) if (p := (symbols[i], symbols[j])) in ranks else NO_MERGE
-    tree = PairTree([key(i, i + 1) for i in range(n - 1)])
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     mask = (1 << shift) - 1
-    while (low := tree.root()) < NO_MERGE:
+    tree = PairTree([NO_MERGE if (r := rank(pair)) is None else r << shift | i
+                     for i, pair in enumerate(zip(symbols, symbols[1:]))])
+    node, put = tree.node, tree.put
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (low := node[1]) < NO_MERGE:
         i = low & mask
         j = after[i]
-        symbols[i] += symbols[j]
+        joined = symbols[i] = symbols[i] + symbols[j]
         symbols[j] = ""
         after[i] = k = after[j]
-        if j < n - 1:
-            tree.put(j, NO_MERGE)
         if k < n:
             before[k] = i
-            tree.put(i, key(i, k))
+            put(j, NO_MERGE)
+            r = rank((joined, symbols[k]))
+            put(i, NO_MERGE if r is None else r << shift | i)
         else:
-            tree.put(i, NO_MERGE)
+            put(i, NO_MERGE)
         if (h := before[i]) >= 0:
-            tree.put(h, key(h, i))
+            r = rank((symbols[h], joined))
+            put(h, NO_MERGE if r is None else r << shift | h)
     return [s for s in symbols if s]
 
 
