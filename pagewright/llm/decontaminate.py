@@ -63,12 +63,12 @@ def _tokens(distinct: DataFrame) -> DataFrame:
 
 
 def _found(documents: DataFrame, hashes: DataFrame, sizes: list[int], every_row: bool) -> DataFrame:
-    """doc_id, text_hash, n_words, pos, nth, h, low, around: document shingles that the benchmark holds.
+    """doc_id, text_hash, n_words, pos, nth, row, h, low, around: document shingles that the benchmark holds.
 
     One pass: words are unfolded, hashed and probed in generated code. The generator is an outer one,
     which keeps the optimizer from extracting words a second time in a filter of its own. With
-    ``every_row`` each document row also has one row with its number of words: that of position 0
-    and shingle size 0, or of no position.
+    ``every_row`` each document row also has one row with its number of words, marked ``row``: that of
+    position 0 and shingle size 0, or of no position.
     """
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("_w"))
     each = rows.select("doc_id", "text_hash", "_w", F.posexplode_outer("_w").alias("pos", "_word"))
@@ -80,10 +80,11 @@ def _found(documents: DataFrame, hashes: DataFrame, sizes: list[int], every_row:
     low = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
     marked = F.broadcast(hashes.select(F.col("h").alias("_h"), F.lit(True).alias("held")))
     joined = each.join(marked, F.col("h") == F.col("_h"), "left" if every_row else "inner")
+    row = (F.coalesce("pos", F.lit(0)) == 0) & (F.col("nth") == 0) if every_row else F.lit(False)
     if every_row:
-        joined = joined.filter(F.col("held") | ((F.coalesce("pos", F.lit(0)) == 0) & (F.col("nth") == 0)))
+        joined = joined.filter(F.col("held") | row)
     return joined.select(
-        "doc_id", "text_hash", F.size("_w").alias("n_words"), "pos", "nth", F.when(F.col("held"), F.col("h")).alias("h"),
+        "doc_id", "text_hash", F.size("_w").alias("n_words"), "pos", "nth", row.alias("row"), F.when(F.col("held"), F.col("h")).alias("h"),
         low.alias("low"), F.when(F.col("held"), F.slice("_w", low + 1, F.lit(2 * WINDOW))).alias("around"))
 
 
@@ -132,7 +133,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     marks = covered.withColumnsRenamed({k: f"_{k}" for k in keys}).alias("c").join(
         items.alias("i"), (F.col("_doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("_text_hash") == F.col("text_hash")),
         "left").select("_doc_id", "_text_hash", "n_hit", "items")
-    rows = stored_.filter((F.coalesce("pos", F.lit(0)) == 0) & (F.col("nth") == 0)).select(
+    rows = stored_.filter("row").select(
         "doc_id", "text_hash", F.greatest("n_words", F.lit(0)).cast("bigint").alias("n_words"))
     # Most rows have no hit: only marked keys are on the right.
     out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")), "left")

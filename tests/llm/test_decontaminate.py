@@ -72,3 +72,16 @@ def test_empty_tables(docs, items, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(docs([]), items).collect() == []
     assert [r["contaminated"] for r in decontaminate.contamination(docs(TEXTS), none).collect()] == [False] * len(TEXTS)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_texts_that_begin_with_an_item(docs, spark, monkeypatch, block):
+    # Every item has five words or more, so there is one shingle size and texts begin with held shingles of all blocks.
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", block)
+    items = [(1, LONG), (2, "one two three four five"), (3, "seven eight nine ten eleven twelve")]
+    rows = ODD + [(n, t) for n, t in enumerate(
+        [LONG, LONG + " more words", "one two three four five", "one two three four five six", "other words then " + LONG,
+         *(" ".join(LONG.split()[i:]) for i in range(1, 12)), "seven eight nine ten eleven twelve and more", LONG], 50)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contamination(docs(rows), table).drop("text_hash").collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, items)
