@@ -1,7 +1,8 @@
 """Main text of pages by consensus paths of their hosts.
 
 First pass: every page names its best container, the narrowest element that holds most of the page's
-good text (text outside menus, adverts, forms and the like, less what stands in links). Its
+good text (text outside menus, adverts, forms and the like, less what stands in links). Names in class,
+id or role mark what is left out, but not an element that holds the page's main part or most of its text. Its
 generalised path (tags with their classes, numbers masked) is a vote; votes are summed by host and
 path in Spark. Second pass: paths with a tenth of a host's votes win, and each page is read anew from
 its own path if that won, else from the winner on the page that has most votes, else from its own.
@@ -25,6 +26,8 @@ from .common import arrow_stage, durable, lookup
 
 #: A page's container holds this share of its good text; a winning path has this share of votes.
 MOST = 0.6
+#: An element with this share of the page's text is no part beside the article, whatever its name.
+HELD = 0.7
 WINNING = 0.1
 #: Hosts whose winners may be sent to all tasks (measured); beyond that they are joined.
 SMALL_SIDE = 100_000
@@ -69,34 +72,70 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.path, self.good = [-1], [""], [""], [True]
+        # What an element's own tag and attributes say: marked by a name, dropped in any case.
+        self._marked, self._dropped = [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._words: list[str] = []
         self._linked = 0
         self._read(source)
+        self._decide()
 
     def _flush(self, element: int) -> None:
         if self._words:
             text = " ".join(entities.unescape("".join(self._words)).split())
-            if text and self.good[element]:
+            if text:
                 self.blocks.append((element, text, self._linked))
             self._words = []
         self._linked = 0
 
     def _open(self, tag: str, parent: int, attrs: str) -> int:
-        names, dropped = "", tag in DROPPED
-        if attrs and "=" in attrs or "hidden" in attrs:
-            names, marked = _names(attrs)
-            dropped |= marked and tag not in ("html", "body", "article", "main")
-        # A heading of the article may stand in a header inside of it.
-        good = self.good[parent] and not dropped
-        if tag in HEADING and not dropped and self.tag[parent] in ("header", "hgroup") and self._inside(parent):
-            good = True
+        names, marked, hidden = _names(attrs) if attrs and "=" in attrs or "hidden" in attrs else ("", False, False)
         self.parent.append(parent)
         self.tag.append(tag)
         self.path.append(f"{self.path[parent]}>{tag}{names}")
-        self.good.append(good)
+        self._marked.append(marked)
+        self._dropped.append(tag in DROPPED or hidden and tag not in ("html", "body", "article", "main"))
         return len(self.tag) - 1
 
+    def _decide(self) -> None:
+        """Settle ``good`` and keep the blocks that are."""
+        n = len(self.tag)
+        out = [False] * n
+        for e in range(1, n):
+            out[e] = out[self.parent[e]] or self._dropped[e]
+        weight = [0.0] * n
+        for element, text, linked in self.blocks:
+            if not out[element]:
+                weight[element] += max(0.0, len(text) - 1.5 * linked)
+        # Holders of a main part, and of an article that no name marks, up to the next marked element.
+        main, article = [False] * n, [False] * n
+        for e in range(n - 1, 0, -1):
+            up = self.parent[e]
+            weight[up] += weight[e]
+            if weight[e] and not out[e]:
+                main[up] |= main[e] or self.tag[e] == "main"
+                article[up] |= article[e] and not self._marked[e] or self.tag[e] == "article" and not self._marked[e]
+        # A page with nothing outside marked elements has its article in the heaviest of them.
+        plain = {"html", "body", "article", "main"}
+        beside = [False] * n
+        for e in range(1, n):
+            beside[e] = beside[self.parent[e]] or self._marked[e] and self.tag[e] not in plain
+        heaviest = -1
+        if not any(not beside[e] and not out[e] and len(text) > 1.5 * linked for e, text, linked in self.blocks):
+            heaviest = max((e for e in range(1, n) if beside[e] and not out[e] and not beside[self.parent[e]]),
+                           key=weight.__getitem__, default=-1)
+        for e in range(1, n):
+            keeps = self.tag[e] in plain or e == heaviest or main[e] or article[e] and not article[0] \
+                or weight[e] > 0 and weight[e] >= HELD * weight[0]
+            dropped = self._dropped[e] or self._marked[e] and not keeps
+            up = self.parent[e]
+            good = self.good[up] and not dropped
+            # A heading of the article may stand in a header inside of it.
+            if self.tag[e] in HEADING and not dropped and self.tag[up] in ("header", "hgroup") and self._inside(up):
+                good = True
+            self.good.append(good)
+        self.blocks = [b for b in self.blocks if self.good[b[0]]]
+
     def _inside(self, element: int) -> bool:
         """Within an article, past nothing dropped but its header."""
         while element > 0 and self.tag[element] in ("header", "hgroup"):
@@ -138,7 +177,7 @@ class Page:
             attrs = m["attrs"]
             if tag not in BLOCK:
                 # Inline elements matter only if they are dropped.
-                if tag in VOID or not (tag in DROPPED or "=" in attrs and _names(attrs)[1]):
+                if tag in VOID or not (tag in DROPPED or "=" in attrs and any(_names(attrs)[1:])):
                     continue
                 if attrs.endswith("/"):
                     continue
@@ -202,9 +241,9 @@ class Page:
         return "\n\n".join(text for e, text, _ in self.blocks if inside[e])
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """Generalised class names of a tag, and whether it is marked as no part of an article."""
-    names, marked = "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs))
+def _names(attrs: str) -> tuple[str, bool, bool]:
+    """Generalised class names of a tag, whether they mark no part of an article, and whether it is hidden."""
+    names, marked, hidden = "", False, bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs))
     for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
@@ -215,8 +254,8 @@ def _names(attrs: str) -> tuple[str, bool]:
                 if key == "class":
                     names += "." + re.sub(r"\d+", "#", token)
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            marked = True
-    return names, marked
+            hidden = True
+    return names, marked, hidden
 
 
 def _vote(columns: list[pa.Array]) -> Iterator[list]:

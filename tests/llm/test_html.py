@@ -36,6 +36,20 @@ def test_shapes(start, end, close):
     assert html.extract(page(start, end, close), None) == WANT
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "layout-with-sidebar", "page-with-nav",
+                                  "search-results", "ad-free", "alert-story"])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_wrappers_named_after_what_stands_beside(name, inner):
+    assert html.extract(page(f"<div class='{name}'><{inner}>", f"</{inner}></div>"), None) == WANT
+
+
+def test_comments_that_are_articles_stay_out():
+    comments = "<section id='comments'>" + "<article class='comment'><p>I liked it.</p></article>" * 3 + "</section>"
+    story = "<p>" + "A sentence of the story itself. " * 9 + "</p>"
+    for start, end in (("<article>", "</article>"), ("<div class='story'>", "</div>")):
+        assert "liked" not in html.extract(f"<body>{start}{story}{end}{comments}</body>", None)
+
+
 def test_header_of_an_article_keeps_its_heading():
     source = "<body><header><h2>Site</h2></header><article><header><h1>Title</h1><p>By me</p></header><p>Text of it.</p></article></body>"
     assert html.extract(source, None) == "Title\n\nText of it."
