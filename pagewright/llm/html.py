@@ -5,6 +5,7 @@ good text (text outside menus, adverts, forms and the like, less what stands in
 id or role mark what is left out, but not an element that holds the page's main part or most of its text. Its
 generalised path (tags with their classes, numbers masked) is a vote; votes are summed by host and
 path in Spark. Second pass: paths with a tenth of a host's votes win, and each page is read anew from
+the path that most pages of the host voted for (from its own container, if that holds it), else from
 its own path if that won, else from the winner on the page that has most votes, else from its own.
 
 Defined results: null and empty html give an empty text; a page without url belongs to the nameless
@@ -208,7 +209,12 @@ class Page:
             self._linked += len(text)
 
     def best(self) -> int:
-        """The narrowest element with most of the good text; 0 if there is none."""
+        """The narrowest element with most of the good text, and all of its own; 0 if there is none.
+
+        Headings, paragraphs and list items that an element holds itself, not in a narrower holder,
+        belong to the article as its heavy child does. A quote or a cell is never chosen for its
+        weight alone.
+        """
         weight = [0.0] * len(self.tag)
         for element, text, linked in self.blocks:
             weight[element] += max(0.0, len(text) - 1.5 * linked) + 0.01
@@ -217,21 +223,39 @@ class Page:
         if not weight[0]:
             return 0
         best = 0
+        # Text that stands in an element itself: by the narrowest holder of the block.
+        own: dict[int, list[int]] = {}
+        for element, text, linked in self.blocks:
+            e = element
+            if len(text) > 2 * linked:
+                while e > 0 and (self.tag[e] not in HOLDER or self.tag[e] in ("blockquote", "td", "table")):
+                    e = self.parent[e]
+                own.setdefault(e, []).append(element)
         children: dict[int, list[int]] = {}
         for e in range(1, len(self.tag)):
             children.setdefault(self.parent[e], []).append(e)
         holder = at = 0
+        stopped = False
         while True:
             heavy = max(children.get(at, []), key=weight.__getitem__, default=None)
             if heavy is None or weight[heavy] < MOST * weight[0]:
                 break
+            # Blocks of the element itself that the heavy child does not hold.
+            stopped = stopped or at > 0 and self.tag[at] not in ("html", "table") and any(
+                not self._holds(heavy, e) for e in own.get(at, []))
             at = heavy
-            if self.tag[at] in HOLDER:
+            if self.tag[at] in ("article", "main"):
+                holder, best, stopped = at, at, False
+            elif self.tag[at] in HOLDER and not stopped and self.tag[at] != "blockquote" and (
+                    self.tag[at] != "td" or weight[holder] - weight[at] < 1):
                 holder = at
-                if self.tag[at] in ("article", "main"):
-                    best = at
         return best if best and self.tag[best] == "article" else holder
 
+    def _holds(self, element: int, inner: int) -> bool:
+        while inner > element:
+            inner = self.parent[inner]
+        return inner == element
+
     def text(self, paths: set[str] | None, element: int = 0) -> str:
         """Blocks inside elements with one of the paths, or inside the given element."""
         inside = [False] * len(self.tag)
@@ -266,12 +290,19 @@ def _vote(columns: list[pa.Array]) -> Iterator[list]:
     yield [columns[0], paths]
 
 
-def extract(source: str | None, winners: list[str] | None) -> str:
+def extract(source: str | None, winners: list[str] | None, usual: str | None = None) -> str:
+    """``usual`` is the path that more than half of the host's pages voted for."""
     page = Page(source or "")
     best = page.best()
-    won = winners or []
-    if page.path[best] in won:
-        return page.text({page.path[best]})
+    won, own = winners or [], page.path[best]
+    if usual and usual != own and not usual.startswith(f"{own}>"):
+        text = page.text({usual}) if usual in set(page.path) else ""
+        if text:
+            return text
+    if own in won:
+        return page.text({own})
+    if usual and usual in set(page.path) and usual.startswith(f"{own}>"):
+        return page.text(None, best)
     present = set(page.path)
     chosen = next((p for p in won if p and p in present), None)
     text = page.text({chosen}) if chosen else ""
@@ -280,7 +311,7 @@ def extract(source: str | None, winners: list[str] | None) -> str:
 
 
 def _extract(columns: list[pa.Array]) -> Iterator[list]:
-    texts = [extract(s.as_py(), w.as_py()) for s, w in zip(columns[2], columns[3])]
+    texts = [extract(s.as_py(), w.as_py(), u.as_py()) for s, w, u in zip(*columns[2:5])]
     yield [columns[0], columns[1], texts, [len(t) for t in texts]]
 
 
@@ -289,13 +320,14 @@ def host(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, winners: the paths that hold a share of a host's votes, most votes first."""
+    """host, winners, usual: the paths with a share of a host's votes, most votes first, and that of most pages."""
     votes = arrow_stage(pages.select(host(F.col("url")).alias("host"), "html"), _vote, "host string, path string") \
         .filter("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     # A host has few paths beside its pages; the sums over them combine before they move.
     total = votes.groupBy("host").agg(F.sum("n").alias("all"))
     return votes.join(total, "host").filter(F.col("n") >= F.col("all") * WINNING).groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda s: s["path"]).alias("winners"))
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda s: s["path"]).alias("winners"),
+        F.max(F.when(F.col("n") > F.col("all") / 2, F.col("path"))).alias("usual"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -303,5 +335,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     winners = durable(winning_paths(pages))
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     joined = lookup(rows, winners, "host", bound=SMALL_SIDE)
-    return arrow_stage(joined.select("page_id", "url", "html", "winners"), _extract,
+    return arrow_stage(joined.select("page_id", "url", "html", "winners", "usual"), _extract,
                        "page_id bigint, url string, text string, n_chars bigint")

@@ -43,6 +43,27 @@ def test_wrappers_named_after_what_stands_beside(name, inner):
     assert html.extract(page(f"<div class='{name}'><{inner}>", f"</{inner}></div>"), None) == WANT
 
 
+LONG_PART = "<p>" + "A sentence of the long part. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("source", [
+    f"<div class='post'><h1>Title</h1><p>Intro.</p><blockquote>{LONG_PART}</blockquote><p>The end.</p></div>",
+    f"<main><h1>Title</h1><p>Intro.</p><section>{LONG_PART}</section><p>The end.</p></main>",
+    f"<div class='post'><h1>Title</h1><div><p>Intro.</p></div><p>Intro.</p><div>{LONG_PART}</div><p>The end.</p></div>"])
+def test_text_beside_a_heavy_part_stays(source):
+    got = html.extract(f"<body><nav><a href='/'>Menu</a></nav>{source}</body>", None)
+    assert got.startswith("Title\n\nIntro.") and got.endswith("The end.") and "long part" in got
+
+
+def test_most_pages_of_a_host_outweigh_a_page(spark):
+    text = "<p>" + "A long sentence of the article itself. " * 8 + "</p>"
+    usual = "<html><body><div class='story'>{}</div><div class='teasers'><p>{}</p></div></body></html>"
+    rows = [(i, "http://one.example/" + str(i), usual.format(text, "Short teaser.")) for i in range(5)]
+    rows.append((99, "http://one.example/x", usual.format("<p>Brief story.</p>", "Teaser text. " * 40)))
+    got = html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got}[99] == "Brief story."
+
+
 def test_comments_that_are_articles_stay_out():
     comments = "<section id='comments'>" + "<article class='comment'><p>I liked it.</p></article>" * 3 + "</section>"
     story = "<p>" + "A sentence of the story itself. " * 9 + "</p>"
