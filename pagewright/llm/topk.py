@@ -12,8 +12,8 @@ query a radius it need not look beyond; then the search expands to all annuli th
 in any cell, and stops there. Scores are exact integers; bounds carry a margin for rounding.
 
 Defined results: vectors that are null, hold a null or a non-finite component, or a component whose
-integer leaves 31 bits, take no part, nor do rows without id; shorter vectors count as zero beyond
-their end; equal rows are one row; a query has as many rows as there are candidates, at most k; an
+integer leaves 64 bits, take no part, nor do rows without id; a score that leaves 64 bits ends the
+query with an error; shorter vectors count as zero beyond their end; equal rows are one row; a query has as many rows as there are candidates, at most k; an
 empty table gives no rows; other columns are not looked at.
 """
 
@@ -33,7 +33,7 @@ SCALE = 64
 #: Pivots; a bounded sample of vectors, each of which is indexed like any other.
 PIVOTS = 64
 BLOCK = 1024
-EDGE = 1 << 31
+EDGE = 1 << 63
 #: Relative slack of the distance bounds.
 MARGIN = 1e-9
 BLOCKS = "pivot int, near double, far double, ids binary, data binary, wide boolean"

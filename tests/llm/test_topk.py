@@ -53,6 +53,26 @@ def test_few_candidates_and_large_numbers(spark):
     assert sorted(map(tuple, topk.search(table).collect())) == plain(real)
 
 
+def test_components_beyond_31_bits(spark):
+    big, small = [2.0**25, -2.0**25 - 8, 2.0**24, 3 * 2.0**23, 2.0**25 + 4], [1.0, -7.0, 0.0, 2.0**20, 3.5]
+    rows = [(20 * n, [x, y, 0.5], 0) for n, (x, y) in enumerate((x, y) for x in big for y in small)]
+    rows += [(n, [x, 1.0, y], 0) for n, (x, y) in enumerate(((x, y) for x in big for y in small), 1001)]
+    rows += [(n, [float(n), -2.0, 1.0], 0) for n in range(601, 630)]
+    table, real = rows_of(spark, rows)
+    ints = {(i, tuple(math.floor(64 * x) for x in v)) for i, v, _ in real}
+    want = []
+    for q, a in ints:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints if i != q)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.search(table).collect())) == sorted(want)
+
+
+def test_score_beyond_64_bits(spark):
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.search(spark.createDataFrame([(20, [2.0**40], 0), (21, [2.0**40], 0)], FIELDS)).collect()
+
+
 def test_empty_table(spark):
     assert topk.search(spark.createDataFrame([], FIELDS)).collect() == []
     assert topk.search(spark.createDataFrame([(20, None, 1)], FIELDS)).collect() == []
