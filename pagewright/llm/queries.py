@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, ppm, shards, simhash, suffixes, topk, toxicity, warc
+from . import bpe, decontaminate, html, ppm, secrets, shards, simhash, spelling, suffixes, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -55,9 +55,91 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_suffixes, op5_decontamination, op6_simhash, op7_ppm, op8_topk, op9_sharding, op10_warc)}
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, folder, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(table(spark, folder, "documents"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_html, op4_suffixes, op5_decontamination, op6_simhash, op7_ppm, op8_topk, op9_sharding, op10_warc,
+                                   op11_whitening, op12_secrets, op13_spelling)}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """Positions as running sums over matches and the texts between them; windows counted anew, one by one."""
+    kinds = [("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX),
+             *((c.kind, c.pattern) for c in secrets.CLASSES)]
+    found = " UNION ALL ".join(
+        f"SELECT rid, {i} AS o, {_quoted(kind)} AS kind, regexp_extract_all(t, {_quoted(p)}) AS f, string_split_regex(t, {_quoted(p)}) AS g FROM d"
+        for i, (kind, p) in enumerate(kinds))
+    allowed = " AND ".join(f"NOT regexp_matches(found, {_quoted(p)})" for p in secrets.ALLOWED)
+    classes = ", ".join(f"({_quoted(c.kind)}, {c.window}, {secrets.most_weight(c)}, {secrets.weights(c.window)})" for c in secrets.CLASSES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+x AS (SELECT rid, o, kind, unnest(f) AS found, unnest(g[:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM m WHERE len(f) > 0),
+p AS (SELECT *, (sum(length(gap) + length(found)) OVER (PARTITION BY rid, o ORDER BY i) - length(found))::BIGINT AS s FROM x),
+base AS (SELECT rid, o, kind, s, s + length(found) AS e FROM p WHERE o = 1 OR o = 2
+  OR (o = 0 AND length(regexp_extract(found, {_quoted(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGNED})),
+cls(kind, w, most, weight) AS (VALUES {classes}),
+runs AS (SELECT rid, o, kind, i, found, s, w, most, weight FROM p JOIN cls USING (kind) WHERE {allowed}),
+wins AS (SELECT *, unnest(range(length(found) - w + 1)) AS pos FROM runs),
+chars AS (SELECT rid, o, kind, i, s, w, most, weight, pos, substr(found, (pos + k + 1)::BIGINT, 1) AS c
+  FROM (SELECT *, unnest(range(w)) AS k FROM wins)),
+sums AS (SELECT rid, o, kind, i, s, w, most, pos, sum(weight[n + 1]) AS total FROM (
+  SELECT rid, o, kind, i, s, w, most, any_value(weight) AS weight, pos, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL),
+dense AS (SELECT rid, o, kind, i, s + pos AS a, s + pos + w AS b, lag(s + pos + w) OVER (PARTITION BY rid, o, i ORDER BY pos) AS prior
+  FROM sums WHERE total <= most),
+isles AS (SELECT *, sum(CASE WHEN prior >= a THEN 0 ELSE 1 END) OVER (PARTITION BY rid, o, i ORDER BY a) AS isle FROM dense),
+added AS (SELECT rid, o, kind, min(a) AS s, max(b) AS e FROM isles GROUP BY rid, o, kind, i, isle),
+every AS (SELECT *, true AS basic FROM base UNION ALL SELECT *, false FROM added),
+told AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+    count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (WHERE basic) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (rid)"""
+
+
+#: Words one edit apart agree after one deletion, or on all but one place; crc32 by its table of 256 entries.
+_SPELLING_SQL = f"""
+WITH RECURSIVE steps(i, k, v) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM steps WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS crc FROM steps WHERE k = 8),
+runs AS (SELECT id, run, count(*) AS c FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT run, c, flatten(list_transform(string_split(id || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)) AS b FROM runs),
+hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda h, x: xor(h // 256, crc[xor(h % 256, x) + 1])), 4294967295) AS h FROM bytes, tab),
+results AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+keys AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT k.word, w.word, w.n FROM keys k JOIN words w ON k.rest = w.word
+  UNION SELECT w.word, k.word, k.n FROM keys k JOIN words w ON k.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+told AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+    CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain(word, last, form) AS (SELECT word, word, form FROM told UNION ALL
+  SELECT c.word, t.word, t.form FROM chain c JOIN told t ON c.form = t.word)
+SELECT word, n, n_near, told.form, form_n, last AS root FROM told JOIN (SELECT word, last FROM chain WHERE form IS NULL) USING (word)"""
 
 ORACLES = {
+    "op12_secrets": _secrets_sql(),
+    "op13_spelling": _SPELLING_SQL,
     "op5_decontamination": r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
