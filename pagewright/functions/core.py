@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,17 @@ def bind(body: Callable[..., Column], /, **columns: Column) -> Column:
     return let(packed, lambda s: body(**{n: s[n] for n in columns}))
 
 
+def unfold(df: DataFrame, keys: Sequence, items: Column, name: str | None = None, position: str | None = None) -> DataFrame:
+    """One row per element of an array: the keys, the element (its fields, if no ``name`` is given) and its place.
+
+    The generator is an outer one, and its rows without an element are dropped behind it. In front of any
+    other the optimizer puts a filter on the array's size, which works the whole array out a second time.
+    """
+    rows = df.select(*keys, F.posexplode_outer(items).alias("_at", "_item")).filter(F.col("_at").isNotNull())
+    at = [] if position is None else [F.col("_at").alias(position)]
+    return rows.select(*rows.columns[:-2], *at, F.col("_item").alias(name) if name else "_item.*")
+
+
 def is_blank(value: Column) -> Column:
     return value.isNull() | (F.length(collapse(value)) == 0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import collapse, let
+from ..functions.core import collapse, let, unfold
 from ..functions.text import locate, normalize_date, snippet, strip
 from .extract import ANSWER_TYPE, EVIDENCE_TYPE
 
@@ -42,8 +42,8 @@ def program_requests(pages: DataFrame) -> DataFrame:
 
 def field_requests(decided: DataFrame) -> DataFrame:
     """One request per field the verifier flagged."""
-    rows = decided.select("page_id", "url", "title", F.substring("text", 1, FIELD_TEXT).alias("text"),
-                          "fields", F.explode("fallback").alias("d"))
+    rows = unfold(decided, ("page_id", "url", "title", F.substring("text", 1, FIELD_TEXT).alias("text"), "fields"),
+                  F.col("fallback"), "d")
     spec = F.get(F.filter("fields", lambda f: f["name"] == F.col("d.field_name")), F.lit(0))
     return rows.select("page_id", F.col("d.field_name").alias("field_name"), F.col("d.reason").alias("reason"),
                        F.to_json(spec).alias("field"), "title", "url", "text")

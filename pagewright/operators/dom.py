@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let
+from ..functions.core import let, unfold
 from ..session import ship
 
 NODE_TYPE = (
@@ -342,4 +342,4 @@ def node_table(trees: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("page_id",)
     rows = trees.select(*keys, F.transform("nodes", lambda n: F.struct(
         n.alias("n"), node_text(n, F.col("tokens")).alias("text"))).alias("rows"))
-    return rows.select(*keys, F.inline("rows")).select(*keys, "n.*", "text")
+    return unfold(rows, keys, F.col("rows")).select(*keys, "n.*", "text")

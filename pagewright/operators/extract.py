@@ -6,14 +6,18 @@ its schema ``fields`` and its ``rules``. All rules of a page run on that row; no
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import BLANK, bind, collapse, let, once, present
+from ..functions.core import bind, collapse, let, once, present, unfold
 from ..functions.text import join_lines, lines_of, locate, normalize_date, snippet
-from .dom import page_trees
+from .dom import NODE_TYPE, TOKEN_TYPE, page_trees
+from .labels import HITS_TYPE, label_hits, label_walk, longest_first
+from .patterns import MARK, MOST, first_match, movable, routed
 from .selectors import SELECTOR_TYPE, matches, outcome, parse_selector
-from .skew import attach
+from .skew import attach, fits_broadcast
 from .specs import POSTPROCESS, STRATEGIES, java_pattern, pattern_compiles
 
 EVIDENCE_TYPE = "struct<source:string,text:string,start_char:int,end_char:int,score:double>"
@@ -41,6 +45,12 @@ def _miss(error: Column | None = None) -> Column:
                     F.lit(None).cast(EVIDENCE_TYPE).alias("evidence"), text.alias("error")).cast(_HIT_TYPE)
 
 
+def _located(text: Column, start: Column, length: Column, value: Column, source: str) -> Column:
+    """A hit with the text around it; its place is worked out once."""
+    return let(F.struct(start.alias("at"), (start + length).alias("end"), value.alias("v")), lambda m: _hit(
+        m["v"], F.lit(source), snippet(text, m["at"], m["end"]), m["at"], m["end"], F.lit(SCORE[source])))
+
+
 COMPILED_TYPE = ("struct<field_name:string,strategy:string,enabled:boolean,selector:string,attribute:string,"
                  f"postprocess:array<string>,steps:{SELECTOR_TYPE},pattern:string,has_group:boolean,"
                  "labels:array<string>,error:string>")
@@ -83,31 +93,23 @@ def ranked_labels(label: Column, labels: Column) -> Column:
     given = F.array_distinct(F.filter(
         F.concat(F.array(label), F.coalesce(labels, F.array().cast("array<string>"))),
         lambda x: F.coalesce(x, F.lit("")) != ""))
-    return F.array_sort(F.transform(given, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"]
-
+    return longest_first(given)
 
-def near_label(lines: Column, text: Column, labels: Column) -> Column:
-    """Value behind ``label：`` on the first matching line; ``labels`` in order of preference."""
-    def value_after(line, x):
-        rest = F.substring(line, F.length(x) + 1, F.length(line))
-        return F.when(line.startswith(x), collapse(F.regexp_extract(
-            rest, rf"^{BLANK}*[：:\-]{BLANK}*(.+)$", 1)))
 
-    def first_on(line):
-        return F.get(F.filter(F.transform(labels, lambda x: value_after(line, x)), present), F.lit(0))
+def program_walk(compiled: Column) -> Column:
+    """The label tree of a program's enabled label rules."""
+    own = F.filter(compiled, lambda r: (r["strategy"] == "text_near_label") & r["enabled"])
+    return label_walk(F.flatten(F.transform(own, lambda r: r["labels"])))
 
-    named = F.filter(lines, lambda line: F.exists(labels, lambda x: line.startswith(x)))
-    hits = F.filter(F.transform(named, lambda line: F.struct(
-        line.alias("line"), first_on(line).alias("value"))), lambda h: h["value"].isNotNull())
 
+def near_label(hits: Column, text: Column, labels: Column) -> Column:
+    """Value behind ``label：`` on the first line that carries one of the labels, the longest of them."""
     def report(h):
         start = F.greatest(F.instr(text, h["line"]) - 1, F.lit(0))
-        end = start + F.length(h["line"])
-        return F.when(h.isNull(), _miss()).otherwise(_hit(
-            h["value"], F.lit("text_near_label"), snippet(text, start, end), start, end,
-            F.lit(SCORE["text_near_label"])))
+        return F.when(h.isNull(), _miss()).otherwise(_located(
+            text, start, F.length(h["line"]), h["value"], "text_near_label"))
 
-    return let(F.get(hits, F.lit(0)), report)
+    return let(F.get(F.filter(hits, lambda h: F.array_contains(labels, h["label"])), F.lit(0)), report)
 
 
 def has_group(pattern: Column) -> Column:
@@ -115,15 +117,23 @@ def has_group(pattern: Column) -> Column:
     return F.coalesce(plain.rlike(r"\((?!\?)|\(\?P?<[A-Za-z]"), F.lit(False))
 
 
-def by_pattern(text: Column, pattern: Column, grouped: Column) -> Column:
+def by_pattern(text: Column, pattern: Column, grouped: Column, known: Sequence[tuple[str, bool]] = ()) -> Column:
     """First match, case-insensitive, multi-line; group 1 if the pattern has groups."""
+    def report(at, whole, value):
+        return _located(text, at, F.length(whole), collapse(value), "regex_on_text")
+
+    def literal(p):
+        return let(first_match(text, p, groups[p]), lambda parts: F.when(F.size(parts) > 1, report(
+            F.length(F.get(parts, F.lit(0))), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).otherwise(_miss()))
+
     start = _code_points(text, F.call_function("regexp_instr", text, pattern) - 1)
     whole = F.call_function("regexp_extract", text, pattern, F.lit(0))
     value = F.call_function("regexp_extract", text, pattern, grouped.cast("int"))
-    found = let(F.struct(start.alias("at"), F.length(whole).alias("n"), value.alias("v")), lambda m: F.when(
-        m["at"] >= 0, _hit(collapse(m["v"]), F.lit("regex_on_text"),
-                           snippet(text, m["at"], m["at"] + m["n"]), m["at"], m["at"] + m["n"],
-                           F.lit(SCORE["regex_on_text"]))).otherwise(_miss()))
+    found = let(F.struct(start.alias("at"), whole.alias("w"), value.alias("v")), lambda m: F.when(
+        m["at"] >= 0, report(m["at"], m["w"], m["v"])).otherwise(_miss()))
+    groups = {p: g for p, g in known if movable(p)}
+    if groups:
+        found = F.when(F.contains(text, F.lit(MARK)), found).otherwise(routed(pattern, list(groups), literal, found))
     return F.when(pattern.isNull(), _miss()).otherwise(found)
 
 
@@ -170,12 +180,12 @@ def confidence(strategy: Column, value: Column, score: Column) -> Column:
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
-def run_rule(rule: Column, page: dict[str, Column]) -> Column:
+def run_rule(rule: Column, page: dict[str, Column], known: Sequence[tuple[str, bool]] = ()) -> Column:
     """STRUCT<value, evidence, error> of one compiled rule on one page."""
     strategy = rule["strategy"]
     branch = F.when(rule["error"].isNotNull(), _miss(rule["error"])) \
-        .when(strategy == "text_near_label", near_label(page["lines"], page["text"], rule["labels"])) \
-        .when(strategy == "regex_on_text", by_pattern(page["text"], rule["pattern"], rule["has_group"]))
+        .when(strategy == "text_near_label", near_label(page["hits"], page["text"], rule["labels"])) \
+        .when(strategy == "regex_on_text", by_pattern(page["text"], rule["pattern"], rule["has_group"], known))
     if "nodes" in page:
         branch = branch.when(strategy.isin("css", "xpath"), by_selector(
             rule, page["nodes"], page["tokens"], page["text"]))
@@ -191,7 +201,7 @@ def run_rule(rule: Column, page: dict[str, Column]) -> Column:
 
 
 def run_field(field: Column, position: Column, rules: Column, page: dict[str, Column],
-              allow_model: bool) -> Column:
+              allow_model: bool, known: Sequence[tuple[str, bool]] = ()) -> Column:
     """First successful rule of a field; later rules are not evaluated."""
     own = F.filter(rules, lambda r: (r["field_name"] == field["name"]) & r["enabled"]
                    & (F.lit(allow_model) | (r["strategy"] != "llm_fallback")))
@@ -200,7 +210,7 @@ def run_field(field: Column, position: Column, rules: Column, page: dict[str, Co
         F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("errors"))
 
     def step(state, rule):
-        return F.when(state["hit"].isNotNull(), state).otherwise(let(run_rule(rule, page), lambda h: F.struct(
+        return F.when(state["hit"].isNotNull(), state).otherwise(let(run_rule(rule, page, known), lambda h: F.struct(
             F.when(present(h["value"]), h).alias("hit"), rule["strategy"].alias("strategy"),
             rule["postprocess"].alias("steps"),
             F.concat(state["errors"], F.array_compact(F.array(h["error"]))).alias("errors"))))
@@ -239,18 +249,27 @@ _VIEWS = ("text", "lines", "nodes", "tokens", "answers")
 
 
 @once
-def _results(views: tuple[str, ...], compiled: bool, allow_model: bool) -> Column:
-    def run(fields, rules, **view):
-        return F.transform(fields, lambda f, i: run_field(f, i, rules, view, allow_model))
+def _results(views: tuple[str, ...], compiled: bool, allow_model: bool, patterns: tuple[tuple[str, bool], ...],
+             walks: tuple[str, ...]) -> Column:
+    def run(fields, rules, walk, **view):
+        found = label_hits(view["lines"], walk, walks) if "lines" in view else F.array().cast(HITS_TYPE)
+        return let(found, lambda hits: F.transform(fields, lambda f, i: run_field(
+            f, i, rules, view | {"hits": hits}, allow_model, patterns)))
 
-    rules = F.col("compiled") if compiled else compile_rules(F.col("rules"))
-    return bind(run, fields=F.col("fields"), rules=rules, **{v: F.col(v) for v in views})
+    given = {v: F.col(v) for v in views}
+    if compiled:
+        return bind(run, fields=F.col("fields"), rules=F.col("compiled"), walk=F.col("label_walk"), **given)
+    return let(compile_rules(F.col("rules")), lambda rules: bind(
+        run, fields=F.col("fields"), rules=rules, walk=program_walk(rules), **given))
 
 
 def results_of(pages: DataFrame, allow_model: bool = False) -> Column:
     """``results`` for pages holding fields, rules (or compiled rules) and the views rules need."""
     views = tuple(n for n in _VIEWS if n in pages.columns)
-    return _results(views, "compiled" in pages.columns, allow_model)
+    compiled = "compiled" in pages.columns
+    known = pages.schema["compiled"].metadata.get(KNOWN, {}) if compiled else {}
+    return _results(views, compiled, allow_model, tuple((p, g) for p, g in zip(known.get("patterns", ()), known.get("groups", ()))),
+                    tuple(known.get("walks", ())))
 
 
 def extract_fields(pages: DataFrame, allow_model: bool = False) -> DataFrame:
@@ -262,49 +281,84 @@ def extract_fields(pages: DataFrame, allow_model: bool = False) -> DataFrame:
         .withColumn("overall_confidence", overall_confidence(F.col("results")))
 
 
-def _programs(pages: DataFrame, programs: DataFrame, on: str) -> DataFrame:
+#: Where a column of compiled rules says which patterns it can hold.
+KNOWN = "known"
+
+
+def _ready(programs: DataFrame, *on: str) -> tuple[DataFrame, dict, bool]:
+    """Programs compiled, the patterns they hold (as far as they are few), and whether any rule reads elements."""
+    ready = programs.select(*on, "fields", compile_rules(F.col("rules")).alias("compiled")) \
+        .withColumn("label_walk", program_walk(F.col("compiled")))
+    each = ready.select(F.explode(F.concat(
+        F.transform("compiled", lambda r: F.struct(
+            F.when(r["enabled"] & (r["strategy"] == "regex_on_text"), r["pattern"]).alias("pattern"), r["has_group"].alias("grouped"),
+            F.lit(None).cast("string").alias("walk"), (r["enabled"] & r["strategy"].isin("css", "xpath")).alias("dom"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("pattern"), F.lit(False).alias("grouped"),
+                         F.col("label_walk.pattern").alias("walk"), F.lit(False).alias("dom"))))).alias("r")).select("r.*").distinct()
+    rows = each.limit(4 * MOST + 1).collect()
+    patterns = sorted({(r["pattern"], r["grouped"]) for r in rows if r["pattern"] is not None})
+    walks = sorted({r["walk"] for r in rows if r["walk"] is not None})
+    few = len(rows) <= 4 * MOST
+    known = {"patterns": [p for p, _ in patterns], "groups": [g for _, g in patterns]} if few and len(patterns) <= MOST else {}
+    if few and len(walks) <= MOST:
+        known["walks"] = walks
+    return ready, known, not few or any(r["dom"] for r in rows)
+
+
+def _marked(df: DataFrame, known: dict) -> DataFrame:
+    return df.withMetadata("compiled", {KNOWN: known})
+
+
+def _attached(pages: DataFrame, ready: DataFrame, known: dict, on: str, small: bool | None = None) -> DataFrame:
     """Every page with its schema's fields and compiled rules; a page without a program has none.
 
     ``program_error`` says so, and such a page has no results.
     """
-    ready = programs.select(on, "fields", compile_rules(F.col("rules")).alias("compiled"))
-    joined = attach(pages, ready, on, how="left")
+    joined = attach(pages, ready, on, how="left", small=small)
     types = dict(ready.dtypes)
     missing = F.when(F.col("fields").isNull(), F.concat(F.lit("no program for schema "), F.coalesce(
         F.col(on).cast("string"), F.lit("(none)"))))
-    return joined.withColumn("program_error", missing).withColumns({
-        c: F.coalesce(c, F.array().cast(types[c])) for c in ("fields", "compiled")})
+    return _marked(joined.withColumn("program_error", missing).withColumns({
+        c: F.coalesce(c, F.array().cast(types[c])) for c in ("fields", "compiled")}), known)
 
 
 def with_programs(pages: DataFrame, programs: DataFrame, on: str = "schema_id") -> DataFrame:
     """Bring each page its schema's fields and compiled rules; no page is lost."""
-    return _programs(pages, programs, on)
+    ready, known, _ = _ready(programs, on)
+    return _attached(pages, ready, known, on)
 
 
 def prepare(pages: DataFrame, programs: DataFrame, on: str = "schema_id", keep: tuple[str, ...] = ("page_id", "url"),
             markup: str = "html") -> DataFrame:
     """Views and programs for pages with their markup.
 
-    Programs join the raw pages once and go with them through the parsing stage. Only pages whose
-    program holds an enabled DOM rule are parsed into trees; the others have nothing to parse.
+    Only pages whose program holds an enabled DOM rule are parsed into trees; without any such program
+    there is no parsing stage. Rules do not go through that stage: a flag does, and programs join behind it.
     """
-    dom = F.exists("compiled", lambda r: r["enabled"] & r["strategy"].isin("css", "xpath"))
-    marked = _programs(pages.select(*keep, on, markup), programs, on).withColumn("_markup", F.when(dom, F.col(markup)))
-    rows = page_trees(marked, (*keep, on, markup, "fields", "compiled", "program_error"), "_markup")
-    return rows.withColumn("lines", lines_of(markup)).withColumn("text", join_lines(F.col("lines"))).drop(markup)
+    ready, known, dom = _ready(programs, on)
+    rows, small = pages.select(*keep, on, markup), fits_broadcast(ready)
+    if dom:
+        flags = ready.select(on, F.exists("compiled", lambda r: r["enabled"] & r["strategy"].isin("css", "xpath")).alias("_dom"))
+        flagged = attach(rows, flags, on, how="left", small=small).withColumn("_markup", F.when(F.col("_dom"), F.col(markup)))
+        rows = page_trees(flagged, (*keep, on, markup), "_markup")
+    else:
+        rows = rows.withColumn("nodes", F.array().cast(f"array<{NODE_TYPE}>")).withColumn("tokens", F.array().cast(f"array<{TOKEN_TYPE}>"))
+    viewed = rows.withColumn("lines", lines_of(markup)).withColumn("text", join_lines(F.col("lines"))).drop(markup)
+    return _attached(viewed, ready, known, on, small)
 
 
 def with_one_program(pages: DataFrame, program: DataFrame) -> DataFrame:
     """The same when all pages share one program: a scalar subquery, so there is no join at all."""
-    one = program.select(F.struct("fields", compile_rules(F.col("rules")).alias("compiled")).alias("p")).scalar()
-    return pages.withColumn("_p", one).withColumns(
-        {"fields": F.col("_p.fields"), "compiled": F.col("_p.compiled")}).drop("_p")
+    ready, known, _ = _ready(program)
+    one = ready.select(F.struct("fields", "compiled", "label_walk").alias("p")).scalar()
+    return _marked(pages.withColumn("_p", one).withColumns(
+        {c: F.col(f"_p.{c}") for c in ("fields", "compiled", "label_walk")}).drop("_p"), known)
 
 
 def field_results(extracted: DataFrame, *keys: str) -> DataFrame:
     """Long form: one row per page and field."""
     keys = keys or ("page_id",)
-    return extracted.select(*keys, F.inline("results"))
+    return unfold(extracted, keys, F.col("results"))
 
 
 def effective(result: Column) -> Column:
@@ -324,9 +378,8 @@ def wide_records(extracted: DataFrame, names: list[str], *keys: str) -> DataFram
 
 def evidence_rows(extracted: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("page_id",)
-    rows = extracted.select(*keys, F.explode("results").alias("r"))
-    return rows.select(*keys, "r.field_pos", "r.field_name", F.posexplode("r.evidence").alias("evidence_no", "e")) \
-        .select(*keys, "field_pos", "field_name", "evidence_no", "e.*")
+    rows = unfold(extracted, keys, F.col("results"), "r")
+    return unfold(rows, (*keys, "r.field_pos", "r.field_name"), F.col("r.evidence"), position="evidence_no")
 
 
 @once

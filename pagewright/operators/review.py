@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import unfold
 from ..sources.sinks import upsert_programs
 from .extract import effective
 
@@ -12,10 +13,10 @@ from .extract import effective
 def review_fields(extracted: DataFrame, *keys: str) -> DataFrame:
     """One row per field for the reviewer; extracted and repaired values start as accepted."""
     keys = keys or ("page_id",)
-    return extracted.select(*keys, F.inline(F.transform("results", lambda r: F.struct(
+    return unfold(extracted, keys, F.transform("results", lambda r: F.struct(
         r["field_name"].alias("field_name"), F.coalesce(effective(r), F.lit("")).alias("value"),
         r["status"].isin("extracted", "repaired").alias("accepted"),
-        F.coalesce(r["error_message"], F.lit("")).alias("note")))))
+        F.coalesce(r["error_message"], F.lit("")).alias("note"))))
 
 
 def publish_gate(reviews: DataFrame, runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import bind, collapse, let, once
+from ..functions.core import bind, collapse, let, once, unfold
 from ..functions.text import normalize_date, strip
 from .extract import RESULT_TYPE, effective
 
@@ -143,7 +143,7 @@ def _issues_column() -> Column:
 
 
 def issue_rows(verified: DataFrame, *keys: str) -> DataFrame:
-    return verified.select(*(keys or ("page_id",)), F.inline("issues"))
+    return unfold(verified, keys or ("page_id",), F.col("issues"))
 
 
 def report_rows(verified: DataFrame, *keys: str) -> DataFrame:

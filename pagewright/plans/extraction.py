@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import unfold
 from ..functions import text as tx
 from ..functions import web
 from ..operators import answers as ans
@@ -150,7 +151,7 @@ dec AS (SELECT fr.id, fr.field, CASE WHEN required AND status='missing' THEN 're
 @query(f"WITH {_DECIDED} SELECT id AS page_id, field AS field_name, reason FROM dec WHERE reason IS NOT NULL")
 def fallback_candidates(spark, folder):
     rows = verify.decide_fallback(verified(spark, folder))
-    return rows.select("page_id", F.inline("fallback")).select("page_id", "field_name", "reason")
+    return unfold(rows, ["page_id"], F.col("fallback")).select("page_id", "field_name", "reason")
 
 
 @query(f"""WITH {_DECIDED} SELECT id AS page_id, field AS field_name, reason, title,
@@ -286,7 +287,7 @@ _AFTER = """SELECT id, pos, field, ftype, required, CASE WHEN result='repaired'
     reason, result, result='repaired' AND o.id IS NULL AS verified FROM fixed f LEFT JOIN open o ON o.id=f.id AND o.field=f.field
   WHERE reason IS NOT NULL""")
 def repair_outcomes(spark, folder):
-    return repaired(spark, folder).select("page_id", F.inline("repair_outcomes"))
+    return unfold(repaired(spark, folder), ["page_id"], F.col("repair_outcomes"))
 
 
 @query(f"""WITH {_REPAIRED}, after AS ({_AFTER} FROM fixed)
@@ -294,7 +295,7 @@ def repair_outcomes(spark, folder):
     round(sum(conf) OVER (PARTITION BY id)/5,4) AS overall FROM after""")
 def repaired_results(spark, folder):
     rows = repaired(spark, folder)
-    return rows.select("page_id", F.col("overall_confidence").alias("overall"), F.inline("results")).select(
+    return unfold(rows, ["page_id", F.col("overall_confidence").alias("overall")], F.col("results")).select(
         "page_id", "field_name", F.coalesce("normalized_value", "value").alias("value"), "confidence", "strategy",
         "status", "error_message", "overall")
 
@@ -366,7 +367,7 @@ _VERDICTS = rf"""{sql.BLOCKS}, {sql.ARTICLE},
 
 @query(f"WITH {_VERDICTS} SELECT page_id, field, reason, c AS match_count FROM v WHERE reason IS NOT NULL")
 def rule_validation(spark, folder):
-    rows = _checked(spark, folder).select("page_id", F.inline("diagnostics"))
+    rows = unfold(_checked(spark, folder), ["page_id"], F.col("diagnostics"))
     return rows.select("page_id", "field", "reason", big("match_count"))
 
 
@@ -374,7 +375,7 @@ def rule_validation(spark, folder):
     WHEN 'body' THEN '.ad' WHEN 'items' THEN '//nav//a[@href]' END AS selector FROM v WHERE reason IS NULL
   UNION ALL SELECT page_id, 'body', 'article' FROM v JOIN f USING (page_id) WHERE field='body' AND reason IS NOT NULL AND n>=8""")
 def page_programs(spark, folder):
-    rows = _checked(spark, folder).select("page_id", F.inline("rules"))
+    rows = unfold(_checked(spark, folder), ["page_id"], F.col("rules"))
     return rows.select("page_id", "field_name", "selector")
 
 
@@ -386,7 +387,7 @@ def selector_outcomes(spark, folder):
     states = F.array(*[F.struct(F.lit(n).alias("rule"), selectors.matches(
         F.col("nodes"), F.col("tokens"), selectors.parse_selector(F.lit(s), F.lit(x)), none).alias("m"))
         for n, s, x in picked])
-    rows = trees(spark, folder).select("page_id", F.inline(states))
+    rows = unfold(trees(spark, folder), ["page_id"], states)
     return rows.select("page_id", "rule", selectors.outcome(F.col("m")).alias("outcome"),
                        F.when(F.col("m").isNotNull(), F.size("m")).cast("bigint").alias("match_count"))
 
@@ -422,9 +423,9 @@ def benchmark_records(spark, folder) -> DataFrame:
         return F.struct(F.lit(name).alias("method"), F.col(results).alias("results"),
                         outcomes.alias("repair_outcomes"), mean.alias("overall_confidence"))
 
-    runs = rows.select("page_id", "fields", F.inline(F.array(
+    runs = unfold(rows, ("page_id", "fields"), F.array(
         run("Program Only", "_plain"), run("Hybrid without Verifier", "_hybrid"), run("LLM + Schema", "_model"),
-        run("Ours Full", "results", F.col("repair_outcomes"), "overall_confidence"))))
+        run("Ours Full", "results", F.col("repair_outcomes"), "overall_confidence")))
     return evaluate.to_records(runs, gold(spark, folder))
 
 

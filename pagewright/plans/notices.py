@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import unfold
 from ..functions import text as tx
 from ..functions import web
 from ..operators import answers as ans
@@ -128,7 +129,7 @@ def verify_issue_counts(spark, folder):
     OR CASE WHEN NOT required AND conf>=0.45 AND ev IS NOT NULL THEN x.hard ELSE x.code END IS NOT NULL""")
 def notice_fallback(spark, folder):
     rows = verify.decide_fallback(verify.verify(read_back(spark, folder)))
-    return rows.select("page_id", F.inline("fallback"))
+    return unfold(rows, ["page_id"], F.col("fallback"))
 
 
 @query(f"""WITH {_FOUND} SELECT id AS page_id, field AS field_name, CASE WHEN required THEN 'field_not_returned' END AS code,
@@ -208,7 +209,7 @@ def text_cleanup(spark, folder):
   SELECT doc_id, k AS item_no, v AS item FROM r WHERE k<=8""")
 def distinct_text_lists(spark, folder):
     d = spread(table(spark, folder, "documents"))
-    return d.select("doc_id", F.posexplode(tx.safe_text_list(F.split("text", "\n"))).alias("p", "item")).select(
+    return unfold(d, ["doc_id"], tx.safe_text_list(F.split("text", "\n")), "item", "p").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("item_no"), "item")
 
 

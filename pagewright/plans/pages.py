@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import unfold
 from ..functions import text as tx
 from ..functions import web
 from ..operators import body, collection, dom, intent, selectors, signature, views
@@ -38,7 +39,7 @@ def page_text_view(spark, folder):
 @query(f"WITH {sql.TEXT} SELECT page_id, n AS line_no, lines[n] AS line "
        "FROM view, unnest(range(1,len(lines)+1)) AS t(n)")
 def page_lines(spark, folder):
-    return viewed(spark, folder).select("page_id", F.posexplode("lines").alias("p", "line")).select(
+    return unfold(viewed(spark, folder), ["page_id"], F.col("lines"), "line", "p").select(
         "page_id", (F.col("p") + 1).cast("bigint").alias("line_no"), "line")
 
 
@@ -287,7 +288,7 @@ def structure_clusters(spark, folder):
 def selector_suggestions(spark, folder):
     rows = trees(spark, folder).select("page_id", views.selector_suggestions(
         F.col("nodes"), F.col("tokens")).alias("s"))
-    return rows.select("page_id", F.inline("s")).select("page_id", "selector", big("match_count"), "text_sample")
+    return unfold(rows, ["page_id"], F.col("s")).select("page_id", "selector", big("match_count"), "text_sample")
 
 
 @query(f"WITH {sql.ARTICLE} SELECT page_id, left(article,16000) AS focus_text FROM _art")
@@ -298,7 +299,7 @@ def focus_regions(spark, folder):
 
 def _matched(spark, folder, selector, attribute=None):
     found = selectors.matches(F.col("nodes"), F.col("tokens"), selector, F.lit(attribute).cast("string"))
-    return trees(spark, folder).select("page_id", F.posexplode(found).alias("p", "m")).select(
+    return unfold(trees(spark, folder), ["page_id"], found, "m", "p").select(
         "page_id", (F.col("p") + 1).cast("bigint").alias("match_no"), F.col("m.tag").alias("tag"),
         F.col("m.value").alias("value"))
 
@@ -326,5 +327,5 @@ def block_path_roundtrip(spark, folder):
         F.size(F.filter(selectors.matches(F.col("nodes"), F.col("tokens"), selectors.css_selector(b["selector"]),
                                           F.lit(None).cast("string")), lambda m: m["value"] == b["text"]))
         .cast("bigint").alias("matches")))
-    return t.select("page_id", F.inline(found)).filter("tag = 'p' and selector like '%nth-of-type%'") \
+    return unfold(t, ["page_id"], found).filter("tag = 'p' and selector like '%nth-of-type%'") \
         .select("page_id", "selector", "matches")

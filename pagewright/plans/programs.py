@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import unfold
 from ..operators import evaluate, signature, specs
 from ..sources.sinks import upsert_programs
 from ..sources.tables import explode_items, items_without_schema, require_schemas, table
@@ -75,7 +76,7 @@ def default_programs(spark, folder):
   UNION ALL SELECT p_partkey, 'publish_date', ['text_near_label','regex_on_text','llm_fallback'],
     CASE WHEN p_size%7=0 THEN 2 ELSE 4 END FROM part WHERE p_size<>1)""")
 def extraction_plans(spark, folder):
-    rows = part_schemas(spark, folder).select("schema_id", F.inline(specs.plan_fields(F.col("fields"))))
+    rows = unfold(part_schemas(spark, folder), ["schema_id"], specs.plan_fields(F.col("fields")))
     return rows.select("schema_id", "field_name", F.array_join("strategies", ",").alias("strategies"),
                        F.size("labels").cast("bigint").alias("labels"))
 
