@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from . import snapshots
+from .snapshots import latest_per_key
+
+__all__ = ["append", "drop_heavy", "latest_per_key", "read_upserted", "upsert_parquet", "upsert_programs"]
 
 # Columns left out of stored results when business content is not retained.
 HEAVY = ("input_html", "page_observation", "view_bundle", "benchmark_dataset")
 
 
-def latest_per_key(existing: DataFrame, updates: DataFrame, keys: list[str], at: str = "written_at") -> DataFrame:
-    """One row per key, the last write wins; an update beats a stored row of the same time.
-
-    An aggregate, not a window: rewrites of a busy key are combined before the shuffle.
-    """
-    both = existing.withColumn("_new", F.lit(0)).unionByName(
-        updates.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    columns = [c for c in both.columns if c != "_new"]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(F.col(at), F.col("_new"))).alias("_row")) \
-        .select("_row.*").select(*columns)
-
-
 def upsert_programs(existing: DataFrame, updates: DataFrame, key: str = "schema_signature") -> DataFrame:
     """Programs after an update; an update without a structure signature keeps the stored one."""
     columns = [c for c in existing.columns if c != key]
@@ -51,28 +42,10 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def upsert_parquet(updates: DataFrame, path: str, keys: list[str], at: str = "written_at",
-                   buckets: int = 256) -> None:
-    """Merge ``updates`` into a keyed parquet table, rewriting only the key buckets they touch.
-
-    The merged rows are stored before the overwrite starts, because they come from the files
-    that are about to be replaced.
-    """
-    spark = updates.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    new = updates.withColumn("_bucket", bucket)
-    path_of = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = path_of.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_of)
-    if exists:
-        # At most ``buckets`` values.
-        touched = [r[0] for r in new.select("_bucket").distinct().collect()]
-        old = spark.read.parquet(path).filter(F.col("_bucket").isin(touched))
-        new = durable(latest_per_key(old, new, keys, at))
-    else:
-        new = latest_per_key(new.limit(0), new, keys, at)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("_bucket").parquet(path)
+def upsert_parquet(updates: DataFrame, path: str, keys: list[str], at: str = "written_at", buckets: int = 1) -> int:
+    """Merge ``updates`` into a keyed table of snapshots with at least ``buckets`` buckets; returns the version."""
+    return snapshots.upsert(updates, path, keys, at, least=buckets)
 
 
 def read_upserted(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_bucket")
+    return snapshots.read(spark, path)
