@@ -218,7 +218,12 @@ def keep_first(documents: DataFrame) -> DataFrame:
     That is the row with the smallest id (ids before missing ids), of equal ids the one with the
     smaller text hash, and of rows equal in both any one.
     """
-    rows = durable(grouped(documents))
+    return first_rows(documents, grouped(documents))
+
+
+def first_rows(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """The same for any grouping: ``members`` has doc_id, text_hash and root of every row."""
+    rows = durable(members)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")) \
         .select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
     copies = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
