@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, decontaminate, simhash, suffixes, toxicity
+from pagewright.llm import bpe, decontaminate, similar, suffixes, toxicity
 from pagewright.llm.common import shared_folder, table
 from pagewright.llm.queries import tokenizer
 
@@ -19,11 +19,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the one with the smallest id.
 
     Rows that repeat that id and text stay once. A group without any id keeps one of its rows.
     """
-    return simhash.keep_first(docs)
+    return similar.keep_first(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
