@@ -175,7 +175,8 @@ def second_page_checks(spark, folder):
 
 # -- trees -----------------------------------------------------------------------------------
 
-@query(rf"""WITH {sql.BLOCKS}, _s AS (SELECT page_id, string_split(h,'<')[2:] AS s FROM _bare),
+# The elements of the given pages; ``_t`` has every piece of text behind a tag.
+_NODES = rf"""{sql.BLOCKS}, _s AS (SELECT page_id, string_split(h,'<')[2:] AS s FROM _bare),
   _l AS (SELECT page_id, list_transform(s, lambda x: regexp_extract(x,'^/?[a-z][a-z0-9]*')) AS g,
     list_transform(s, lambda x: {sql.entities("regexp_replace(x,'^[^>]*>','')")}) AS t FROM _s),
   _t AS (SELECT page_id, k, g[k] AS tag, t FROM _l, unnest(range(1,len(g)+1)) AS u(k)),
@@ -187,7 +188,10 @@ def second_page_checks(spark, folder):
     ('nav','body',2), ('div','body',2), ('article','body',2), ('footer','body',2), ('ul','nav',3), ('li','ul',4), ('a','li',5),
     ('h1','article',3), ('p','article',3), ('b','p',4), ('br','b',5)),
   _p AS (SELECT z.*, m.depth, coalesce((SELECT max(o.id) FROM _e o WHERE o.page_id=z.page_id AND o.tag=m.up AND o.id<z.id),-1) AS parent
-    FROM _z z JOIN _m m USING (tag))
+    FROM _z z JOIN _m m USING (tag))"""
+
+
+@query(rf"""WITH {_NODES}
   SELECT page_id, id, parent, depth, tag, row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY id) AS nth,
     CASE WHEN tag IN ('br','meta') THEN '' ELSE {sql.collapse("array_to_string(list_slice(t,k,coalesce(z-1,len(t))),' ')")} END AS text FROM _p""")
 def dom_nodes(spark, folder):
@@ -195,6 +199,19 @@ def dom_nodes(spark, folder):
         "page_id", big("id"), big("parent"), big("depth"), "tag", big("nth"), "text")
 
 
+@query(rf"""WITH {_NODES}, _n AS (SELECT page_id, k AS lo, coalesce(z, 1000000000) AS hi FROM _p WHERE tag IN ('nav','aside','footer','header','script','style','noscript','form')),
+  _v AS (SELECT page_id, k, CASE WHEN tag IN ('br','meta') THEN '' ELSE {sql.collapse("array_to_string(list_slice(t,k,coalesce(z-1,len(t))),' ')")} END AS x FROM _p),
+  _o AS (SELECT page_id, k, {sql.collapse("t[k]")} AS x FROM _t),
+  seen AS (SELECT page_id, sum(length(x)+1) AS n FROM _v WHERE x<>'' AND NOT EXISTS (FROM _n WHERE _n.page_id=_v.page_id AND k>=lo AND k<hi) GROUP BY 1),
+  once AS (SELECT page_id, sum(length(x)+1) AS n FROM _o WHERE x<>'' AND NOT EXISTS (FROM _n WHERE _n.page_id=_o.page_id AND k>=lo AND k<hi) GROUP BY 1)
+  SELECT page_id, greatest(0,coalesce(seen.n,0)-1)::BIGINT AS visible_text_chars, greatest(0,coalesce(once.n,0)-1)::BIGINT AS distinct_text_chars
+  FROM pages LEFT JOIN seen USING (page_id) LEFT JOIN once USING (page_id)""")
+def visible_text_lengths(spark, folder):
+    """Text outside noise, counted at every level of nesting, and counted once."""
+    rows = intent.assess_intent(trees(spark, folder))
+    return rows.select("page_id", big("intent.visible_text_chars"), big("intent.distinct_text_chars"))
+
+
 @query(rf"""WITH {sql.BLOCKS} SELECT page_id, tag, count(*) AS nodes FROM (SELECT page_id,
     unnest(regexp_extract_all(h,'<([a-z][a-z0-9]*)[^>]*>',1)) AS tag FROM _bare) GROUP BY 1,2""")
 def dom_tag_counts(spark, folder):
