@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .skew import attach
 
 # Status codes that mark an access limit.
 LIMITED = (401, 403, 429, 468)
@@ -64,7 +65,8 @@ def resolve_attempts(attempts: DataFrame, key: str = "page_id") -> DataFrame:
 def failure_reasons(attempts: DataFrame, key: str = "page_id") -> DataFrame:
     """One line per page that was never collected, naming each attempt up to the access limit.
 
-    A page has one attempt per collector, so the list is as short as the list of collectors.
+    The text names every attempt that was made, so a page's line grows with its attempts; the rows of a page
+    that was tried very often reach the join in several tasks.
     """
     note = F.coalesce(F.nullif(F.col("error_message"), F.lit("")), F.when(
         F.col("classification") == "empty_page", "empty visible text").otherwise(""))
@@ -72,7 +74,7 @@ def failure_reasons(attempts: DataFrame, key: str = "page_id") -> DataFrame:
     text = F.concat(F.col("collector"), F.lit(": HTTP "), status, F.lit(", "), F.col("classification"),
                     F.lit(": "), note)
     outcome = resolve_attempts(attempts, key).select(key, "collected", "attempts_made")
-    lost = attempts.join(outcome, key).filter("not collected and attempt_no <= attempts_made")
+    lost = attach(attempts, outcome, key, "inner").filter("not collected and attempt_no <= attempts_made")
     listed = lost.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("attempt_no", text.alias("t")))).alias("a"))
     return listed.select(key, F.concat(F.lit("page collection failed; attempts: "),
                                        F.array_join(F.col("a.t"), " | ")).alias("reason"))

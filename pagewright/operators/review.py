@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import unfold
 from ..sources.sinks import upsert_programs
 from .extract import effective
+from .skew import attach
 
 
 def review_fields(extracted: DataFrame, *keys: str) -> DataFrame:
@@ -22,11 +23,12 @@ def review_fields(extracted: DataFrame, *keys: str) -> DataFrame:
 def publish_gate(reviews: DataFrame, runs: DataFrame) -> DataFrame:
     """Decide each review (task_id, mark_verified, rules, ...): ``problem`` is null when it may stand.
 
-    ``runs``: task_id, checked (came from a rule check), passed, structure.
+    ``runs``: one row per task: task_id, checked (came from a rule check), passed, structure. A run with many reviews
+    does not hold up one task.
     """
     seen = runs.select("task_id", F.col("checked").alias("_checked"), F.col("passed").alias("_passed"),
                        F.col("structure").alias("structure"))
-    joined = reviews.join(seen, "task_id", "left")
+    joined = attach(reviews, seen, "task_id")
     problem = F.when(F.col("mark_verified") & F.col("rules").isNull(),
                      "program_spec is required when mark_program_verified is true") \
         .when(F.col("mark_verified") & F.coalesce(F.col("_checked"), F.lit(False))

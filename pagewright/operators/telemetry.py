@@ -331,7 +331,7 @@ def metric_summary(runs: DataFrame) -> DataFrame:
         .when(name.isin(*SUMS), F.col("_sum")).otherwise(F.col("_sum") / F.col("_n"))
     samples = F.coalesce(F.when(name.isin(*WEIGHTED), F.col("_weight")).otherwise(F.col("_n")), F.lit(0))
     unit = F.when(name == "browser_wait_ms", "ms").when(name.isin(*SUMS), "").otherwise("ratio")
-    return F.broadcast(every).join(grouped, "metric", "left").select(
+    return every.join(F.broadcast(grouped), "metric", "left").select(
         "metric", total.alias("value"), unit.alias("unit"), samples.alias("sample_count"),
         F.when(total.isNull(), "unavailable").otherwise("measured").alias("source"),
         F.when(total.isNull(), "no eligible samples").alias("reason"))
