@@ -11,7 +11,7 @@ is the response and the others revisit it; a revisit record holds the HTTP head
 
 Defined results: null html is an empty payload; a null url becomes a urn of the page; repeated rows
 of the first page are all responses; rows without page_id revisit a page that has one, else all are
-responses; an empty table gives no archives and no rows; other columns are not looked at.
+responses; any 64-bit page_id will do, its capture time lies between 2023 and 2055; an empty table gives no archives and no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ ARCHIVE_BYTES = 8 << 20
 RANGE_ROWS = 50_000
 #: Repeated payloads whose digests (some 100 bytes each) may be sent to all tasks instead of moving pages.
 SMALL_SIDE = 200_000
+#: Seconds over which captures are spread.
+CAPTURE_SECONDS = 1_000_000_000
 INDEX = ("urlkey string, captured string, archive string, offset bigint, record_bytes bigint, page_id bigint, "
          "payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string")
 
@@ -67,8 +69,10 @@ def records(pages: DataFrame) -> DataFrame:
         F.min("page_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     joined = lookup(rows, durable(first), "digest", bound=SMALL_SIDE)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    # Captures follow each other by a second per page id.
-    when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0))),
+    # Captures follow each other by a second per page id. Ids of 64 bits fold into some thirty years, so
+    # that every date has a year of four digits and dates sort as text.
+    when = F.date_format(F.timestamp_seconds(
+        F.lit(1_700_000_000) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(CAPTURE_SECONDS))),
                          "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return joined.withColumn("type", F.when(revisit, "revisit").otherwise("response")).withColumn("date", when)
 

@@ -65,5 +65,24 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+def test_extreme_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
+    ids = [2**63 - 1, -2**63, 9 * 10**18, -9 * 10**18, 10**12, -1, 0, 1_000_000_000]
+    pages = [(i, "http://a.example/", LONG if k % 2 else f"{k}") for k, i in enumerate(ids)]
+    index = warc.archive(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in index]
+    assert sorted(got, key=str) == plain(pages)
+    dates = [r["captured"] for r in index]
+    assert dates == sorted(dates) and all(len(d) == 20 and "2023" <= d[:4] <= "2055" for d in dates)
+
+
+def test_clashing_names(spark):
+    table = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    for name in ("first", "type", "date", "value", "archive", "_n"):
+        table = table.withColumn(name, F.lit("clash"))
+    got = [(r["page_id"], r["record_type"]) for r in warc.archive(table).collect()]
+    assert sorted(got, key=str) == sorted(((p[0], p[3]) for p in plain(PAGES)), key=str)
+
+
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
