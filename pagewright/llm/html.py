@@ -10,13 +10,16 @@ its own path if that won, else from the winner on the page that has most votes,
 
 Defined results: null and empty html give an empty text; a page without url belongs to the nameless
 host; markup that is cut off or never closed is read as far as it goes; pages are read whole, at any
-length; repeated rows are read each on their own; other columns are not looked at.
+length; repeated rows are read each on their own; other columns are not looked at. Formulas keep their
+text, but not its second spelling in annotations. Drawings, and what object, audio, video and canvas hold
+for readers that cannot show them, are no text of the article.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +38,7 @@ SMALL_SIDE = 100_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|object|xmp|noembed|noframes)\b"
+    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|annotation-xml|annotation|object|xmp|noembed|noframes)\b"
     r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^<]*\Z|<", re.S | re.I)
@@ -67,18 +70,26 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 class Page:
     """Blocks of text in page order, each with the elements that hold it.
 
-    ``parent``, ``tag``, ``path`` describe elements; ``blocks`` are (element, text, letters in links);
+    ``parent``, ``tag``, ``step``, ``path`` and ``last`` (of the elements below) describe elements. A path
+    is a number: paths are kept as a tree of steps, so memory grows with elements, not with depth;
+    ``path_text`` writes one out, ``find`` gives the number of a written one. ``blocks`` are (element, text, letters in links);
     ``good`` tells whether an element is outside everything dropped.
     """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.good = [-1], [""], [""], [True]
+        self.parent, self.tag, self.step, self.path, self.good = [-1], [""], [""], [0], [True]
+        self._steps: dict[tuple[int, str], int] = {}
+        # Open elements by tag.
+        self._opened: Counter[str] = Counter()
         # What an element's own tag and attributes say: marked by a name, dropped in any case.
         self._marked, self._dropped = [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._words: list[str] = []
         self._linked = 0
         self._read(source)
+        self.last = list(range(len(self.tag)))
+        for e in range(len(self.tag) - 1, 0, -1):
+            self.last[self.parent[e]] = max(self.last[self.parent[e]], self.last[e])
         self._decide()
 
     def _flush(self, element: int) -> None:
@@ -93,11 +104,37 @@ class Page:
         names, marked, hidden = _names(attrs) if attrs and "=" in attrs or "hidden" in attrs else ("", False, False)
         self.parent.append(parent)
         self.tag.append(tag)
-        self.path.append(f"{self.path[parent]}>{tag}{names}")
+        self.step.append(f"{tag}{names}")
+        at = self.path[parent]
+        for part in self.step[-1].split(">"):
+            at = self._steps.setdefault((at, part), len(self._steps) + 1)
+        self.path.append(at)
+        self._opened[tag] += 1
         self._marked.append(marked)
         self._dropped.append(tag in DROPPED or hidden and tag not in ("html", "body", "article", "main"))
         return len(self.tag) - 1
 
+    def _close(self, stack: list[int], size: int) -> None:
+        """Close open elements until ``size`` are left."""
+        while len(stack) > size:
+            self._opened[self.tag[stack.pop()]] -= 1
+
+    def path_text(self, element: int) -> str:
+        steps = []
+        while element > 0:
+            steps.append(self.step[element])
+            element = self.parent[element]
+        return "".join(f">{step}" for step in reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        """The number of a written path; None if no element of the page may have it."""
+        at: int | None = 0
+        for part in path.split(">")[1:]:
+            at = self._steps.get((at, part))
+            if at is None:
+                return None
+        return at
+
     def _decide(self) -> None:
         """Settle ``good`` and keep the blocks that are."""
         n = len(self.tag)
@@ -125,6 +162,12 @@ class Page:
         if not any(not beside[e] and not out[e] and len(text) > 1.5 * linked for e, text, linked in self.blocks):
             heaviest = max((e for e in range(1, n) if beside[e] and not out[e] and not beside[self.parent[e]]),
                            key=weight.__getitem__, default=-1)
+        # The nearest element at or above that is no header, and whether an article holds an element or is it.
+        past, within = list(range(n)), [False] * n
+        for e in range(1, n):
+            if self.tag[e] in ("header", "hgroup"):
+                past[e] = past[self.parent[e]]
+            within[e] = within[self.parent[e]] or self.tag[e] in ("article", "main")
         for e in range(1, n):
             keeps = self.tag[e] in plain or e == heaviest or main[e] or article[e] and not article[0] \
                 or weight[e] > 0 and weight[e] >= HELD * weight[0]
@@ -132,22 +175,11 @@ class Page:
             up = self.parent[e]
             good = self.good[up] and not dropped
             # A heading of the article may stand in a header inside of it.
-            if self.tag[e] in HEADING and not dropped and self.tag[up] in ("header", "hgroup") and self._inside(up):
+            if self.tag[e] in HEADING and not dropped and self.tag[up] in ("header", "hgroup") and within[past[up]] and self.good[past[up]]:
                 good = True
             self.good.append(good)
         self.blocks = [b for b in self.blocks if self.good[b[0]]]
 
-    def _inside(self, element: int) -> bool:
-        """Within an article, past nothing dropped but its header."""
-        while element > 0 and self.tag[element] in ("header", "hgroup"):
-            element = self.parent[element]
-        inner = element
-        while element > 0:
-            if self.tag[element] in ("article", "main"):
-                return self.good[inner]
-            element = self.parent[element]
-        return False
-
     def _read(self, source: str) -> None:
         stack, links, at = [0], 0, 0
         for m in TOKEN.finditer(source):
@@ -163,12 +195,11 @@ class Page:
             if m["end"]:
                 if tag == "a":
                     links = max(0, links - 1)
-                if tag == "br" or tag == "p" and not any(self.tag[e] == "p" for e in stack):
+                if tag == "br" or tag == "p" and not self._opened["p"]:
                     self._text(" ", 0)
-                if any(self.tag[e] == tag for e in stack):
+                if self._opened[tag]:
                     self._flush(stack[-1])
-                    while self.tag[stack.pop()] != tag:
-                        pass
+                    self._close(stack, self._place(stack, tag))
                 continue
             if tag == "br":
                 self._text(" ", 0)
@@ -185,17 +216,16 @@ class Page:
             self._flush(stack[-1])
             if tag in BLOCK:
                 while len(stack) > 1 and self.tag[stack[-1]] == "p" or (self.tag[stack[-1]] in HEADING and tag in HEADING):
-                    stack.pop()
-                if tag in CLOSED_BY:
+                    self._close(stack, len(stack) - 1)
+                if any(self._opened[t] for t in CLOSED_BY.get(tag, ())):
                     for depth in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[depth]] in LIMITS.get(tag, ()):
                             break
                         if self.tag[stack[depth]] in CLOSED_BY[tag]:
-                            del stack[depth:]
+                            self._close(stack, depth)
                             break
-                if tag == "body" and any(self.tag[e] == "head" for e in stack):
-                    while self.tag[stack.pop()] != "head":
-                        pass
+                if tag == "body" and self._opened["head"]:
+                    self._close(stack, self._place(stack, "head"))
             if tag in VOID:
                 continue
             stack.append(self._open(tag, stack[-1], attrs))
@@ -203,6 +233,13 @@ class Page:
             self._text(source[at:], links)
         self._flush(stack[-1])
 
+    def _place(self, stack: list[int], tag: str) -> int:
+        """Where the innermost open element of a tag stands."""
+        at = len(stack) - 1
+        while self.tag[stack[at]] != tag:
+            at -= 1
+        return at
+
     def _text(self, text: str, links: int) -> None:
         self._words.append(text)
         if links:
@@ -225,12 +262,13 @@ class Page:
         best = 0
         # Text that stands in an element itself: by the narrowest holder of the block.
         own: dict[int, list[int]] = {}
+        narrowest = list(range(len(self.tag)))
+        for e in range(1, len(self.tag)):
+            if self.tag[e] not in HOLDER or self.tag[e] in ("blockquote", "td", "table"):
+                narrowest[e] = narrowest[self.parent[e]]
         for element, text, linked in self.blocks:
-            e = element
             if len(text) > 2 * linked:
-                while e > 0 and (self.tag[e] not in HOLDER or self.tag[e] in ("blockquote", "td", "table")):
-                    e = self.parent[e]
-                own.setdefault(e, []).append(element)
+                own.setdefault(narrowest[element], []).append(element)
         children: dict[int, list[int]] = {}
         for e in range(1, len(self.tag)):
             children.setdefault(self.parent[e], []).append(e)
@@ -242,7 +280,7 @@ class Page:
                 break
             # Blocks of the element itself that the heavy child does not hold.
             stopped = stopped or at > 0 and self.tag[at] not in ("html", "table") and any(
-                not self._holds(heavy, e) for e in own.get(at, []))
+                not heavy <= e <= self.last[heavy] for e in own.get(at, []))
             at = heavy
             if self.tag[at] in ("article", "main"):
                 holder, best, stopped = at, at, False
@@ -251,12 +289,7 @@ class Page:
                 holder = at
         return best if best and self.tag[best] == "article" else holder
 
-    def _holds(self, element: int, inner: int) -> bool:
-        while inner > element:
-            inner = self.parent[inner]
-        return inner == element
-
-    def text(self, paths: set[str] | None, element: int = 0) -> str:
+    def text(self, paths: set[int] | None, element: int = 0) -> str:
         """Blocks inside elements with one of the paths, or inside the given element."""
         inside = [False] * len(self.tag)
         for e in range(len(self.tag)):
@@ -286,7 +319,7 @@ def _vote(columns: list[pa.Array]) -> Iterator[list]:
     paths = []
     for source in columns[1]:
         page = Page(source.as_py() or "")
-        paths.append(page.path[page.best()])
+        paths.append(page.path_text(page.best()))
     yield [columns[0], paths]
 
 
@@ -294,18 +327,20 @@ def extract(source: str | None, winners: list[str] | None, usual: str | None = N
     """``usual`` is the path that more than half of the host's pages voted for."""
     page = Page(source or "")
     best = page.best()
-    won, own = winners or [], page.path[best]
+    won, own = winners or [], page.path_text(best)
+    present = set(page.path)
+    common = page.find(usual) if usual else None
+    common = common if common in present else None
     if usual and usual != own and not usual.startswith(f"{own}>"):
-        text = page.text({usual}) if usual in set(page.path) else ""
+        text = page.text({common}) if common is not None else ""
         if text:
             return text
     if own in won:
-        return page.text({own})
-    if usual and usual in set(page.path) and usual.startswith(f"{own}>"):
+        return page.text({page.path[best]})
+    if common is not None and usual.startswith(f"{own}>"):
         return page.text(None, best)
-    present = set(page.path)
-    chosen = next((p for p in won if p and p in present), None)
-    text = page.text({chosen}) if chosen else ""
+    chosen = next((at for at in (page.find(p) for p in won if p) if at in present), None)
+    text = page.text({chosen}) if chosen is not None else ""
     # A winner that is empty on this page explains nothing.
     return text or page.text(None, best)
 

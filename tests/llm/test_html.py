@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,31 @@ def test_long_and_deep_pages():
     assert "q" in html.extract("<p>q</p>" + '<a href="' * 3000, None)
 
 
+def test_memory_and_time_grow_with_elements_not_with_depth():
+    for tag in ("div", "ul><li", "section class='a1 b'"):
+        name = re.split(r"[ >]", tag)[0]
+        deep = f"<{tag}>" * 100_000 + "<p>deep</p>" + f"</{name}>" * 100_000
+        tracemalloc.start()
+        assert html.extract(deep, None) == "deep"
+        assert tracemalloc.get_traced_memory()[1] < 400 << 20
+        tracemalloc.stop()
+
+
+def test_written_paths_are_found_again():
+    page = html.Page("<body><div class='a>b c7'><p>x</p></div><div><section id=s>y</section></div></body>")
+    for e in range(1, len(page.tag)):
+        assert page.find(page.path_text(e)) == page.path[e]
+    assert page.find(">body>div>p") is None and page.path_text(2) == ">body>div.a>b.c#"
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<p>Speed <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is known</p>", "Speed E=m is known"),
+    ("<p>So <math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math> holds</p>", "So x holds"),
+    ("<p>A <svg><text>drawn</text></svg>picture <object>old</object>here</p>", "A picture here")])
+def test_formulas_and_drawings(source, want):
+    assert html.extract(source, None) == want
+
+
 def test_hosts_agree_on_a_path(spark):
     text = "<p>" + "A long sentence of the article itself. " * 8 + "</p>"
     usual = "<html><body><div class='story'>{}</div><div class='teasers'><p>{}</p></div></body></html>"
