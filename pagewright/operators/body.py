@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import bind, compact, let, once, reason
-from .dom import ancestors_any, identity, node_path
+from .dom import identity, is_below, nearest_above, node_path
 from .noise import CONTENT_RE, NOISE_RE, NOISE_TAGS, blocks_in_scope, is_noise, noise_depth
 
 REGION_TYPE = (
@@ -43,17 +43,19 @@ def _region(node: Column, rank: Column, nodes: Column, tokens: Column, noise: Co
 
 def candidates_of(nodes: Column, tokens: Column, noise: Column) -> Column:
     """Candidate regions; the body stands in when nothing looks like a content region."""
-    def eligible(n):
+    def eligible(n, up):
         named = identity(n).rlike(CONTENT_RE) & ~identity(n).rlike(NOISE_RE)
         return (n["tag"].isin("article", "main") | named) & ~n["tag"].isin(*NOISE_TAGS) \
-            & ~ancestors_any(n, nodes, lambda a: a["tag"].isin(*NOISE_TAGS))
+            & ~is_below(n, up)
 
     def rank(n):
         return F.when(n["tag"] == "article", 0).when(n["tag"] == "main", 1) \
             .when(n["attrs"]["role"] == "main", 2).when(n["attrs"]["class"].isNotNull(), 3).otherwise(4)
 
+    fit = let(nearest_above(nodes, lambda a: a["tag"].isin(*NOISE_TAGS)),
+              lambda up: F.filter(nodes, lambda n: eligible(n, up)))
     found = F.filter(
-        F.transform(F.filter(nodes, eligible), lambda n: _region(n, rank(n), nodes, tokens, noise)),
+        F.transform(fit, lambda n: _region(n, rank(n), nodes, tokens, noise)),
         lambda r: r["chars"] > 0)
     bodies = F.slice(F.filter(nodes, lambda n: n["tag"] == "body"), 1, 1)
     fallback = F.filter(F.transform(bodies, lambda n: _region(n, F.lit(0), nodes, tokens, noise)),

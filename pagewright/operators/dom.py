@@ -296,29 +296,44 @@ def identity(node: Column) -> Column:
     return F.concat(node["id_attr"], F.lit(" "), node["class_attr"])
 
 
-def climb(node: Column, nodes: Column, start: Column, kind: str, step) -> Column:
-    """Fold over the strict ancestors from the nearest one up: ``step(state, ancestor)``.
+def nearest_marked(nodes: Column, marks: Column) -> Column:
+    """Per element the id of the nearest marked strict ancestor, -1 if there is none.
 
-    Elements store their parent only, so a page's memory does not grow with its depth.
+    Every element's link starts at its parent and, while no marked element stops it, is replaced by
+    the link of where it points: links double in length, so a page takes log2(depth) passes over its
+    elements, however deep it is. ``marks`` should be a lambda variable.
     """
-    whole = f"struct<at:int,state:{kind}>"
-    first = F.struct(node["parent"].alias("at"), start.alias("state")).cast(whole)
+    def double(links, _):
+        return F.transform(links, lambda j: F.when((j < 0) | F.get(marks, j), j).otherwise(F.get(links, j)))
 
-    def up(s, _):
-        return let(F.get(nodes, s["at"]), lambda a: F.struct(
-            a["parent"].alias("at"), step(s["state"], a).alias("state")).cast(whole))
+    # A number of k binary digits is below 2 to the power of k.
+    passes = F.coalesce(F.length(F.bin(F.array_max(nodes["depth"]))), F.lit(0))
+    # Behind the last pass a link ends at a marked element or above the root.
+    return F.aggregate(F.array_repeat(F.lit(0), passes), nodes["parent"], double)
 
-    return F.aggregate(F.array_repeat(F.lit(0), node["depth"]), first, up)["state"]
 
+def nearest_above(nodes: Column, test) -> Column:
+    """The same for the elements that pass ``test``."""
+    return let(F.transform(nodes, lambda n: F.coalesce(test(n), F.lit(False))), lambda marks: nearest_marked(nodes, marks))
 
-def ancestors_any(node: Column, nodes: Column, test) -> Column:
-    """Does any strict ancestor pass ``test``?"""
-    return climb(node, nodes, F.lit(False), "boolean", lambda hit, a: hit | F.coalesce(test(a), F.lit(False)))
+
+def is_below(node: Column, nearest: Column) -> Column:
+    """Has the element a strict ancestor among those that ``nearest`` was made from?"""
+    return F.get(nearest, node["id"]) >= 0
+
+
+#: Ancestors up to this depth are looked up one by one; more of them by one pass over the elements before.
+_FEW = 64
 
 
 def chain_of(node: Column, nodes: Column) -> Column:
     """Ids of the strict ancestors, the root first."""
-    return climb(node, nodes, F.array().cast("array<int>"), "array<int>", lambda ids, a: F.concat(F.array(a["id"]), ids))
+    def up(ids, _):
+        return F.concat(F.array(F.get(nodes, F.get(ids, F.lit(0)))["parent"]), ids)
+
+    near = F.aggregate(F.array_repeat(F.lit(0), node["depth"]), F.array(node["id"]), up)
+    far = F.filter(F.slice(nodes, 1, node["id"]), lambda a: a["last"] >= node["id"])["id"]
+    return F.when(node["depth"] > _FEW, far).otherwise(F.slice(near, 1, node["depth"]))
 
 
 def node_path(node: Column, nodes: Column) -> Column:

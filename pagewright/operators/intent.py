@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import bind, compact, let, once, reason
-from .dom import ancestors_any, identity
+from .dom import identity, is_below, nearest_above
 from .noise import NOISE_TAGS, blocks_in_page, noise_depth
 
 # Tokens in id/class attributes.
@@ -26,8 +26,8 @@ def _count(nodes: Column, test) -> Column:
 
 def _headings(nodes: Column) -> Column:
     top = _count(nodes, lambda n: (n["tag"] == "h1") & (n["chars"] > 0))
-    scoped = _count(nodes, lambda n: n["tag"].isin("h2", "h3") & (n["chars"] > 0)
-                    & ancestors_any(n, nodes, lambda a: identity(a).rlike(_TITLE_RE)))
+    scoped = let(nearest_above(nodes, lambda a: identity(a).rlike(_TITLE_RE)), lambda up: _count(
+        nodes, lambda n: n["tag"].isin("h2", "h3") & (n["chars"] > 0) & is_below(n, up)))
     named = _count(nodes, lambda n: identity(n).rlike(_TITLE_RE) & n["chars"].between(3, 240))
     return F.coalesce(F.nullif(top, F.lit(0)), F.nullif(scoped, F.lit(0)), F.least(named, F.lit(8)))
 
@@ -45,28 +45,25 @@ def _repeated(nodes: Column) -> Column:
 
 
 def _continuous(nodes: Column, above: Column) -> Column:
-    scoped = _count(nodes, lambda n: (n["tag"] == "p") & (n["chars"] > 0)
-                    & ancestors_any(n, nodes, _is_scope))
+    scoped = let(nearest_above(nodes, _is_scope), lambda up: _count(
+        nodes, lambda n: (n["tag"] == "p") & (n["chars"] > 0) & is_below(n, up)))
     # The document element is the scope here, so noise on it never counts.
-    loose = _count(nodes, lambda n: n["tag"].isin("p", "div") & (n["chars"] > 0)
-                   & ancestors_any(n, nodes, lambda a: a["tag"] == "body")
-                   & (F.get(above, n["id"]) <= 0))
-    return F.when(scoped > 0, scoped).otherwise(loose)
+    loose = let(nearest_above(nodes, lambda a: a["tag"] == "body"), lambda up: _count(
+        nodes, lambda n: n["tag"].isin("p", "div") & (n["chars"] > 0) & is_below(n, up) & (F.get(above, n["id"]) <= 0)))
+    return let(scoped, lambda s: F.when(s > 0, s).otherwise(loose))
 
 
-def _visible_chars(nodes: Column) -> Column:
+def _visible_chars(nodes: Column, tagged: Column) -> Column:
     """Subtree text of every element outside noise tags, nested text counted at each level."""
-    kept = F.filter(nodes, lambda n: (n["chars"] > 0) & ~n["tag"].isin(*NOISE_TAGS)
-                    & ~ancestors_any(n, nodes, lambda a: a["tag"].isin(*NOISE_TAGS)))
+    kept = F.filter(nodes, lambda n: (n["chars"] > 0) & ~n["tag"].isin(*NOISE_TAGS) & ~is_below(n, tagged))
     return F.greatest(F.lit(0), F.aggregate(kept, F.lit(-1), lambda acc, n: acc + n["chars"] + 1))
 
 
-def _distinct_chars(nodes: Column, tokens: Column) -> Column:
+def _distinct_chars(nodes: Column, tokens: Column, tagged: Column) -> Column:
     """The same text counted once."""
     def outside(t):
         owner = F.get(nodes, t["node"])
-        return ~owner["tag"].isin(*NOISE_TAGS) & ~ancestors_any(
-            owner, nodes, lambda a: a["tag"].isin(*NOISE_TAGS))
+        return ~owner["tag"].isin(*NOISE_TAGS) & ~is_below(owner, tagged)
 
     kept = F.filter(tokens, outside)
     return F.greatest(F.lit(0), F.aggregate(
@@ -74,15 +71,15 @@ def _distinct_chars(nodes: Column, tokens: Column) -> Column:
 
 
 def intent_of(nodes: Column, tokens: Column, requested: Column) -> Column:
-    def facts(above):
+    def facts(above, tagged):
         return F.struct(
             _headings(nodes).alias("headings"), (_details(nodes) > 0).alias("detail"),
             _repeated(nodes).alias("repeated"), _continuous(nodes, above).alias("continuous"),
             F.size(blocks_in_page(nodes, above)).alias("blocks"),
             F.exists(nodes, _is_scope).alias("region"),
             F.exists(nodes, lambda n: n["tag"] == "article").alias("article"),
-            _visible_chars(nodes).alias("visible_text_chars"),
-            _distinct_chars(nodes, tokens).alias("distinct_text_chars"))
+            _visible_chars(nodes, tagged).alias("visible_text_chars"),
+            _distinct_chars(nodes, tokens, tagged).alias("distinct_text_chars"))
 
     def judge(f):
         ratio = F.least(F.lit(1.0), f["repeated"] / F.greatest(F.lit(1), f["blocks"]))
@@ -114,7 +111,8 @@ def intent_of(nodes: Column, tokens: Column, requested: Column) -> Column:
             f["headings"].alias("heading_count"), f["repeated"].alias("repeated_item_count"),
             f["continuous"].alias("continuous_block_count"), f["blocks"].alias("content_block_count"))
 
-    return let(noise_depth(nodes)["above"], lambda above: let(facts(above), judge))
+    return let(noise_depth(nodes)["above"], lambda above: let(
+        nearest_above(nodes, lambda a: a["tag"].isin(*NOISE_TAGS)), lambda tagged: let(facts(above, tagged), judge)))
 
 
 def assess_intent(trees: DataFrame, requested: str | None = None) -> DataFrame:

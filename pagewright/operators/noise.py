@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.core import let
-from .dom import climb, identity
+from .dom import identity, nearest_marked
 
 # Noise tags, noise and content tokens, block tags.
 NOISE_TAGS = ("nav", "aside", "footer", "header", "script", "style", "noscript", "form")
@@ -29,12 +29,7 @@ def is_noise(node: Column) -> Column:
 def noise_depth(nodes: Column) -> Column:
     """Per element: id of the nearest noise element strictly above it and at-or-above it (-1: none)."""
     flags = F.transform(nodes, is_noise)
-
-    def above(noisy):
-        return F.transform(nodes, lambda n: climb(n, nodes, F.lit(-1), "int", lambda found, a: F.when(
-            found >= 0, found).when(F.get(noisy, a["id"]), a["id"]).otherwise(-1)))
-
-    return let(flags, lambda noisy: let(above(noisy), lambda up: F.struct(up.alias("above"), F.transform(
+    return let(flags, lambda noisy: let(nearest_marked(nodes, noisy), lambda up: F.struct(up.alias("above"), F.transform(
         up, lambda x, i: F.when(F.get(noisy, i), i).otherwise(x)).alias("upto"))))
 
 

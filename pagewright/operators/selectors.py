@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.core import collapse, let
-from .dom import chain_of, node_text
+from .dom import is_below, nearest_marked, node_text
 
 TEST_TYPE = "struct<op:string,name:string,value:string>"
 STEP_TYPE = f"struct<child:boolean,tag:string,tests:array<array<{TEST_TYPE}>>>"
@@ -139,34 +139,26 @@ def _fits(node: Column, step: Column) -> Column:
         step["tests"], lambda bracket: F.exists(bracket, lambda t: _passes(node, t)))
 
 
-def _path_fits(node: Column, nodes: Column, steps: Column) -> Column:
-    """Walk root -> parent, keeping which step prefixes have matched above and exactly here."""
-    size = F.size(steps)
-
-    def flags(first: bool):
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda j: (j == 0) & F.lit(first))
-
-    start = F.struct(flags(True).alias("above"), flags(True).alias("here"))
-
-    def advance(state, up):
-        here = F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.when(j == 0, False).otherwise(
-            F.when(F.get(steps, j - 1)["child"], F.get(state["here"], j - 1))
-            .otherwise(F.get(state["above"], j - 1))
-            & _fits(F.get(nodes, up), F.get(steps, j - 1))))
-        return let(here, lambda h: F.struct(
-            F.zip_with(state["above"], h, lambda a, b: a | b).alias("above"), h.alias("here")))
-
-    last = F.element_at(steps, -1)
-    return let(F.aggregate(chain_of(node, nodes), start, advance), lambda s: F.when(
-        last["child"], F.get(s["here"], size - 1)).otherwise(F.get(s["above"], size - 1)))
-
-
 def select_nodes(nodes: Column, steps: Column) -> Column:
-    """Elements matching one alternative, in document order."""
+    """Elements matching one alternative, in document order.
+
+    Steps are taken from the left, each for the whole page: marked are the elements that fit it and
+    stand right below (a child step) or anywhere below an element marked for the step before.
+    """
+    def advance(state, step):
+        def placed(n, nearest):
+            return F.when(state["first"], ~step["child"] | (n["parent"] < 0)) \
+                .when(step["child"], F.coalesce(F.get(state["marks"], n["parent"]), F.lit(False))) \
+                .otherwise(is_below(n, nearest))
+
+        nearest = F.when(~state["first"] & ~step["child"], nearest_marked(nodes, state["marks"]))
+        return let(nearest, lambda up: F.struct(F.lit(False).alias("first"), F.transform(
+            nodes, lambda n: placed(n, up) & _fits(n, step)).alias("marks")))
+
+    start = F.struct(F.lit(True).alias("first"), F.array().cast("array<boolean>").alias("marks"))
     last = F.element_at(steps, -1)
-    hits = F.filter(nodes, lambda n: _fits(n, last))
-    return F.when((F.size(steps) == 1) & ~last["child"], hits).otherwise(
-        F.filter(hits, lambda n: _path_fits(n, nodes, steps)))
+    walked = let(F.aggregate(steps, start, advance)["marks"], lambda marks: F.filter(nodes, lambda n: F.get(marks, n["id"])))
+    return F.when((F.size(steps) == 1) & ~last["child"], F.filter(nodes, lambda n: _fits(n, last))).otherwise(walked)
 
 
 def matches(nodes: Column, tokens: Column, selector: Column, attribute: Column) -> Column:

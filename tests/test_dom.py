@@ -1,7 +1,10 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import body, dom, intent, quality, selectors, signature, specs, views
+from pagewright.operators import body, dom, intent, noise, quality, selectors, signature, specs, views
 
 
 def trees(spark, *sources):
@@ -199,5 +202,76 @@ def test_deep_page_takes_linear_memory(spark):
     rows = dom.page_trees(spark.createDataFrame([(1, html)], "page_id bigint, html string"))
     got = rows.select(F.size("nodes").alias("n"), F.element_at("nodes", -1).alias("p")).first()
     assert (got.n, got.p.depth, got.p.tag) == (20_003, 20_002, "p")
-    deep = F.element_at("nodes", -1)
-    assert rows.select(dom.ancestors_any(deep, F.col("nodes"), lambda a: a["tag"] == "body")).first()[0]
+    up = dom.nearest_above(F.col("nodes"), lambda a: a["tag"] == "body")
+    assert rows.select(F.element_at(up, -1)).first()[0] == 1
+
+
+def random_page(rng, size):
+    out, open_ = [], []
+    for i in range(size):
+        while open_ and rng.random() < 0.35:
+            out.append(f"</{open_.pop()}>")
+        tag = rng.choice(["div", "section", "span"])
+        out.append(f"<{tag} class='{rng.choice('ab')}' id='{rng.choice('xyz')}{i % 3}'>t{i}")
+        open_.append(tag)
+    return "<body>" + "".join(out)
+
+
+def test_nearest_marked_ancestors_like_a_plain_walk(spark):
+    rng = random.Random(5)
+    pages = trees(spark, *[random_page(rng, n) for n in (1, 2, 3, 8, 17, 64, 300)])
+    near = dom.nearest_above(F.col("nodes"), lambda a: (a["tag"] == "section") & (a["class_attr"] == "a"))
+    for row in pages.select("nodes", near.alias("near")).collect():
+        for n, got in zip(row.nodes, row.near):
+            at = n.parent
+            while at >= 0 and (row.nodes[at].tag, row.nodes[at].class_attr) != ("section", "a"):
+                at = row.nodes[at].parent
+            assert got == at
+
+
+@pytest.mark.parametrize("selector,steps", [
+    ("div div", [(" ", "div", ""), (" ", "div", "")]), ("div > div", [(" ", "div", ""), (">", "div", "")]),
+    ("section div.a > span", [(" ", "section", ""), (" ", "div", "a"), (">", "span", "")]),
+    ("div.a > section span.b div", [(" ", "div", "a"), (">", "section", ""), (" ", "span", "b"), (" ", "div", "")]),
+    ("html > body div > div > div", [(" ", "html", ""), (">", "body", ""), (" ", "div", ""), (">", "div", ""), (">", "div", "")])])
+def test_selection_like_a_plain_search(spark, selector, steps):
+    rng = random.Random(7)
+    parsed = selectors.parse_selector(F.lit("css"), F.lit(selector))
+    found = selectors.select_nodes(F.col("nodes"), F.get(parsed, F.lit(0))["steps"])["id"]
+    hits = 0
+    for row in trees(spark, *[random_page(rng, n) for n in (5, 40, 200)]).select("nodes", found.alias("found")).collect():
+        def fits(n, at):
+            gap, tag, name = steps[at]
+            if n.tag != tag or name and n.class_attr != name:
+                return False
+            if at == 0:
+                return True
+            up = n.parent
+            while up >= 0:
+                if fits(row.nodes[up], at - 1):
+                    return True
+                if gap == ">":
+                    return False
+                up = row.nodes[up].parent
+            return False
+
+        want = [n.id for n in row.nodes if fits(n, len(steps) - 1)]
+        assert row.found == want
+        hits += len(want)
+    assert hits
+
+
+def test_deep_pages_take_linear_time(spark):
+    """Twenty thousand nested elements: selection, blocks, intent, noise and focus in seconds."""
+    deep = trees(spark, "<div>" * 20_000 + "<p>deep</p>")
+    cols = F.col("nodes"), F.col("tokens")
+    parsed = selectors.parse_selector(F.lit("css"), F.lit("div div"))
+    start = time.monotonic()
+    row = deep.select(
+        F.size(selectors.select_nodes(cols[0], F.get(parsed, F.lit(0))["steps"])).alias("hits"),
+        views.text_blocks(*cols).alias("blocks"), views.focus_region(*cols).alias("focus"),
+        F.size(noise.noise_depth(cols[0])["above"]).alias("above")).first()
+    assert row.hits == 19_999 and row.focus == "deep"
+    assert row.blocks[0].text == "deep" and row.blocks[0].xpath == "/html/body" + "/div" * 20_000 + "/p"
+    assert intent.assess_intent(deep).select("intent.intent").first()[0]
+    assert time.monotonic() - start < 60
