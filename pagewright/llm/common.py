@@ -19,7 +19,7 @@ __all__ = ["ship", "table", "arrow_stage", "lookup", "shared_folder", "durable",
 
 #: Only A-Z change; every other code point keeps its case.
 A_TO_Z = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
-#: What a broadcast side may hold as JSON text.
+#: Bytes of JSON text that a broadcast side with rows of any length may hold.
 SMALL_BYTES = 64 << 20
 _BYTES_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -56,19 +56,18 @@ def arrow_stage(df: DataFrame, fn: Callable[..., Iterator[Sequence[list]]], sche
 
 
 def lookup(big: DataFrame, side: DataFrame, key: str, how: str = "left", salts: int = 16,
-           bound: int = 0) -> DataFrame:
+           bound: int = 0, most_bytes: int | None = None) -> DataFrame:
     """Join rows with a side that has unique keys when a few keys may own a large share of the rows.
 
     Each key of the side is repeated once per salt, so a hot key is spread over ``salts`` tasks at
     the price of a larger side. Rows without a key match nothing and are spread too. Spark may still
-    broadcast the side or split partitions at run time. A stored side of at most ``bound`` rows and
-    ``SMALL_BYTES`` bytes, which are measured, is broadcast; the result is the same.
+    broadcast the side or split partitions at run time. A stored side of at most ``bound`` rows, and of
+    at most ``most_bytes`` as JSON text where its rows may be of any length, is broadcast; both are
+    measured, and the result is the same.
     """
-    if bound:
-        size = side.limit(bound + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(
-            F.count("*").alias("n"), F.sum("b").alias("b")).first()
-        if size["n"] <= bound and (size["b"] or 0) <= SMALL_BYTES:
-            return big.join(F.broadcast(side), key, how)
+    if bound and side.limit(bound + 1).count() <= bound and (
+            most_bytes is None or (side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most_bytes):
+        return big.join(F.broadcast(side), key, how)
     marked = big.withColumn("_salt", F.pmod(F.xxhash64(*_plain(big, key)), F.lit(salts)).cast("int"))
     # A missing key cannot match; a random-looking stand-in keeps such rows out of one task.
     kind = dict(big.dtypes)[key]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, durable, lookup
+from .common import SMALL_BYTES, arrow_stage, durable, lookup
 
 #: A page's container holds this share of its good text; a winning path has this share of votes.
 MOST = 0.6
@@ -369,6 +369,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     winners = durable(winning_paths(pages))
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = lookup(rows, winners, "host", bound=SMALL_SIDE)
+    joined = lookup(rows, winners, "host", bound=SMALL_SIDE, most_bytes=SMALL_BYTES)
     return arrow_stage(joined.select("page_id", "url", "html", "winners", "usual"), _extract,
                        "page_id bigint, url string, text string, n_chars bigint")
