@@ -137,6 +137,15 @@ def _narrowed(rows: DataFrame, keys: list[str], points: Sequence[float], key_row
                   "_k", "inner")
     live = live.select("_k", "_v", F.inline("_w"), F.lit(0).cast("bigint").alias("_skip"))
     live = live.groupBy("_k", "_q", "_lo", "_hi", "_skip", "_v").agg(F.count("*").alias("_c"))
+    return settle(live, wanted, keys, key_rows, accuracy)
+
+
+def settle(live: DataFrame, wanted: DataFrame, keys: Sequence[str], key_rows: int = KEY_ROWS, accuracy: int = 10_000) -> DataFrame:
+    """``keys``, ``n`` and ``percentiles`` from value counts in play.
+
+    ``live`` has _k (a struct of the keys), _q (number of the percentile), _lo and _hi (its ranks), _skip
+    (rows below), _v and _c (a value and how often it occurs); ``wanted`` has _k, n, _q, _at, _lo.
+    """
     before = None
     while True:
         live = durable(live)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
-from ..operators import iterations, review, skew, telemetry
+from ..operators import iterations, review, rolling, skew, telemetry
 from ..operators.evaluate import ENVELOPE
 from ..sources.sinks import append, drop_heavy, latest_per_key, read_upserted
 from ..sources.tables import stored, table
@@ -274,6 +274,29 @@ def sliding_day_windows(spark, folder):
     return rows.withColumn("total_value", F.round("total_value", 4))
 
 
+def _percentile_sql(hours: int) -> str:
+    return f"""WITH {_LOG}, h AS (SELECT date_trunc('hour',ts) AS h, value FROM log WHERE value IS NOT NULL)
+  SELECT h-to_hours(CAST(i AS INT)) AS window_start, count(*) AS events, round(quantile_cont(value,0.5),6) AS p50,
+    round(quantile_cont(value,0.95),6) AS p95, round(quantile_cont(value,0.99),6) AS p99 FROM h, range({hours}) t(i) GROUP BY 1"""
+
+
+def _three(rows: DataFrame) -> DataFrame:
+    return rows.select("window_start", F.col("n").alias("events"), *[
+        F.round(F.get("percentiles", F.lit(i)), 6).alias(f"p{p}") for i, p in enumerate((50, 95, 99))])
+
+
+@query(_percentile_sql(1))
+def hourly_percentiles(spark, folder):
+    """Exact percentiles of every hour, found between the bounds that its sketch gives."""
+    return _three(rolling.rolling_percentiles(log(spark, folder), hours=1))
+
+
+@query(_percentile_sql(24))
+def rolling_day_percentiles(spark, folder):
+    """The same for 24 hours from every hour on, from the merged sketches of the hours."""
+    return _three(rolling.rolling_percentiles(log(spark, folder)))
+
+
 @query(f"""WITH {_LOG}, g AS (SELECT *, CASE WHEN ts-lag(ts) OVER w<=INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM log
     WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS session_no FROM g)
