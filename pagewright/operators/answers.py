@@ -32,11 +32,11 @@ def schema_requests(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", page_view(SCHEMA_LINES, SCHEMA_TEXT).alias("page"))
 
 
-def program_requests(pages: DataFrame) -> DataFrame:
-    """Page view, schema and, from the page context, the focus excerpt and selector suggestions."""
+def program_requests(pages: DataFrame, *keep: str) -> DataFrame:
+    """Page view, schema and, from the page context, the focus region's markup and selector suggestions."""
     return pages.select(
-        "page_id", page_view(PROGRAM_LINES, PROGRAM_TEXT).alias("page"), F.to_json("fields").alias("schema_fields"),
-        F.substring("focus_text", 1, PROGRAM_MARKUP).alias("excerpt"),
+        "page_id", *keep, page_view(PROGRAM_LINES, PROGRAM_TEXT).alias("page"), F.to_json("fields").alias("schema_fields"),
+        F.substring("focus_markup", 1, PROGRAM_MARKUP).alias("excerpt"),
         F.to_json("selector_candidates").alias("selector_candidates"))
 
 

@@ -28,7 +28,7 @@ NODE_TYPE = (
 TOKEN_TYPE = "struct<node:int,text:string>"
 
 # HTML element classes used while repairing tag soup.
-_VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style"))
 _HIDDEN = frozenset(("script", "style", "noscript", "template"))
 _HEADINGS = "h1 h2 h3 h4 h5 h6"
@@ -150,7 +150,7 @@ class _Tree:
             return
         self.imply(tag, line)
         self.push(tag, attrs, line)
-        if closed or tag in _VOID:
+        if closed or tag in VOID:
             self.pop()
 
     def end(self, tag: str) -> None:

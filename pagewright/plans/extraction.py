@@ -163,6 +163,9 @@ def model_requests(spark, folder):
     return ans.field_requests(rows).drop("url")
 
 
+_FIELDS_JSON = "[" + ",".join(
+    f'{{"name":"{n}","description":"{n}","type":"{t}","required":{str(q).lower()},"aliases":[],"examples":[]}}'
+    for n, t, q, _ in PAGE_FIELDS) + "]"
 _VIEW_JSON = """'{{"url":'||to_json(url)||',"title":'||to_json(title)||',"headings":'||to_json(hs)||',"lines":'||to_json(lines[1:{n}])
   ||',"text_excerpt":'||to_json(left(txt,{m}))||'}}'"""
 
@@ -171,22 +174,22 @@ _VIEW_JSON = """'{{"url":'||to_json(url)||',"title":'||to_json(title)||',"headin
     "regexp_extract(html,'(?s)<title>(.*?)</title>',1)")))} AS title,
     list_filter(list_transform(regexp_extract_all(html,'<h[123]>([^<]+)',1), lambda c: {sql.collapse(sql.entities(sql.entities("c")))}),
       lambda c: c<>'') AS hs FROM view),
-  a AS (SELECT page_id, left({sql.collapse(sql.entities("regexp_replace(regexp_extract(html,'(?s)<article>(.*?)</article>',1),'<[^>]*>',' ','g')"))},6000) AS excerpt FROM pages)
+  {sql.BLOCKS},{sql.MARKUP}, a AS ({sql.AD})
   SELECT page_id, {_VIEW_JSON.format(n=160, m=12000)} AS record_page, {_VIEW_JSON.format(n=140, m=10000)} AS schema_page,
-    {_VIEW_JSON.format(n=120, m=8000)} AS program_page, excerpt FROM h JOIN a USING (page_id)""")
+    {_VIEW_JSON.format(n=120, m=8000)} AS page, '{_FIELDS_JSON}' AS schema_fields, left(markup,6000) AS excerpt,
+    '[{{"selector":"div.ad","match_count":1,"text_sample":'||to_json(ad)||'}}]' AS selector_candidates
+  FROM h JOIN mk USING (page_id) JOIN a USING (page_id)""")
 def page_requests(spark, folder):
     """The three whole-page requests to a model, each cut to its own limits."""
     nodes, tokens = F.col("nodes"), F.col("tokens")
     rows = dom.page_trees(pages(spark, folder), ("page_id", "url", "html"))
     rows = rows.withColumn("lines", tx.lines_of("html")).withColumn("text", tx.join_lines(F.col("lines"))) \
         .withColumn("title", tx.title_of("html")).withColumn("headings", tx.headings_of("html")) \
-        .withColumn("fields", page_program()[0]).withColumn("focus_text", views.focus_region(nodes, tokens)) \
-        .withColumn("selector_candidates", views.selector_suggestions(nodes, tokens))
-    both = rows.select("page_id", ans.page_view(ans.RECORD_LINES, ans.FIELD_TEXT).alias("record_page"),
-                       ans.page_view(ans.SCHEMA_LINES, ans.SCHEMA_TEXT).alias("schema_page"),
-                       ans.page_view(ans.PROGRAM_LINES, ans.PROGRAM_TEXT).alias("program_page"),
-                       F.substring("focus_text", 1, ans.PROGRAM_MARKUP).alias("excerpt"))
-    return both
+        .withColumn("fields", page_program()[0]).withColumn("focus_markup", views.focus_markup(nodes, tokens)) \
+        .withColumn("selector_candidates", views.selector_suggestions(nodes, tokens)) \
+        .withColumn("record_page", ans.page_view(ans.RECORD_LINES, ans.FIELD_TEXT)) \
+        .withColumn("schema_page", ans.page_view(ans.SCHEMA_LINES, ans.SCHEMA_TEXT))
+    return ans.program_requests(rows, "record_page", "schema_page")
 
 
 # Answers as a provider might return them: fenced JSON, prose, an abstention, or a value that is not on the page.

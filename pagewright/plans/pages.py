@@ -308,6 +308,38 @@ def selector_suggestions(spark, folder):
     return unfold(rows, ["page_id"], F.col("s")).select("page_id", "selector", big("match_count"), "text_sample")
 
 
+def varied(spark, folder, *keep: str) -> DataFrame:
+    """The pages in four shapes: as they are, in a main element, with named paragraphs, with the menu in the article."""
+    shape = F.col("page_id") % 4
+    markup = F.when(shape == 1, F.replace(F.replace("html", F.lit("<article>"), F.lit(
+        '<main class="content wide"><article id="story">')), F.lit("</article>"), F.lit("</article></main>"))) \
+        .when(shape == 2, F.replace("html", F.lit("<p>"), F.lit('<p class="para text">'))) \
+        .when(shape == 3, F.replace(F.replace("html", F.lit("<article>"), F.lit('<article><header class="title">menu</header>')),
+                                    F.lit('class="ad"'), F.lit('class="ad body ad"'))).otherwise(F.col("html"))
+    return dom.page_trees(pages(spark, folder).withColumn("html", markup), ("page_id", *keep))
+
+
+@query(rf"""WITH {sql.BLOCKS}, {sql.ARTICLE}, a AS ({sql.AD}),
+  para AS (SELECT page_id, count(*) AS c, arg_min(text, n) FILTER (text<>'') AS first FROM blk WHERE tag='p' GROUP BY 1),
+  found AS (SELECT page_id, 1 AS place, CASE page_id%4 WHEN 3 THEN 'div.ad.body' ELSE 'div.ad' END AS selector, 1::BIGINT AS match_count, ad AS text_sample FROM a
+    UNION ALL SELECT page_id, 2, unnest(['main.content.wide','article#story']), 1, left(article,240) FROM _art WHERE page_id%4=1
+    UNION ALL SELECT page_id, 2, 'p.para.text', c, left(first,240) FROM para WHERE page_id%4=2)
+  SELECT page_id, selector, match_count, text_sample, row_number() OVER (PARTITION BY page_id ORDER BY
+    NOT regexp_matches(selector,'title|author|content|article|body'), match_count<>1, length(text_sample), place,
+    selector<>'main.content.wide') AS place FROM found WHERE text_sample<>''""")
+def varied_suggestions(spark, folder):
+    rows = varied(spark, folder).select("page_id", views.selector_suggestions(F.col("nodes"), F.col("tokens")).alias("s"))
+    return unfold(rows, ["page_id"], F.col("s"), position="at").select(
+        "page_id", "selector", big("match_count"), "text_sample", (F.col("at") + 1).cast("bigint").alias("place"))
+
+
+@query(rf"""WITH {sql.BLOCKS}, {sql.MARKUP} SELECT page_id, left(CASE page_id%4
+    WHEN 1 THEN '<main class="content wide">'||replace(markup,'<article>','<article id="story">')||'</main>'
+    WHEN 2 THEN replace(markup,'<p>','<p class="para text">') ELSE markup END,16000) AS markup FROM mk""")
+def focus_markups(spark, folder):
+    return varied(spark, folder).select("page_id", views.focus_markup(F.col("nodes"), F.col("tokens")).alias("markup"))
+
+
 @query(f"WITH {sql.ARTICLE} SELECT page_id, left(article,16000) AS focus_text FROM _art")
 def focus_regions(spark, folder):
     return trees(spark, folder).select("page_id", views.focus_region(

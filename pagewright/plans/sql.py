@@ -44,6 +44,15 @@ ARTICLE = rf"""
 _art AS (SELECT page_id, {collapse(entities(
     r"regexp_replace(regexp_extract(html,'(?s)<article>(.*?)</article>',1),'<[^>]*>',' ','g')"))} AS article FROM pages)"""
 
+# page_id, markup: the article with its texts cleaned; needs blk. Bold text is never closed and ends with its paragraph.
+MARKUP = r"""
+_esc AS (SELECT b.page_id, b.n, b.tag, b.text='' AS bare, contains(seg,'<b>') AS bold,
+    replace(replace(replace(b.text,'&','&amp;'),'<','&lt;'),'>','&gt;') AS x FROM blk b JOIN _seg USING (page_id, n) WHERE b.tag<>'li'),
+mk AS (SELECT page_id, '<article>'||string_agg('<'||tag||'>'||CASE WHEN bold THEN '<b>'||x||CASE WHEN bare THEN '' ELSE ' ' END||'<br></b>'
+    ELSE x END||'</'||tag||'>','' ORDER BY n)||'</article>' AS markup FROM _esc GROUP BY 1)"""
+
+AD = rf"""SELECT page_id, left({collapse(entities("regexp_extract(html,'(?s)<div class=.ad.>(.*?)</div>',1)"))},240) AS ad FROM pages"""
+
 # structural counts per page
 SHAPE = BLOCKS + r""",
 shape AS (SELECT page_id,

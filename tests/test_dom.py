@@ -275,3 +275,64 @@ def test_deep_pages_take_linear_time(spark):
     assert row.blocks[0].text == "deep" and row.blocks[0].xpath == "/html/body" + "/div" * 20_000 + "/p"
     assert intent.assess_intent(deep).select("intent.intent").first()[0]
     assert time.monotonic() - start < 60
+
+
+def test_suggestions_equal_a_plain_count(spark):
+    """Counts and first elements of random pages against a scan of every element for every selector."""
+    rng = random.Random(5)
+    sources = []
+    for _ in range(12):
+        parts = []
+        for _ in range(rng.randrange(1, 60)):
+            tag = rng.choice(["div", "p", "h2", "nav", "section"])
+            names = " ".join(rng.choice(["a", "b", "c", "title", "a"]) for _ in range(rng.randrange(0, 4)))
+            own = f" id='{rng.choice(['x', 'y', 'Z'])}'" if rng.random() < 0.2 else ""
+            parts.append(f"<{tag} class='{names}'{own}>{rng.choice(['', 'text', 'longer text ' * 30])}" + rng.choice(["", f"</{tag}>"]))
+        sources.append("".join(parts))
+    rows = trees(spark, *sources).select("nodes", "tokens", views.selector_suggestions(
+        F.col("nodes"), F.col("tokens"), 10_000).alias("found")).collect()
+    for row in rows:
+        want = {}
+        for n in row.nodes:
+            up, chrome = n.parent, False
+            while up >= 0:
+                chrome, up = chrome or row.nodes[up].tag in views.CHROME_TAGS, row.nodes[up].parent
+            own = n.class_attr.split()
+            if chrome or not n.chars or n.tag in ("html", "body", *views.CHROME_TAGS) or not (n.id_attr or own):
+                continue
+            name = f"{n.tag}#{n.id_attr}" if n.id_attr else f"{n.tag}." + ".".join(own[:2])
+            if name not in want:
+                same = [m for m in row.nodes if m.tag == n.tag and (
+                    m.id_attr == n.id_attr if n.id_attr else set(own[:2]) <= set(m.class_attr.split()))]
+                text = " ".join(t.text for t in row.tokens[n.tok_from:n.tok_to])[:240]
+                dull = not any(w in name.lower() for w in views.TELLING_WORDS)
+                want[name] = (dull, len(same) != 1, len(text), n.id, name, len(same), text)
+        assert [(f.selector, f.match_count, f.text_sample) for f in row.found] == [w[4:] for w in sorted(want.values())]
+    assert any(f.match_count > 1 for row in rows for f in row.found)
+
+
+def test_suggestions_of_large_pages_take_linear_time(spark):
+    """Twenty thousand elements that share one class and have another of their own."""
+    page = trees(spark, "".join(f"<div class='item n{i}'>t{i}</div>" for i in range(20_000)) + "<div>" * 5_000 + "<p id='title'>end")
+    start = time.monotonic()
+    found = page.select(views.selector_suggestions(F.col("nodes"), F.col("tokens")).alias("s")).first().s
+    assert [(f.selector, f.match_count) for f in found[:2]] == [("p#title", 1), ("div.item.n0", 1)] and len(found) == 45
+    assert time.monotonic() - start < 60
+
+
+def test_focus_markup(spark):
+    """Chrome goes, its tail stays, text is escaped, void elements have no end, the region brings its tail."""
+    def markup(source, limit=16000):
+        return trees(spark, source).select(views.focus_markup(F.col("nodes"), F.col("tokens"), limit)).first()[0]
+
+    assert markup("<p>a <b>b</b>c</p>") == "<html><body><p>a <b>b</b> c</p></body></html>"
+    assert markup("<nav><main>no</main></nav><main class='x &amp; y'><h1>T &lt; 1</h1><nav>n<i>m</i></nav>tail<p>one<br>two<p></main>after"
+                  "<footer>f</footer>more<p>end") == (
+        '<main class="x &amp; y"><h1>T &lt; 1</h1> tail <p>one <br> two</p><p></p></main> after  more ')
+    assert markup("<article>" + "<div>" * 3 + "<p id='a'>x</p>" + "</div>" * 3 + "<i></i><u></u></article>") == (
+        '<article><div><div><div><p id="a">x</p></div></div></div><i></i><u></u></article>')
+    assert markup("<article><p>abc", 12) == "<article><p>" and markup("") == "" and markup("text") == (
+        "<html><body><p>text</p></body></html>")
+    start = time.monotonic()
+    deep = markup("<div>" * 20_000 + "<p>deep", 1 << 20)
+    assert deep.count("</div>") == 20_000 and deep.endswith("</html>") and time.monotonic() - start < 60
