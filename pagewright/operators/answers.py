@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import collapse, let, unfold
+from ..functions.core import bind, collapse, let, unfold
 from ..functions.text import locate, normalize_date, snippet, strip
 from .extract import ANSWER_TYPE, EVIDENCE_TYPE
 
@@ -134,24 +134,31 @@ def answer_arrays(answers: DataFrame, key: str = "page_id") -> DataFrame:
         "field_name", "a.value", "a.evidence", "a.error").cast(ANSWER_TYPE))).alias("answers"))
 
 
+_OPEN = "struct<record:map<string,string>,evidence:map<string,struct<text:string,confidence:string>>>"
+
+
+def open_record(content: Column) -> Column:
+    """A schema-free answer: ARRAY<STRUCT<key, value, confidence, evidence_text>>, null unless it is a JSON object."""
+    def entries(typed, flat):
+        def entry(e):
+            seen = F.try_element_at(typed["evidence"], e["key"])
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(
+                seen["confidence"].try_cast("double"), F.lit(0.0))))
+            return F.struct(e["key"].alias("key"), e["value"].alias("value"), score.alias("confidence"),
+                            F.nullif(seen["text"], F.lit("")).alias("evidence_text"))
+
+        own = F.filter(F.map_entries(F.coalesce(typed["record"], flat)), lambda e: (e["key"] != "") & (e["key"] != "evidence"))
+        return F.transform(own, entry)
+
+    return let(parse_content(content), lambda t: bind(
+        entries, typed=F.from_json(t, _OPEN), flat=F.from_json(t, "map<string,string>")))
+
+
 def record_rows(answers: DataFrame, *keys: str, content: str = "content") -> DataFrame:
     """Schema-free record answers as field rows with clamped confidence."""
-    keys = keys or ("page_id",)
-    shape = "struct<record:map<string,string>,evidence:map<string,struct<text:string,confidence:string>>>"
-    text = parse_content(F.col(content))
-    typed = answers.select(*keys, text.alias("_t")).select(
-        *keys, "_t", F.from_json("_t", shape).alias("_a"), F.from_json("_t", "map<string,string>").alias("_flat"))
-    record = F.coalesce("_a.record", "_flat")
-    rows = typed.select(*keys, F.col("_a.evidence").alias("_e"), F.explode(record).alias("field_name", "value")) \
-        .filter("field_name <> '' and field_name <> 'evidence'")
-    seen = F.try_element_at(F.col("_e"), F.col("field_name"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(
-        seen["confidence"].try_cast("double"), F.lit(0.0))))
-    shown = F.coalesce(seen["text"], F.lit(""))
-    return rows.select(
-        *keys, "field_name", "value", score.alias("confidence"),
-        F.when(shown != "", shown).alias("evidence_text"),
-        F.when(F.coalesce("value", F.lit("")) != "", "extracted").otherwise("missing").alias("status"))
+    rows = unfold(answers, keys or ("page_id",), open_record(F.col(content)))
+    return rows.select(*(keys or ("page_id",)), F.col("key").alias("field_name"), "value", "confidence", "evidence_text",
+                       F.when(F.coalesce("value", F.lit("")) != "", "extracted").otherwise("missing").alias("status"))
 
 
 def token_metrics(calls: DataFrame, *keys: str) -> DataFrame:

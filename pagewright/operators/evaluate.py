@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import bind, let
-from .extract import effective, record_map
+from ..functions.core import bind, let, unfold
+from .extract import EVIDENCE_TYPE, RESULT_TYPE, effective, record_map
 from .specs import rules_signature
 from .verify import matches_type
 
@@ -64,10 +64,50 @@ def method_rules(rules: Column, method: Column) -> Column:
         *[r[k] for k in ("selector", "attribute", "pattern", "label", "labels", "postprocess")]))
 
 
+def direct_results(entries: Column) -> Column:
+    """Results of a schema-free answer: its own keys are the field names. A failed answer (null) has none."""
+    none = F.array().cast(f"array<{EVIDENCE_TYPE}>")
+
+    def one(e, i):
+        evidence = F.struct(F.lit("llm_fallback").alias("source"), e["evidence_text"].alias("text"), F.lit(None).alias("start_char"),
+                            F.lit(None).alias("end_char"), e["confidence"].alias("score")).cast(EVIDENCE_TYPE)
+        return F.struct(
+            i.alias("field_pos"), e["key"].alias("field_name"), e["value"].alias("value"), e["value"].alias("normalized_value"),
+            e["confidence"].alias("confidence"), F.when(e["evidence_text"].isNotNull(), F.array(evidence)).otherwise(none).alias("evidence"),
+            F.lit("llm_fallback").alias("strategy"), F.when(F.coalesce(e["value"], F.lit("")) != "", "extracted").otherwise("missing")
+            .alias("status"), F.lit(None).alias("error_message")).cast(RESULT_TYPE)
+
+    return F.coalesce(F.transform(entries, one), F.array().cast(f"array<{RESULT_TYPE}>"))
+
+
+def mean_confidence(results: Column) -> Column:
+    """Mean over all fields of a schema-free record, 0 if it has none."""
+    total = F.aggregate(results, F.lit(0.0), lambda acc, r: acc + r["confidence"])
+    return F.round(F.coalesce(F.try_divide(total, F.size(results)), F.lit(0.0)), 4)
+
+
+def evidence_spans(extracted: DataFrame, key: str = "page_id") -> DataFrame:
+    """Places of the evidence of every run, for ``alignment.annotate``."""
+    placed = F.flatten(F.transform("results", lambda r: F.transform(r["evidence"], lambda e: F.struct(
+        r["field_name"].alias("field_name"), e["start_char"].alias("start_char"), e["end_char"].alias("end_char")))))
+    return unfold(extracted, ("method", key), placed)
+
+
+# What a run may bring along, and what holds where it does not.
+_RUN_COLUMNS = {"program_reused": False, "model_call_count": 0, "token_usage_missing_calls": 0, "runtime_ms": None,
+                "token_cost": None, "actual_input_tokens": None, "actual_output_tokens": None,
+                "partial_actual_input_tokens": None, "partial_actual_output_tokens": None, "annotations": None}
+
+
 def to_records(extracted: DataFrame, gold: DataFrame, key: str = "page_id") -> DataFrame:
-    """Score-ready records; gold joins here and nowhere earlier."""
+    """Score-ready records; gold joins here and nowhere earlier.
+
+    A run with an ``error`` failed: it stays with its item and scores as one without fields. Run times, calls,
+    tokens and annotations are taken along where the rows have them.
+    """
     joined = extracted.join(gold.select(key, "gold"), key)
     shown = F.filter("results", lambda r: F.coalesce(effective(r), F.lit("")) != "")
+    failure = F.col("error") if "error" in extracted.columns else F.lit(None).cast("string")
     outcomes = F.col("repair_outcomes") if "repair_outcomes" in extracted.columns else None
     repair = {}
     if outcomes is not None:
@@ -76,7 +116,9 @@ def to_records(extracted: DataFrame, gold: DataFrame, key: str = "page_id") -> D
             ~o["before"].eqNullSafe(g)) & o["after"].eqNullSafe(g)))
         repair = {"repair_attempt_fields": F.size(eligible), "repair_success_fields": F.size(fixed)}
     return as_records(joined.select(
-        "method", F.col(key).cast("string").alias("item_id"), F.lit("completed").alias("status"),
+        "method", F.col(key).cast("string").alias("item_id"),
+        F.when(failure.isNull(), "completed").otherwise("failed").alias("status"),
+        F.when(failure.isNotNull(), F.array(F.concat_ws(": ", "method", failure))).otherwise(F.array().cast("array<string>")).alias("errors"),
         record_map(F.col("results")).alias("predicted"), "gold",
         F.transform(F.filter("fields", lambda f: f["required"]), lambda f: f["name"]).alias("required"),
         F.transform("fields", lambda f: F.struct(f["name"], f["type"])).alias("fields"),
@@ -84,8 +126,8 @@ def to_records(extracted: DataFrame, gold: DataFrame, key: str = "page_id") -> D
         F.map_from_entries(F.transform("results", lambda r: F.struct(r["field_name"], r["confidence"])))
         .alias("field_confidences"),
         F.size(F.filter(shown, lambda r: F.size(r["evidence"]) > 0)).alias("evidenced_fields"),
-        F.size(shown).alias("nonempty_fields"), F.lit(False).alias("program_reused"),
-        F.lit(0).alias("model_call_count"), F.lit(0).alias("token_usage_missing_calls"),
+        F.size(shown).alias("nonempty_fields"),
+        *[F.col(n) if n in extracted.columns else F.lit(v).alias(n) for n, v in _RUN_COLUMNS.items()],
         *[v.alias(k) for k, v in repair.items()]))
 
 
