@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.core import unfold
 from ..functions import text as tx
 from ..functions import web
+from ..operators import alignment
 from ..operators import answers as ans
 from ..operators import body, dom, evaluate, extract, quality, review, selectors, specs, verify, views
+from ..session import durable
 from . import sql
 from .pages import big, pages, trees, viewed
 from .registry import query
@@ -409,27 +411,52 @@ def gold(spark, folder) -> DataFrame:
         F.lit("phrase"), word).alias("gold"))
 
 
-def benchmark_records(spark, folder) -> DataFrame:
-    """Four methods over the same pages; answers never see the gold labels."""
+def open_answer() -> Column:
+    """What a model might return for a page without being told the schema: own keys, prose, or an empty record."""
+    lang = F.regexp_extract("url", "^https?://[^/]*/([a-z][a-z])/", 1)
+    known = F.to_json(F.struct(
+        F.struct(F.col("title").alias("title"), web.host(F.col("url")).alias("publisher"), lang.alias("lang")).alias("record"),
+        F.struct(F.struct(F.col("title").alias("text"), F.lit(0.9).alias("confidence")).alias("title")).alias("evidence")))
+    other = F.to_json(F.struct(F.struct(F.col("title").alias("Page Title"), web.host(F.col("url")).alias("publisherName")).alias("record")))
+    return F.when(F.col("page_id") % 4 == 0, known).when(F.col("page_id") % 4 == 1, "sorry, no answer") \
+        .when(F.col("page_id") % 4 == 2, other).otherwise('{"record":{}}')
+
+
+def benchmark_runs(spark, folder) -> DataFrame:
+    """Five methods over the same pages, with the cost of each run; answers never see the gold labels."""
     base = ready(spark, folder).join(ans.answer_arrays(anchored(spark, folder)), "page_id", "left").withColumn(
-        "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>")))
+        "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>"))).withColumn("_open", open_answer())
 
     # All methods run on the row of their page: the page is read, decoded and parsed once.
     # Without a model the rules alone and the full method start from the same results.
     ruled = extract.extract_fields(base).withColumn("_plain", F.col("results"))
     full = verify.repair(verify.decide_fallback(verify.verify(ruled)))
-    rows = full.withColumns({"_hybrid": extract.results_of(base, allow_model=True), "_model": extract.model_only()})
+    rows = full.withColumns({"_hybrid": extract.results_of(base, allow_model=True), "_model": extract.model_only(),
+                             "_direct": evaluate.direct_results(ans.open_record(F.col("_open"))),
+                             "_broken": ans.content_error(F.col("_open"))})
     none = F.slice("repair_outcomes", 1, 0)
+    size = F.floor((F.length("text") + 3) / 4).cast("bigint")
+
+    def run(place, name, results, outcomes=none, overall=None, error=None, calls=0, reused=F.lit(False)):
+        mean = extract.overall_confidence(F.col(results)) if overall is None else overall
+        failure = F.lit(None).cast("string") if error is None else error
+        asked, lost = F.lit(calls), F.when(failure.isNull(), 0).otherwise(calls)
+        used = F.when(lost == 0, asked * size)
+        return F.struct(F.lit(name).alias("method"), F.col(results).alias("results"), outcomes.alias("repair_outcomes"),
+                        mean.alias("overall_confidence"), failure.alias("error"), reused.alias("program_reused"),
+                        (F.col("page_id") % 97 + place).cast("bigint").alias("runtime_ms"), asked.alias("model_call_count"),
+                        lost.alias("token_usage_missing_calls"), (asked * size).alias("token_cost"),
+                        used.alias("actual_input_tokens"), F.coalesce(used, F.lit(0)).alias("partial_actual_input_tokens"))
+
+    broken = F.col("_broken")
+    return unfold(rows, ("page_id", "fields"), F.array(
+        run(1, "Direct LLM", "_direct", overall=F.when(broken.isNull(), evaluate.mean_confidence(F.col("_direct"))), error=broken, calls=1),
+        run(2, "LLM + Schema", "_model", calls=1), run(3, "Program Only", "_plain"), run(4, "Hybrid without Verifier", "_hybrid"),
+        run(5, "Ours Full", "results", F.col("repair_outcomes"), F.col("overall_confidence"), reused=F.col("page_id") % 5 == 0)))
 
-    def run(name, results, outcomes=none, overall=None):
-        mean = extract.overall_confidence(F.col(results)) if overall is None else F.col(overall)
-        return F.struct(F.lit(name).alias("method"), F.col(results).alias("results"),
-                        outcomes.alias("repair_outcomes"), mean.alias("overall_confidence"))
 
-    runs = unfold(rows, ("page_id", "fields"), F.array(
-        run("Program Only", "_plain"), run("Hybrid without Verifier", "_hybrid"), run("LLM + Schema", "_model"),
-        run("Ours Full", "results", F.col("repair_outcomes"), "overall_confidence")))
-    return evaluate.to_records(runs, gold(spark, folder))
+def benchmark_records(spark, folder) -> DataFrame:
+    return evaluate.to_records(benchmark_runs(spark, folder), gold(spark, folder))
 
 
 _SCORES = f"""{_REPAIRED}, after AS ({_AFTER} FROM fixed),
@@ -453,7 +480,25 @@ rr AS (SELECT count(*) AS n, count(*) FILTER (result='repaired' AND avalue=want
   FROM fixed JOIN gold USING (id, field) WHERE reason IS NOT NULL)"""
 
 
-@query(f"""WITH {_SCORES} SELECT method, round(count(*) FILTER (good)/count(*) FILTER (has_gold),4) AS field_accuracy,
+# The schema-free method has rows of its own keys; ``page`` has what all methods need of a page.
+_DIRECT = r"""page AS (SELECT ttl.page_id AS id, page_id%4 AS m, title, lower(regexp_extract(url,'^https?://([^/?#]*)',1)) AS host,
+    regexp_extract(url,'^https?://[^/]*/([a-z][a-z])/',1) AS lang, (length(txt)+3)//4 AS size FROM ttl JOIN pages USING (page_id)),
+d AS (SELECT count(*) AS n, count(*) FILTER (m=0) AS n0, count(*) FILTER (m=1) AS n1, count(*) FILTER (m=2) AS n2, count(*) FILTER (m=3) AS n3,
+    count(*) FILTER (m=0 AND title<>'') AS t0, count(*) FILTER (m=0 AND trim(title)<>'') AS typed, sum((m=0)::INT+(m=2)::INT) AS hosts,
+    count(*) FILTER (m IN (0,2) AND title<>'') AS titles, count(*) FILTER (m=0 AND lang<>'') AS langs FROM page),
+cost AS (SELECT method, count(*) FILTER (method='Direct LLM' AND m=1)::BIGINT AS failure_count, sum(id%97+place)::BIGINT AS runtime_ms,
+    sum(CASE WHEN place<3 THEN size ELSE 0 END)::BIGINT AS estimated_token_cost,
+    CASE WHEN method='LLM + Schema' THEN sum(size) END::BIGINT AS actual_input_tokens,
+    CASE method WHEN 'LLM + Schema' THEN sum(size) WHEN 'Direct LLM' THEN coalesce(sum(size) FILTER (m<>1),0) ELSE 0 END::BIGINT AS partial_actual_input_tokens,
+    CASE method WHEN 'Direct LLM' THEN count(*) FILTER (m=1) ELSE 0 END::BIGINT AS token_usage_missing_calls,
+    CASE WHEN place<3 THEN count(*) ELSE 0 END::BIGINT AS model_call_count,
+    CASE WHEN method='Ours Full' THEN round(count(*) FILTER (id%5=0)/count(*),4) WHEN place>2 THEN 0.0 END AS program_reuse_rate
+  FROM page, (VALUES (1,'Direct LLM'),(2,'LLM + Schema'),(3,'Program Only'),(4,'Hybrid without Verifier'),(5,'Ours Full')) v(place, method)
+  GROUP BY method, place)"""
+
+
+@query(f"""WITH {_SCORES}, {_DIRECT}, five AS (
+  SELECT method, round(count(*) FILTER (good)/count(*) FILTER (has_gold),4) AS field_accuracy,
   round(count(*) FILTER (required AND coalesce(val,'')='')/count(*) FILTER (required),4) AS required_field_missing_rate,
   round(any_value(adh),4) AS schema_adherence,
   round(count(*) FILTER (coalesce(val,'')<>'' AND ev IS NOT NULL)/count(*) FILTER (coalesce(val,'')<>''),4) AS evidence_coverage,
@@ -461,28 +506,94 @@ rr AS (SELECT count(*) AS n, count(*) FILTER (result='repaired' AND avalue=want
   round(count(*) FILTER (good AND round(conf,4)>=0.8)/nullif(count(*) FILTER (has_gold AND round(conf,4)>=0.8 AND coalesce(val,'')<>''),0),4) AS selective_accuracy,
   count(*) FILTER (has_gold AND round(conf,4)>=0.8 AND coalesce(val,'')<>'') AS accepted_field_count,
   CASE WHEN method='Ours Full' THEN (SELECT round(k/n,4) FROM rr) END AS repair_success_rate, count(DISTINCT id) AS sample_count
-  FROM j JOIN (SELECT method, sum(passed)/sum(checks) AS adh FROM perpage GROUP BY 1) USING (method) GROUP BY method""")
+  FROM j JOIN (SELECT method, sum(passed)/sum(checks) AS adh FROM perpage GROUP BY 1) USING (method) GROUP BY method
+  UNION ALL SELECT 'Direct LLM', round(2*n0/(4*n),4), round((4*(n-n0)+2*n0+(n0-t0))/(4*n),4), round((typed+n0+n1+n3)/(7*n),4),
+    round(t0/(titles+hosts+langs),4), round(0.9*n0/(3*n0+2*n2+n3),4), round(n0/nullif(t0,0),4), t0, NULL, n FROM d)
+  SELECT five.*, sample_count-failure_count AS success_count, cost.* EXCLUDE (method) FROM five JOIN cost USING (method)""")
 def method_scores(spark, folder):
     return evaluate.score_methods(benchmark_records(spark, folder)).select(
         "method", "field_accuracy", "required_field_missing_rate", "schema_adherence", "evidence_coverage",
-        "average_confidence", "selective_accuracy", "accepted_field_count", "repair_success_rate", "sample_count")
+        "average_confidence", "selective_accuracy", "accepted_field_count", "repair_success_rate", "sample_count",
+        "success_count", "failure_count", "runtime_ms", "estimated_token_cost", "actual_input_tokens",
+        "partial_actual_input_tokens", "token_usage_missing_calls", "model_call_count", "program_reuse_rate")
 
 
-@query(f"""WITH {_SCORES}, s AS (SELECT method, count(*) FILTER (has_gold AND round(conf,4)>=0.8 AND coalesce(val,'')<>'') AS accepted
-    FROM j GROUP BY 1)
+@query(f"""WITH {_SCORES}, {_DIRECT}, s AS (SELECT method, count(*) FILTER (has_gold AND round(conf,4)>=0.8 AND coalesce(val,'')<>'') AS accepted
+    FROM j GROUP BY 1 UNION ALL SELECT 'Direct LLM', t0 FROM d)
   SELECT method, metric, CASE metric WHEN 'evidence_precision' THEN 'independent evidence annotations are absent'
       WHEN 'selective_accuracy' THEN 'no accepted fields at the configured confidence threshold'
       WHEN 'repair_success_rate' THEN 'method does not attempt verifier-directed repair'
-      WHEN 'program_reuse_rate' THEN 'method is not a program method' ELSE 'no model calls' END AS reason
-  FROM s, (VALUES ('evidence_precision'),('selective_accuracy'),('repair_success_rate'),('program_reuse_rate'),
+      WHEN 'program_reuse_rate' THEN 'method is not a program method'
+      ELSE CASE method WHEN 'Direct LLM' THEN 'provider usage missing for one or more calls' ELSE 'no model calls' END END AS reason
+  FROM s, d, (VALUES ('evidence_precision'),('selective_accuracy'),('repair_success_rate'),('program_reuse_rate'),
     ('actual_input_tokens'),('actual_output_tokens')) m(metric)
-  WHERE metric IN ('evidence_precision','actual_input_tokens','actual_output_tokens') OR (metric='selective_accuracy' AND accepted=0)
-    OR (metric='repair_success_rate' AND method<>'Ours Full') OR (metric='program_reuse_rate' AND method='LLM + Schema')""")
+  WHERE metric='evidence_precision' OR (metric IN ('actual_input_tokens','actual_output_tokens') AND method<>'LLM + Schema'
+    AND (method<>'Direct LLM' OR n1>0)) OR (metric='selective_accuracy' AND accepted=0)
+    OR (metric='repair_success_rate' AND method<>'Ours Full') OR (metric='program_reuse_rate' AND method IN ('LLM + Schema','Direct LLM'))""")
 def metric_provenance(spark, folder):
     rows = evaluate.score_methods(benchmark_records(spark, folder))
     return rows.select("method", F.explode("unavailable_reasons").alias("metric", "reason"))
 
 
+@query(f"""WITH {sql.TEXT}, {_ANCHORED} SELECT 'Direct LLM' AS method, CAST(page_id AS VARCHAR) AS item_id,
+  'Direct LLM: answer is not a JSON object' AS error FROM ttl WHERE page_id%4=1""")
+def method_failures(spark, folder):
+    rows = evaluate.sample_errors(benchmark_records(spark, folder))
+    return rows.select("method", "item_id", F.explode("errors").alias("error"))
+
+
+@query(f"""WITH {sql.TEXT}, {_ANCHORED}, {_DIRECT}
+  SELECT id AS page_id, unnest(['title','publisher']) AS field_name, unnest(CASE m WHEN 0 THEN ['title','publisher']
+    ELSE ['Page Title','publisherName'] END) AS key, CASE m WHEN 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score,
+    unnest([title, host]) AS value FROM page WHERE m IN (0,2)""")
+def open_record_alignment(spark, folder):
+    """Keys of schema-free answers paired with schema fields, and the values the fields take."""
+    rows = pages(spark, folder).select("page_id", "url", tx.title_of("html").alias("title"))
+    rows = rows.withColumn("entries", ans.open_record(open_answer())).withColumn("fields", page_program()[0])
+    pairs = rows.withColumn("pairs", alignment.align(F.col("entries")["key"], F.col("fields")))
+    out = unfold(pairs, ["page_id", "entries"], F.col("pairs"))
+    value = F.get(F.filter("entries", lambda e: e["key"] == F.col("key")), F.lit(0))["value"]
+    return out.select("page_id", "field_name", "key", "score", value.alias("value"))
+
+
+def marked_spans(spark, folder) -> DataFrame:
+    """Spans an annotator might have marked: whole, shifted, cut or missing, by page."""
+    rows = viewed(spark, folder).select("page_id", "text", web.host(F.col("url")).alias("host"), tx.title_of("html").alias("title"))
+    at, size, kind = tx.locate(F.col("text"), F.col("host")), F.length("host"), F.col("page_id") % 5
+    host = F.struct(F.lit("publisher").alias("field_name"), (at + F.when(kind == 1, size - 2).when(kind == 2, -3).otherwise(0)).alias("start_char"),
+                    (at + F.when(kind == 1, size + 40).when(kind == 2, 4).otherwise(size)).alias("end_char"))
+    half = F.struct(F.lit("title").alias("field_name"), F.lit(0).alias("start_char"), F.floor(F.length("title") / 2).cast("int").alias("end_char"))
+    return unfold(rows, ["page_id"], F.when(kind == 3, F.array()).when(kind == 4, F.array(host, half)).otherwise(F.array(host)))
+
+
+_PRECISION = rf"""{_SCORES}, {_DIRECT}, spot AS (SELECT page_id AS id, page_id%5 AS kind, strpos(txt,host)-1 AS p, length(host) AS n, length(title) AS t
+    FROM view JOIN page ON id=page_id),
+marks AS (SELECT id, 'publisher' AS field, p+CASE kind WHEN 1 THEN n-2 WHEN 2 THEN -3 ELSE 0 END AS a,
+    p+CASE kind WHEN 1 THEN n+40 WHEN 2 THEN 4 ELSE n END AS b FROM spot WHERE kind<>3 AND p>=0
+  UNION ALL SELECT id, 'publisher', NULL, NULL FROM spot WHERE kind<>3 AND p<0
+  UNION ALL SELECT id, 'title', 0, t//2 FROM spot WHERE kind=4),
+spans AS (SELECT method, id, field, s, e FROM (VALUES ('Program Only'),('Hybrid without Verifier'),('Ours Full')) v(method), fr WHERE field IN ('title','publisher')),
+hit AS (SELECT DISTINCT method, spans.id, field FROM spans JOIN marks USING (id, field)
+  WHERE s<e AND a<b AND least(e,b)-greatest(s,a)>=0.5*(b-a)),
+shown AS (SELECT method, id, count(*) FILTER (coalesce(val,'')<>'' AND ev IS NOT NULL) AS k FROM runs GROUP BY 1,2
+  UNION ALL SELECT 'Direct LLM', id, CASE WHEN m=0 AND title<>'' THEN 1 ELSE 0 END FROM page)"""
+
+
+@query(f"""WITH {_PRECISION}, one AS (SELECT method, id, k, (SELECT count(DISTINCT field) FROM marks WHERE marks.id=shown.id) AS marked,
+    (SELECT count(*) FROM hit WHERE hit.id=shown.id AND hit.method=shown.method) AS met FROM shown)
+  SELECT method, round(sum(met)/sum(greatest(k,marked)),4) AS evidence_precision, sum(met)::BIGINT AS fields_met,
+    sum(marked)::BIGINT AS fields_marked FROM one GROUP BY 1""")
+def evidence_precision(spark, folder):
+    """Evidence against independently marked spans, which it may meet in part."""
+    runs = durable(benchmark_runs(spark, folder))
+    marks = marked_spans(spark, folder)
+    records = evaluate.to_records(alignment.annotate(runs, evaluate.evidence_spans(runs), marks, "page_id"), gold(spark, folder))
+    told = records.groupBy("method").agg(
+        F.sum(F.coalesce(F.size(F.map_filter("annotations", lambda _, v: v)), F.lit(0))).alias("fields_met"),
+        F.sum(F.coalesce(F.size("annotations"), F.lit(0))).alias("fields_marked"))
+    return evaluate.score_methods(records).select("method", "evidence_precision").join(told, "method")
+
+
 @query(f"""WITH {_FOUND}, l AS (SELECT page_id AS id, regexp_extract(url,'^https?://[^/]*/([a-z][a-z])/',1) AS lang FROM pages)
   SELECT id AS page_id, lang AS schema_id, CASE WHEN lang='en' THEN max(val) FILTER (field='title') END AS title,
     max(val) FILTER (field='publisher') AS publisher, lang='en' AS parsed FROM fr JOIN l USING (id) WHERE lang IN ('en','de','fr','es')

@@ -299,6 +299,15 @@ def structure_clusters(spark, folder):
         F.round("mean_blocks", 6).alias("mean_blocks"), "uniform")
 
 
+@query(rf"""WITH {sql.SHAPE}, o AS (SELECT page_id, intent, headings, ratio, CAST(round(ratio*1000000) AS BIGINT) AS x,
+    coalesce(ratio-lag(ratio) OVER (PARTITION BY intent, headings ORDER BY ratio, page_id)>0.35,false) AS cut FROM judged),
+  g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY intent, headings ORDER BY ratio, page_id ROWS UNBOUNDED PRECEDING) AS part FROM o),
+  c AS (SELECT *, min(page_id) OVER w AS cluster, count(*) OVER w AS pages, sum(x) OVER w AS total FROM g WINDOW w AS (PARTITION BY intent, headings, part))
+  SELECT page_id, cluster, pages, first_value(page_id) OVER (PARTITION BY cluster ORDER BY abs(pages*x-total), page_id) AS medoid FROM c""")
+def template_clusters(spark, folder):
+    return signature.template_clusters(structures(spark, folder)).select("page_id", "cluster", "pages", "medoid")
+
+
 @query(rf"""SELECT page_id, 'div.ad' AS selector, 1::BIGINT AS match_count,
   left({sql.collapse(sql.entities("regexp_extract(html,'(?s)<div class=.ad.>(.*?)</div>',1)"))},240) AS text_sample
   FROM pages""")
