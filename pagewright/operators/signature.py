@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import bind, compact, let, reason
+from ..session import durable
 from .noise import BLOCKS
 from .skew import attach
 
@@ -190,6 +191,8 @@ def template_clusters(pages: DataFrame, key: str = "page_id") -> DataFrame:
     rows = pages.select(key, F.to_json(F.array(*[F.to_json(F.struct(e)) for e in (*exact, *gaps)])).alias("_template"),
                         F.to_json(F.array(*cells)).alias("_cell"), *[v.alias(f"_{m}") for m, v in whole.items()],
                         *[s[m].alias(m) for m in whole])
+    # Pages are parsed once; what is kept of each is short.
+    rows = durable(rows)
     counted = rows.groupBy("_template", "_cell").agg(
         F.count("*").alias("rows"), F.min(key).cast("bigint").alias("first_page"),
         *[f(m).alias(f"{n}_{m}") for m in whole for n, f in (("min", F.min), ("max", F.max))],
