@@ -9,6 +9,8 @@ from ..functions.core import unfold
 from ..functions import text as tx
 from ..functions import web
 from ..operators import body, collection, dom, intent, selectors, signature, views
+from ..session import shared_folder
+from ..sources.files import read_page_files, write_page_files
 from ..sources.tables import spread, supplied_pages, table
 from . import sql
 from .registry import query
@@ -140,6 +142,15 @@ def supplied_page_scan(spark, folder):
         "page_id", big("status_code"), F.length("html").cast("bigint").alias("chars"))
 
 
+@query("SELECT CAST(page_id AS VARCHAR) AS item_id, octet_length(encode(html)) AS bytes, sha256(html) AS page_hash FROM pages")
+def page_file_scan(spark, folder):
+    """All pages written as files by tasks, then read back from their folder."""
+    place = shared_folder(spark, "page-files")
+    rows = pages(spark, folder).select(F.col("page_id").cast("string").alias("item_id"), "html")
+    write_page_files(rows, place).write.format("noop").mode("overwrite").save()
+    return read_page_files(spark, place).select("item_id", "bytes", web.fingerprint(F.col("html")).alias("page_hash"))
+
+
 _HOST = "lower(regexp_extract(url,'^https?://([^/?#]*)',1))"
 
 

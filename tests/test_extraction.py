@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.operators import answers, collection, dom, extract, selectors, specs, verify
-from pagewright.sources import tables
+from pagewright.sources import files, tables
 
 NOTICE = [("title", "text", True, "通知标题", []), ("publish_date", "date", False, "发布时间", ["发布日期"]),
           ("deadline", "date", False, "截止", ["申报截止", "报名截止"]), ("contact", "text", False, "联系", ["联系人"])]
@@ -237,3 +237,23 @@ def test_page_folder_and_dataset_file(spark, tmp_path):
     assert items.count() == 2 and [r.item_id for r in tables.items_without_schema(items).collect()] == ["2"]
     with pytest.raises(Exception, match="item without schema: 2"):
         tables.require_schemas(items).collect()
+
+
+def test_page_files_round_trip(spark, tmp_path):
+    """Any text is a file name; keys depend on places only; many small files share splits; a second run changes nothing."""
+    rows = [("a", "<p>x</p>\n"), ("b c+d/e%20.é", "é\r\n\x00"), ("", "dropped"), ("_a", "u"), (".b", "v"), ("n", None), (None, "dropped")] + [(f"k{i}", "x" * i) for i in range(300)]
+    pages = spark.createDataFrame(rows, "item_id string, html string").repartition(7)
+    for _ in range(2):
+        written = files.write_page_files(pages, str(tmp_path / "some pages")).collect()
+        assert len(written) == len(rows) - 2 == len(list((tmp_path / "some pages").iterdir()))
+    got = files.read_page_files(spark, str(tmp_path / "some pages"))
+    assert {r.item_id: (r.html, r.bytes) for r in got.collect()} == {
+        k: (v, len(v.encode())) for k, v in rows if k and v}
+    assert got.rdd.getNumPartitions() < 60
+    (tmp_path / "nested/a").mkdir(parents=True)
+    (tmp_path / "nested/b").mkdir()
+    for name in ("a/x", "b/x", "y"):
+        (tmp_path / f"nested/{name}.html").write_text(name)
+    nested = files.read_page_files(spark, str(tmp_path / "nested"), nested=True)
+    assert {r.item_id: r.html for r in nested.collect()} == {n: n for n in ("a/x", "b/x", "y")}
+    assert [r.item_id for r in files.read_page_files(spark, str(tmp_path / "nested")).collect()] == ["y"]
