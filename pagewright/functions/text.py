@@ -145,6 +145,8 @@ def page_headings(markup: Column) -> Column:
 
 _YMD = r"(\d{4})\s*[年\-/.]\s*(\d{1,2})\s*[月\-/.]\s*(\d{1,2})\s*日?"
 _DIGITS = r"(\d{4})(\d{2})(\d{2})"
+# Written so already; most values that are checked are.
+_ISO = r"\A\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\z"
 
 
 def normalize_date(value: Column) -> Column:
@@ -152,19 +154,21 @@ def normalize_date(value: Column) -> Column:
     text = collapse(value)
 
     def iso(t, pattern):
-        y, m, d = (F.regexp_extract(t, pattern, i).cast("int") for i in (1, 2, 3))
-        good = m.between(1, 12) & d.between(1, 31)
-        return F.when(good, F.format_string("%04d-%02d-%02d", y, m, d)).otherwise(t)
+        parts = F.struct(*[F.lpad(F.regexp_extract(t, pattern, i), n, "0").alias(k) for i, k, n in (
+            (1, "y", 4), (2, "m", 2), (3, "d", 2))])
+        # Two digits compare as text as they do as numbers.
+        return let(parts, lambda p: F.when(p["m"].between("01", "12") & p["d"].between("01", "31"), F.concat_ws(
+            "-", p["y"], p["m"], p["d"])).otherwise(t))
 
-    return let(text, lambda t: F.when(t.rlike(_YMD), iso(t, _YMD))
+    return let(text, lambda t: F.when(t.rlike(_ISO), t).when(t.rlike(_YMD), iso(t, _YMD))
                .when(t.rlike(_DIGITS), iso(t, _DIGITS)).otherwise(t))
 
 
 def snippet(text: Column, start: Column, end: Column, radius: int = 60) -> Column:
     """Text around [start, end), collapsed."""
-    first = F.greatest(F.lit(0), start - radius)
-    last = F.least(F.length(text), end + radius)
-    return collapse(F.substring(text, first + 1, F.greatest(F.lit(0), last - first)))
+    # A substring ends with its text, wherever the window would.
+    return let(F.greatest(F.lit(0), start - radius), lambda first: collapse(
+        F.substring(text, first + 1, F.greatest(F.lit(0), end + radius - first))))
 
 
 def locate(text: Column, value: Column) -> Column:

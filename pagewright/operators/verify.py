@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import bind, collapse, let, once, unfold
-from ..functions.text import normalize_date, strip
+from ..functions.core import BLANK, bind, collapse, let, once, unfold
+from ..functions.text import normalize_date
 from .extract import RESULT_TYPE, effective
 
 ISSUE_TYPE = "struct<field_name:string,code:string,severity:string,message:string>"
@@ -23,17 +23,19 @@ MODEL_CODES = (
     "publish_date_deadline_confusion",
 )
 REPAIR_CONFIDENCE = 0.42
+#: Texts of at most three characters between blanks.
+THIN = rf"\A{BLANK}*+(?s:.{{0,3}}?){BLANK}*+\z"
 _NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
 
 
 def is_missing(value: Column) -> Column:
     """Null, blank, or an empty JSON list."""
-    return value.isNull() | strip(value).isin("", "[]")
+    return value.isNull() | value.rlike(rf"\A{BLANK}*+(?:\[\])?{BLANK}*+\z")
 
 
 def matches_type(value: Column, field_type: Column) -> Column:
     """Null never matches a known type; an unknown type matches anything."""
-    test = F.when(field_type.isin("string", "text"), collapse(value) != "") \
+    test = F.when(field_type.isin("string", "text"), ~value.rlike(rf"\A{BLANK}*+\z")) \
         .when(field_type == "date", value.rlike(r"^\d{4}-\d{2}-\d{2}$")) \
         .when(field_type == "number", value.rlike(_NUMBER)) \
         .when(field_type == "url", value.rlike("^https?://")) \
@@ -42,15 +44,19 @@ def matches_type(value: Column, field_type: Column) -> Column:
 
 
 def supports(evidence: Column, value: Column) -> Column:
-    """Does any evidence text contain the value, ignoring dashes, or name the same date?"""
-    wanted = collapse(value)
-    relaxed = F.replace(wanted, F.lit("-"))
+    """Does any evidence text contain the value, ignoring dashes, or name the same date?
 
-    def one(e):
-        return let(collapse(e["text"]), lambda t: t.contains(wanted)
-                   | F.replace(t, F.lit("-")).contains(relaxed) | (normalize_date(t) == wanted))
+    A value that stands in the text as it is needs no clean-up of either.
+    """
+    def close(w):
+        def one(e):
+            return let(collapse(e["text"]), lambda t: t.contains(w["wanted"])
+                       | F.replace(t, F.lit("-")).contains(w["relaxed"]) | (normalize_date(t) == w["wanted"]))
+        return (w["wanted"] != "") & F.exists(evidence, one)
 
-    return (wanted != "") & F.exists(evidence, one)
+    plain = ~value.rlike(rf"\A{BLANK}*+\z") & F.exists(evidence, lambda e: e["text"].contains(value))
+    return F.coalesce(plain, F.lit(False)) | let(let(collapse(value), lambda w: F.struct(
+        w.alias("wanted"), F.replace(w, F.lit("-")).alias("relaxed"))), close)
 
 
 def _issue(field, code, severity, message) -> Column:
@@ -60,13 +66,20 @@ def _issue(field, code, severity, message) -> Column:
 
 
 def _field_issues(field: Column, result: Column) -> Column:
+    absent = F.when(field["required"], F.array(_issue(
+        field["name"], "field_not_returned", "error", "Extraction gave no row for the field."))) \
+        .otherwise(F.array().cast(f"array<{ISSUE_TYPE}>"))
+    # The value and whether it is missing decide nearly every check: each is worked out once.
+    given = let(effective(result), lambda v: F.struct(v.alias("value"), is_missing(v).alias("missing")))
+    return F.when(result.isNull(), absent).otherwise(let(given, lambda g: _checks(field, result, g["value"], g["missing"])))
+
+
+def _checks(field: Column, result: Column, value: Column, missing: Column) -> Column:
     name, required = field["name"], F.coalesce(field["required"], F.lit(False))
-    value = effective(result)
-    missing = is_missing(value)
     weight = F.when(required, "error").otherwise("warning")
     failed = result["status"] == "fallback_failed"
     note = F.coalesce(result["error_message"], F.lit(""))
-    thin = F.forall(result["evidence"], lambda e: F.length(strip(e["text"])) < 4)
+    thin = F.forall(result["evidence"], lambda e: e["text"].rlike(THIN))
     floor = F.coalesce(F.try_element_at(
         F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), result["strategy"]), F.lit(0.0))
     first = F.when(failed, _issue(name, "llm_fallback_failed", weight, F.coalesce(
@@ -86,15 +99,13 @@ def _field_issues(field: Column, result: Column) -> Column:
                             F.when(missing, "error").otherwise("warning"), "Evidence is absent or too short.")),
         F.when(~missing & (result["confidence"] < floor), _issue(
             name, "low_confidence", "warning", "Confidence is lower than usual for this strategy.")))
-    absent = F.when(required, F.array(_issue(name, "field_not_returned", "error", "Extraction gave no row for the field."))) \
-        .otherwise(F.array().cast(f"array<{ISSUE_TYPE}>"))
     # An optional field without a value is not checked further.
-    some = F.when(required | ~missing, F.concat(F.array(first), rest)).otherwise(F.array(first))
-    return F.when(result.isNull(), absent).otherwise(F.array_compact(some))
+    return F.array_compact(F.when(required | ~missing, F.concat(F.array(first), rest)).otherwise(F.array(first)))
 
 
-def _named(results: Column, name: str) -> Column:
-    return F.get(F.filter(results, lambda r: r["field_name"] == name), F.lit(0))
+def _named(results: Column, name: str | Column) -> Column:
+    """The first result of that name, found among the names alone."""
+    return F.get(results, (F.array_position(results["field_name"], name) - 1).cast("int"))
 
 
 def _date_confusion(results: Column) -> Column:
@@ -115,8 +126,7 @@ def issues_of(fields: Column, results: Column) -> Column:
 
 def _issues(fields: Column, results: Column) -> Column:
     per_field = F.flatten(F.transform(fields, lambda f: let(
-        F.get(F.filter(results, lambda r: r["field_name"] == f["name"]), F.lit(0)),
-        lambda r: _field_issues(f, r))))
+        _named(results, f["name"]), lambda r: _field_issues(f, r))))
     return F.concat(per_field, F.array_compact(F.array(_date_confusion(results))))
 
 
@@ -159,7 +169,7 @@ def model_fields(fields: Column, results: Column, issues: Column) -> Column:
 
 def _model_fields(fields: Column, results: Column, issues: Column) -> Column:
     def decide(f):
-        result = F.get(F.filter(results, lambda r: r["field_name"] == f["name"]), F.lit(0))
+        result = _named(results, f["name"])
 
         def reason_for(r):
             trusted = (r["confidence"] >= 0.45) & (F.size(r["evidence"]) > 0)
