@@ -2,7 +2,8 @@
 
 A word's symbols stand in a row; leaf i of the tree holds the merge rank of symbol i and the next
 live one (with i in the low bits), so the root is the leftmost pair of lowest rank. A merge changes
-two leaves and kills one, each in logarithmic time, until the root says that no pair can merge.
+two leaves and kills one, each in logarithmic time, until the root says that no pair can merge. Nodes
+have ``FAN`` children, whose minimum is one call.
 
 Defined results: a null text is an empty text (no ids, empty decoded text); repeated rows are
 encoded each on its own; texts are encoded whole, also a word of any length; an empty table gives
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -25,34 +26,42 @@ from pyspark.sql import DataFrame
 from .common import arrow_stage
 
 NO_MERGE = 1 << 62
-#: Words kept per worker, and the longest that is kept. They bound memory only, not what is encoded.
-CACHE_WORDS = 300_000
+#: Pairs, or nodes, below one node of the tree.
+FAN = 32
+#: Words kept per worker (in each of two generations), and the longest that is kept. They bound memory only, not what is encoded.
+CACHE_WORDS = 200_000
 CACHE_CHARS = 48
 
 
 class PairTree:
-    """Minimum over (rank, position) of adjacent pairs with point updates."""
+    """Minimum over (rank, position) of adjacent pairs with point updates.
+
+    Each node stands for ``FAN`` of the level below, so a word of as many pairs has one level.
+    """
 
     def __init__(self, ranks: list[int]):
-        self.base = base = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.node = node = [NO_MERGE] * base + ranks + [NO_MERGE] * (base - len(ranks))
-        for i in range(base - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a < b else b
+        self.levels = levels = [ranks]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[i:i + FAN]) for i in range(0, len(below), FAN)])
+        self.top = levels[-1]
+        #: One level needs no more than its leaf set.
+        self.put = ranks.__setitem__ if len(levels) == 1 else self._put
 
     def root(self) -> int:
-        return self.node[1]
-
-    def put(self, at: int, rank: int) -> None:
-        node, i = self.node, at + self.base
-        node[i] = rank
-        while i > 1:
-            low, other = node[i], node[i ^ 1]
-            i >>= 1
-            low = low if low < other else other
-            if node[i] == low:
+        return min(self.top)
+
+    def _put(self, at: int, rank: int) -> None:
+        levels = self.levels
+        below = levels[0]
+        below[at] = rank
+        for level in levels[1:]:
+            at //= FAN
+            low = min(below[at * FAN:(at + 1) * FAN])
+            if level[at] == low:
                 break
-            node[i] = low
+            level[at] = low
+            below = level
 
 
 def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -65,9 +74,9 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     mask = (1 << shift) - 1
     tree = PairTree([NO_MERGE if (r := rank(pair)) is None else r << shift | i
                      for i, pair in enumerate(zip(symbols, symbols[1:]))])
-    node, put = tree.node, tree.put
+    top, put = tree.top, tree.put
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (low := node[1]) < NO_MERGE:
+    while (low := min(top)) < NO_MERGE:
         i = low & mask
         j = after[i]
         joined = symbols[i] = symbols[i] + symbols[j]
@@ -93,11 +102,35 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Known(dict):
+    """Ids of words met, worked out on first sight; words in use outlive those that are not.
+
+    A full generation becomes the old one, and words found there move on. Long words stay for one text.
+    """
+
+    def __init__(self, word: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.word, self.old, self.long = word, {}, {}
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        keep = self if len(w) <= CACHE_CHARS else self.long
+        ids = self.old.get(w) or self.long.get(w) or self.word(w)
+        keep[w] = ids
+        return ids
+
+    def settle(self) -> None:
+        """Between texts: bound what is held."""
+        self.long.clear()
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Bpe:
     """A vocabulary file: lower-cased words, byte symbols, a mark at word ends, merges by rank."""
 
-    #: How the tokenizer cuts words; a fixed value of its file.
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: How the tokenizer cuts words; a fixed value of its file. Letters come first here: no other form begins with one.
+    WORDS = regex.compile(r"\p{L}++|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]++")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -110,23 +143,15 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
+        self.numbers = {i: str(i) for i in self.tokens}
         self.bytes = _byte_symbols()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.word)
 
     def word(self, word: str) -> tuple[int, ...]:
         symbols = [self.bytes[b] for b in word.encode("utf-8", "replace")]
         symbols[-1] += self.end
         return tuple(self.ids[s] for s in merge(symbols, self.ranks))
 
-    def _known(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of all words of one text; frequent short ones stay for the next."""
-        cache, extra = self.cache, {}
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            (cache if len(w) <= CACHE_CHARS else extra)[w] = self.word(w)
-        return {**{w: cache[w] for w in set(words) if w in cache}, **extra} if extra else cache
-
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for piece in self.cut.split(text) if text else ():
@@ -135,8 +160,8 @@ class Bpe:
             elif piece:
                 # Lower case is taken character by character: no final sigma.
                 words = self.WORDS.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
-                known = self._known(words)
-                out.extend(chain.from_iterable(map(known.__getitem__, words)))
+                out.extend(chain.from_iterable(map(self.known.__getitem__, words)))
+        self.known.settle()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -155,7 +180,7 @@ def _digests(columns: list[pa.Array], path: str) -> Iterator[list]:
     for text in columns[1]:
         ids = model.encode(text.as_py())
         counts.append(len(ids))
-        ids_hash.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        ids_hash.append(hashlib.sha256(" ".join(map(model.numbers.__getitem__, ids)).encode()).hexdigest())
         text_hash.append(hashlib.sha256(model.decode(ids).encode("utf-8")).hexdigest())
     yield [columns[0], counts, ids_hash, text_hash]
 

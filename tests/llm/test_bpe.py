@@ -78,3 +78,31 @@ def test_real_texts(spark, folder, known):
 
 def test_empty_table(spark, docs):
     assert bpe.digests(docs([]), tokenizer()).collect() == []
+
+
+def test_tree_of_several_levels_equals_the_plain_minimum():
+    rng = random.Random(5)
+    for n in (1, 2, bpe.FAN, bpe.FAN + 1, bpe.FAN ** 2 + 3, 3000):
+        ranks = [rng.randrange(9999) for _ in range(n)]
+        tree, plain = bpe.PairTree(list(ranks)), list(ranks)
+        for _ in range(300):
+            at, rank = rng.randrange(n), rng.choice((rng.randrange(9999), bpe.NO_MERGE))
+            tree.put(at, rank)
+            plain[at] = rank
+            assert tree.root() == min(plain)
+
+
+def test_words_in_use_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    asked = []
+
+    def word(w):
+        asked.append(w)
+        return (len(w),)
+
+    known = bpe.Known(word)
+    for i in range(100):
+        for w in ("often", f"once{i}", "x" * (bpe.CACHE_CHARS + 1)):
+            assert known[w] == (len(w),)
+        known.settle()
+    assert asked.count("often") == 1 and len(known) + len(known.old) <= 24 and not known.long
