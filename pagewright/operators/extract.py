@@ -200,11 +200,15 @@ def run_rule(rule: Column, page: dict[str, Column], known: Sequence[tuple[str, b
     return branch.otherwise(_miss())
 
 
+def rules_by_field(fields: Column, rules: Column) -> Column:
+    """The enabled rules of every field, in the order of the fields."""
+    return F.transform(fields, lambda f: F.filter(rules, lambda r: (r["field_name"] == f["name"]) & r["enabled"]))
+
+
 def run_field(field: Column, position: Column, rules: Column, page: dict[str, Column],
               allow_model: bool, known: Sequence[tuple[str, bool]] = ()) -> Column:
-    """First successful rule of a field; later rules are not evaluated."""
-    own = F.filter(rules, lambda r: (r["field_name"] == field["name"]) & r["enabled"]
-                   & (F.lit(allow_model) | (r["strategy"] != "llm_fallback")))
+    """First successful one of a field's own rules; later rules are not evaluated."""
+    own = rules if allow_model else F.filter(rules, lambda r: r["strategy"] != "llm_fallback")
     start = F.struct(
         F.lit(None).cast(_HIT_TYPE).alias("hit"), F.lit(None).cast("string").alias("strategy"),
         F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("errors"))
@@ -254,13 +258,13 @@ def _results(views: tuple[str, ...], compiled: bool, allow_model: bool, patterns
     def run(fields, rules, walk, **view):
         found = label_hits(view["lines"], walk, walks) if "lines" in view else F.array().cast(HITS_TYPE)
         return let(found, lambda hits: F.transform(fields, lambda f, i: run_field(
-            f, i, rules, view | {"hits": hits}, allow_model, patterns)))
+            f, i, F.get(rules, i), view | {"hits": hits}, allow_model, patterns)))
 
     given = {v: F.col(v) for v in views}
     if compiled:
-        return bind(run, fields=F.col("fields"), rules=F.col("compiled"), walk=F.col("label_walk"), **given)
+        return bind(run, fields=F.col("fields"), rules=F.col("field_rules"), walk=F.col("label_walk"), **given)
     return let(compile_rules(F.col("rules")), lambda rules: bind(
-        run, fields=F.col("fields"), rules=rules, walk=program_walk(rules), **given))
+        run, fields=F.col("fields"), rules=rules_by_field(F.col("fields"), rules), walk=program_walk(rules), **given))
 
 
 def results_of(pages: DataFrame, allow_model: bool = False) -> Column:
@@ -288,7 +292,8 @@ KNOWN = "known"
 def _ready(programs: DataFrame, *on: str) -> tuple[DataFrame, dict, bool]:
     """Programs compiled, the patterns they hold (as far as they are few), and whether any rule reads elements."""
     ready = programs.select(*on, "fields", compile_rules(F.col("rules")).alias("compiled")) \
-        .withColumn("label_walk", program_walk(F.col("compiled")))
+        .withColumn("label_walk", program_walk(F.col("compiled"))) \
+        .withColumn("field_rules", rules_by_field(F.col("fields"), F.col("compiled")))
     each = ready.select(F.explode(F.concat(
         F.transform("compiled", lambda r: F.struct(
             F.when(r["enabled"] & (r["strategy"] == "regex_on_text"), r["pattern"]).alias("pattern"), r["has_group"].alias("grouped"),
@@ -350,9 +355,9 @@ def prepare(pages: DataFrame, programs: DataFrame, on: str = "schema_id", keep:
 def with_one_program(pages: DataFrame, program: DataFrame) -> DataFrame:
     """The same when all pages share one program: a scalar subquery, so there is no join at all."""
     ready, known, _ = _ready(program)
-    one = ready.select(F.struct("fields", "compiled", "label_walk").alias("p")).scalar()
-    return _marked(pages.withColumn("_p", one).withColumns(
-        {c: F.col(f"_p.{c}") for c in ("fields", "compiled", "label_walk")}).drop("_p"), known)
+    parts = ("fields", "compiled", "label_walk", "field_rules")
+    one = ready.select(F.struct(*parts).alias("p")).scalar()
+    return _marked(pages.withColumn("_p", one).withColumns({c: F.col(f"_p.{c}") for c in parts}).drop("_p"), known)
 
 
 def field_results(extracted: DataFrame, *keys: str) -> DataFrame:

@@ -41,3 +41,21 @@ def test_support(spark, texts, value, want):
     ("2024.12.31日", "2024-12-31"), ("0024年2月3", "0024-02-03"), ("x20240230", "2024-02-30"), ("20241332", "20241332"), ("", "")])
 def test_dates(spark, text, want):
     assert spark.range(1).select(normalize_date(F.lit(text))).first()[0] == want
+
+
+def test_blank_runs_collapse_as_before(spark):
+    from pagewright.functions import core
+    rows = [(x,) for x in ODD if x is not None] + [(f"a{x}b{y}",) for x in (" ", "  ", "\t", " \t", "\t ", "　 ", " ") for y in (" ", "\n\n", "   ")]
+    old = rf"[{core._WIDE}]{core.BLANK}*| {core.BLANK}+"
+    df = spark.createDataFrame(rows, "x string")
+    assert all(r.a == r.b for r in df.select(core.one_space(F.col("x")).alias("a"), F.regexp_replace("x", old, " ").alias("b")).collect())
+
+
+def test_rules_are_dealt_to_fields_once_a_program(spark):
+    fields, rules = specs._strings("b", "a"), F.array(*[specs._rule(n, "text_near_label", label=v) for n, v in (("a", "1"), ("b", "2"), ("a", "3"))])
+    fields = F.transform(fields, lambda n: F.struct(n.alias("name"), n.alias("description"), F.lit("text").alias("type"), F.lit(False).alias("required"),
+                                                    specs._strings().alias("aliases"), specs._strings().alias("examples")).cast(specs.FIELD_TYPE))
+    pages = spark.createDataFrame([(1, "s", ["1: x"], "1: x"), (2, None, [], "")], "page_id int, schema_id string, lines array<string>, text string")
+    got = extract.with_programs(pages, spark.range(1).select(F.lit("s").alias("schema_id"), fields.alias("fields"), rules.alias("rules")))
+    dealt = {r.page_id: r.field_rules for r in got.select("page_id", "field_rules").collect()}
+    assert [[r.labels for r in own] for own in dealt[1]] == [[["2"]], [["1"], ["3"]]] and dealt[2] is None
