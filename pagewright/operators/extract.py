@@ -205,38 +205,62 @@ def rules_by_field(fields: Column, rules: Column) -> Column:
     return F.transform(fields, lambda f: F.filter(rules, lambda r: (r["field_name"] == f["name"]) & r["enabled"]))
 
 
+def _untried() -> Column:
+    return F.struct(
+        F.lit(None).cast(_HIT_TYPE).alias("hit"), F.lit(None).cast("string").alias("strategy"),
+        F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("errors"))
+
+
+def _tried(state: Column, rule: Column, h: Column) -> Column:
+    return F.struct(
+        F.when(present(h["value"]), h).alias("hit"), rule["strategy"].alias("strategy"),
+        rule["postprocess"].alias("steps"),
+        F.concat(state["errors"], F.array_compact(F.array(h["error"]))).alias("errors"))
+
+
+def _result(field: Column, position: Column, s: Column) -> Column:
+    value = postprocess(s["hit"]["value"], s["steps"])
+    found = let(value, lambda v: F.struct(
+        position.cast("int").alias("field_pos"), field["name"].alias("field_name"),
+        s["hit"]["value"].alias("value"), v.alias("normalized_value"),
+        confidence(s["strategy"], v, s["hit"]["evidence"]["score"]).alias("confidence"),
+        F.array_compact(F.array(s["hit"]["evidence"])).alias("evidence"),
+        s["strategy"].alias("strategy"), F.lit("extracted").alias("status"),
+        F.lit(None).cast("string").alias("error_message")).cast(RESULT_TYPE))
+    missing = F.struct(
+        position.cast("int").alias("field_pos"), field["name"].alias("field_name"),
+        F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("normalized_value"),
+        F.lit(0.0).alias("confidence"), F.array().cast(f"array<{EVIDENCE_TYPE}>").alias("evidence"),
+        F.lit("none").alias("strategy"), F.lit("missing").alias("status"),
+        F.nullif(F.array_join(s["errors"], "; "), F.lit("")).alias("error_message")).cast(RESULT_TYPE)
+    return F.when(s["hit"].isNotNull(), found).otherwise(missing)
+
+
 def run_field(field: Column, position: Column, rules: Column, page: dict[str, Column],
               allow_model: bool, known: Sequence[tuple[str, bool]] = ()) -> Column:
     """First successful one of a field's own rules; later rules are not evaluated."""
     own = rules if allow_model else F.filter(rules, lambda r: r["strategy"] != "llm_fallback")
-    start = F.struct(
-        F.lit(None).cast(_HIT_TYPE).alias("hit"), F.lit(None).cast("string").alias("strategy"),
-        F.array().cast("array<string>").alias("steps"), F.array().cast("array<string>").alias("errors"))
 
     def step(state, rule):
-        return F.when(state["hit"].isNotNull(), state).otherwise(let(run_rule(rule, page, known), lambda h: F.struct(
-            F.when(present(h["value"]), h).alias("hit"), rule["strategy"].alias("strategy"),
-            rule["postprocess"].alias("steps"),
-            F.concat(state["errors"], F.array_compact(F.array(h["error"]))).alias("errors"))))
-
-    def result(s):
-        value = postprocess(s["hit"]["value"], s["steps"])
-        found = let(value, lambda v: F.struct(
-            position.cast("int").alias("field_pos"), field["name"].alias("field_name"),
-            s["hit"]["value"].alias("value"), v.alias("normalized_value"),
-            confidence(s["strategy"], v, s["hit"]["evidence"]["score"]).alias("confidence"),
-            F.array_compact(F.array(s["hit"]["evidence"])).alias("evidence"),
-            s["strategy"].alias("strategy"), F.lit("extracted").alias("status"),
-            F.lit(None).cast("string").alias("error_message")).cast(RESULT_TYPE))
-        missing = F.struct(
-            position.cast("int").alias("field_pos"), field["name"].alias("field_name"),
-            F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("normalized_value"),
-            F.lit(0.0).alias("confidence"), F.array().cast(f"array<{EVIDENCE_TYPE}>").alias("evidence"),
-            F.lit("none").alias("strategy"), F.lit("missing").alias("status"),
-            F.nullif(F.array_join(s["errors"], "; "), F.lit("")).alias("error_message")).cast(RESULT_TYPE)
-        return F.when(s["hit"].isNotNull(), found).otherwise(missing)
-
-    return let(F.aggregate(own, start, step), result)
+        return F.when(state["hit"].isNotNull(), state).otherwise(
+            let(run_rule(rule, page, known), lambda h: _tried(state, rule, h)))
+
+    return let(F.aggregate(own, _untried(), step), lambda s: _result(field, position, s))
+
+
+def run_field_twice(field: Column, position: Column, rules: Column, page: dict[str, Column],
+                    known: Sequence[tuple[str, bool]] = ()) -> Column:
+    """STRUCT<plain, model>: what ``run_field`` gives without and with the model; a rule runs once for both."""
+    def step(state, rule):
+        plain = state["plain"]["hit"].isNull() & (rule["strategy"] != "llm_fallback")
+        model = state["model"]["hit"].isNull()
+        return F.when(~(plain | model), state).otherwise(let(run_rule(rule, page, known), lambda h: F.struct(
+            F.when(plain, _tried(state["plain"], rule, h)).otherwise(state["plain"]).alias("plain"),
+            F.when(model, _tried(state["model"], rule, h)).otherwise(state["model"]).alias("model"))))
+
+    start = F.struct(_untried().alias("plain"), _untried().alias("model"))
+    return let(F.aggregate(rules, start, step), lambda s: F.struct(
+        _result(field, position, s["plain"]).alias("plain"), _result(field, position, s["model"]).alias("model")))
 
 
 def overall_confidence(results: Column) -> Column:
@@ -253,10 +277,14 @@ _VIEWS = ("text", "lines", "nodes", "tokens", "answers")
 
 
 @once
-def _results(views: tuple[str, ...], compiled: bool, allow_model: bool, patterns: tuple[tuple[str, bool], ...],
+def _results(views: tuple[str, ...], compiled: bool, allow_model: bool | None, patterns: tuple[tuple[str, bool], ...],
              walks: tuple[str, ...]) -> Column:
     def run(fields, rules, walk, **view):
         found = label_hits(view["lines"], walk, walks) if "lines" in view else F.array().cast(HITS_TYPE)
+        if allow_model is None:
+            pairs = let(found, lambda hits: F.transform(fields, lambda f, i: run_field_twice(
+                f, i, F.get(rules, i), view | {"hits": hits}, patterns)))
+            return let(pairs, lambda p: F.struct(p["plain"].alias("plain"), p["model"].alias("model")))
         return let(found, lambda hits: F.transform(fields, lambda f, i: run_field(
             f, i, F.get(rules, i), view | {"hits": hits}, allow_model, patterns)))
 
@@ -267,8 +295,11 @@ def _results(views: tuple[str, ...], compiled: bool, allow_model: bool, patterns
         run, fields=F.col("fields"), rules=rules_by_field(F.col("fields"), rules), walk=program_walk(rules), **given))
 
 
-def results_of(pages: DataFrame, allow_model: bool = False) -> Column:
-    """``results`` for pages holding fields, rules (or compiled rules) and the views rules need."""
+def results_of(pages: DataFrame, allow_model: bool | None = False) -> Column:
+    """``results`` for pages holding fields, rules (or compiled rules) and the views rules need.
+
+    Without a choice (None): STRUCT<plain, model>, both results from one run of the rules.
+    """
     views = tuple(n for n in _VIEWS if n in pages.columns)
     compiled = "compiled" in pages.columns
     known = pages.schema["compiled"].metadata.get(KNOWN, {}) if compiled else {}
@@ -276,11 +307,16 @@ def results_of(pages: DataFrame, allow_model: bool = False) -> Column:
                     tuple(known.get("walks", ())))
 
 
-def extract_fields(pages: DataFrame, allow_model: bool = False) -> DataFrame:
+def extract_fields(pages: DataFrame, allow_model: bool = False, with_model: str | None = None) -> DataFrame:
     """Add ``results`` (one struct per schema field) and ``overall_confidence``.
 
-    Needs text, lines, fields and rules; nodes and tokens for DOM rules; answers for the model.
+    Needs text, lines, fields and rules; nodes and tokens for DOM rules; answers for the model. ``with_model``
+    names a column for what the same rules give when the model may be asked; ``results`` are then without it.
     """
+    if with_model is not None:
+        both = pages.withColumn("_both", results_of(pages, None))
+        return both.withColumns({"results": F.col("_both.plain"), with_model: F.col("_both.model")}).drop("_both") \
+            .withColumn("overall_confidence", overall_confidence(F.col("results")))
     return pages.withColumn("results", results_of(pages, allow_model)) \
         .withColumn("overall_confidence", overall_confidence(F.col("results")))
 

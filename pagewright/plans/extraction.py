@@ -46,6 +46,24 @@ def program_table(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit("page").alias("schema_id"), fields.alias("fields"), rules.alias("rules"))
 
 
+def seen(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with their lines and title, worked out once for everything that asks for them."""
+    return durable(pages(spark, folder).select("page_id", "url", "html", tx.lines_of("html").alias("lines"),
+                                               tx.title_of("html").alias("title")))
+
+
+def answered(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Seen pages with the model's answers, tree and program on one row; trees are made behind the join and never move.
+
+    The join keeps as many parts as there were: what follows costs far more than the bytes that are joined tell.
+    """
+    parts = rows.rdd.getNumPartitions()
+    asked = rows.repartition(parts, "page_id").join(ans.answer_arrays(anchored(rows)), "page_id", "left").withColumn(
+        "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>")))
+    trees_ = dom.page_trees(asked, ("page_id", "url", "lines", "title", "answers"))
+    return extract.with_one_program(trees_.withColumn("text", tx.join_lines(F.col("lines"))), program_table(spark))
+
+
 def ready(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with views, tree and program on one row."""
     rows = dom.page_trees(pages(spark, folder), ("page_id", "url", "html"))
@@ -202,8 +220,13 @@ _ANSWER = r"""CASE page_id%4 WHEN 0 THEN '```json
 _WORD = r"regexp_extract(title,'^([A-Za-zÀ-ÿ]+)',1)"
 
 
-def responses(spark, folder) -> DataFrame:
-    rows = viewed(spark, folder).select("page_id", tx.title_of("html").alias("title"), "text")
+def titled(spark, folder) -> DataFrame:
+    return pages(spark, folder).select("page_id", tx.title_of("html").alias("title"), tx.lines_of("html").alias("lines"))
+
+
+def responses(pages: DataFrame) -> DataFrame:
+    """Answers for pages with title and lines."""
+    rows = pages.select("page_id", "title", tx.join_lines(F.col("lines")).alias("text"))
     word = F.regexp_extract("title", "^([A-Za-zÀ-ÿ]+)", 1)
     good = F.concat(F.lit('```json\n{"value":"'), word, F.lit('","evidence_text":"'),
                     F.replace("title", F.lit('"'), F.lit("")), F.lit('","confidence":0.7}\n```'))
@@ -213,8 +236,8 @@ def responses(spark, folder) -> DataFrame:
     return rows.withColumn("field_name", F.lit("phrase")).withColumn("content", content)
 
 
-def anchored(spark, folder) -> DataFrame:
-    rows = responses(spark, folder)
+def anchored(pages: DataFrame) -> DataFrame:
+    rows = responses(pages)
     a = ans.anchor(F.col("content"), F.col("text"), F.lit("text"))
     return rows.withColumn("a", a).select(
         "page_id", "field_name", F.col("a.value").alias("value"), F.col("a.evidence").alias("evidence"),
@@ -234,7 +257,7 @@ ans AS (SELECT page_id, CASE page_id%4 WHEN 0 THEN nullif(word,'') WHEN 3 THEN '
 @query(f"""WITH {sql.TEXT}, {_ANCHORED} SELECT page_id, value, error, ev AS evidence, s AS start_char,
   s+length(ev) AS end_char, score FROM ans""")
 def anchored_answers(spark, folder):
-    return anchored(spark, folder).select(
+    return anchored(titled(spark, folder)).select(
         "page_id", "value", "error", F.col("evidence.text").alias("evidence"),
         F.col("evidence.start_char").cast("bigint").alias("start_char"),
         F.col("evidence.end_char").cast("bigint").alias("end_char"), F.col("evidence.score").alias("score"))
@@ -246,7 +269,7 @@ def anchored_answers(spark, folder):
   CASE WHEN page_id%4=0 AND word<>'' AND strpos(txt,quote)>0 THEN word END AS value FROM ans0""")
 def strict_answers(spark, folder):
     field = page_program()[0][3]
-    rows = responses(spark, folder).withColumn("s", ans.anchor_strict(F.col("content"), F.col("text"), field))
+    rows = responses(titled(spark, folder)).withColumn("s", ans.anchor_strict(F.col("content"), F.col("text"), field))
     return rows.select("page_id", F.col("s.problem").alias("problem"), F.col("s.value").alias("value"))
 
 
@@ -266,10 +289,8 @@ def open_record_answers(spark, folder):
 
 
 def repaired(spark, folder) -> DataFrame:
-    decided = verify.decide_fallback(verified(spark, folder))
-    joined = decided.join(ans.answer_arrays(anchored(spark, folder)), "page_id", "left").withColumn(
-        "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>")))
-    return verify.repair(joined)
+    found = extract.extract_fields(answered(spark, seen(spark, folder)))
+    return verify.repair(verify.decide_fallback(verify.verify(found)))
 
 
 # Results after repair: flagged fields take the answer, keep their value on an error or an abstention.
@@ -399,11 +420,10 @@ def selector_outcomes(spark, folder):
 
 # -- scoring ---------------------------------------------------------------------------------
 
-def gold(spark, folder) -> DataFrame:
+def gold(pages: DataFrame) -> DataFrame:
     """Labels the pages carry themselves: title element, URL language, URL host, first title word."""
-    title = tx.title_of("html")
-    rows = pages(spark, folder).select(
-        "page_id", title.alias("title"), F.regexp_extract("url", "^https?://[^/]*/([a-z][a-z])/", 1).alias("language"),
+    rows = pages.select(
+        "page_id", "title", F.regexp_extract("url", "^https?://[^/]*/([a-z][a-z])/", 1).alias("language"),
         web.host(F.col("url")).alias("publisher"))
     word = F.regexp_extract("title", "^([A-Za-zÀ-ÿ]+)", 1)
     return rows.select("page_id", F.create_map(
@@ -422,16 +442,15 @@ def open_answer() -> Column:
         .when(F.col("page_id") % 4 == 2, other).otherwise('{"record":{}}')
 
 
-def benchmark_runs(spark, folder) -> DataFrame:
-    """Five methods over the same pages, with the cost of each run; answers never see the gold labels."""
-    base = ready(spark, folder).join(ans.answer_arrays(anchored(spark, folder)), "page_id", "left").withColumn(
-        "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>"))).withColumn("_open", open_answer())
+def benchmark_runs(spark, pages: DataFrame) -> DataFrame:
+    """Five methods over the same seen pages, with the cost of each run; answers never see the gold labels."""
+    base = answered(spark, pages).withColumn("_open", open_answer())
 
-    # All methods run on the row of their page: the page is read, decoded and parsed once.
+    # All methods run on the row of their page: the page is read, decoded and parsed once, and its rules run once.
     # Without a model the rules alone and the full method start from the same results.
-    ruled = extract.extract_fields(base).withColumn("_plain", F.col("results"))
+    ruled = extract.extract_fields(base, with_model="_hybrid").withColumn("_plain", F.col("results"))
     full = verify.repair(verify.decide_fallback(verify.verify(ruled)))
-    rows = full.withColumns({"_hybrid": extract.results_of(base, allow_model=True), "_model": extract.model_only(),
+    rows = full.withColumns({"_model": extract.model_only(),
                              "_direct": evaluate.direct_results(ans.open_record(F.col("_open"))),
                              "_broken": ans.content_error(F.col("_open"))})
     none = F.slice("repair_outcomes", 1, 0)
@@ -456,7 +475,8 @@ def benchmark_runs(spark, folder) -> DataFrame:
 
 
 def benchmark_records(spark, folder) -> DataFrame:
-    return evaluate.to_records(benchmark_runs(spark, folder), gold(spark, folder))
+    rows = seen(spark, folder)
+    return evaluate.to_records(benchmark_runs(spark, rows), gold(rows))
 
 
 _SCORES = f"""{_REPAIRED}, after AS ({_AFTER} FROM fixed),
@@ -556,9 +576,9 @@ def open_record_alignment(spark, folder):
     return out.select("page_id", "field_name", "key", "score", value.alias("value"))
 
 
-def marked_spans(spark, folder) -> DataFrame:
+def marked_spans(pages: DataFrame) -> DataFrame:
     """Spans an annotator might have marked: whole, shifted, cut or missing, by page."""
-    rows = viewed(spark, folder).select("page_id", "text", web.host(F.col("url")).alias("host"), tx.title_of("html").alias("title"))
+    rows = pages.select("page_id", tx.join_lines(F.col("lines")).alias("text"), web.host(F.col("url")).alias("host"), "title")
     at, size, kind = tx.locate(F.col("text"), F.col("host")), F.length("host"), F.col("page_id") % 5
     host = F.struct(F.lit("publisher").alias("field_name"), (at + F.when(kind == 1, size - 2).when(kind == 2, -3).otherwise(0)).alias("start_char"),
                     (at + F.when(kind == 1, size + 40).when(kind == 2, 4).otherwise(size)).alias("end_char"))
@@ -585,9 +605,10 @@ shown AS (SELECT method, id, count(*) FILTER (coalesce(val,'')<>'' AND ev IS NOT
     sum(marked)::BIGINT AS fields_marked FROM one GROUP BY 1""")
 def evidence_precision(spark, folder):
     """Evidence against independently marked spans, which it may meet in part."""
-    runs = durable(benchmark_runs(spark, folder))
-    marks = marked_spans(spark, folder)
-    records = evaluate.to_records(alignment.annotate(runs, evaluate.evidence_spans(runs), marks, "page_id"), gold(spark, folder))
+    rows = seen(spark, folder)
+    runs = durable(benchmark_runs(spark, rows))
+    marks = marked_spans(rows)
+    records = evaluate.to_records(alignment.annotate(runs, evaluate.evidence_spans(runs), marks, "page_id"), gold(rows))
     told = records.groupBy("method").agg(
         F.sum(F.coalesce(F.size(F.map_filter("annotations", lambda _, v: v)), F.lit(0))).alias("fields_met"),
         F.sum(F.coalesce(F.size("annotations"), F.lit(0))).alias("fields_marked"))
