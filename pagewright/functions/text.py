@@ -17,10 +17,11 @@ BREAK, EDGE = "\u0001", "\u0002"
 HIDDEN = ("script", "style", "noscript", "template")
 LINE_ENDERS = "p|div|li|tr|h1|h2|h3|br"
 
-_HIDDEN_RE = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in HIDDEN)
+# The opening sign stands in front of all alternatives: they are tried only where it is.
+_HIDDEN_RE = "|".join(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in HIDDEN)
 # One scan decides whether a comment opens first or a hidden element does.
-_DROP_RE = rf"(?is)(<!--.*?-->)|{_HIDDEN_RE}|<[!?][^>]*>"
-_ENDER_RE = rf"(?i)</(?:{LINE_ENDERS})(?:[\s/][^>]*)?>|<(?:{LINE_ENDERS})(?:\s[^>]*)?/>"
+_DROP_RE = rf"(?is)<(?:!--.*?-->|{_HIDDEN_RE}|[!?][^>]*>)"
+_ENDER_RE = rf"(?i)<(?:/(?:{LINE_ENDERS})(?:[\s/][^>]*)?>|(?:{LINE_ENDERS})(?:\s[^>]*)?/>)"
 _QUOTED_TAG_RE = r"""</?[A-Za-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
 _TAG_RE = r"</?[A-Za-z][^>]*>"
 

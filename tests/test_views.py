@@ -1,5 +1,7 @@
 """Work that several methods share is done once a page."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,16 @@ def test_a_page_is_viewed_once(spark, folder, monkeypatch, name):
     out = getattr(plans, name)(spark, folder)
     plans_.append(out._jdf.queryExecution().optimizedPlan().toString())
     assert len(plans_) > 1 and "noscript" in plans_[0] and not any("noscript" in p for p in plans_[1:])
+
+
+def test_alternatives_of_a_tag_are_tried_at_its_sign_alone(spark):
+    hidden = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in tx.HIDDEN)
+    pairs = ((rf"(?is)(<!--.*?-->)|{hidden}|<[!?][^>]*>", tx._DROP_RE),
+             (rf"(?i)</(?:{tx.LINE_ENDERS})(?:[\s/][^>]*)?>|<(?:{tx.LINE_ENDERS})(?:\s[^>]*)?/>", tx._ENDER_RE))
+    rng, parts = random.Random(3), ["<", "</", ">", "/>", "!", "!--", "-->", "?", "script", "STYLE", "noscript", "template", "p", "h1", "h12", "br", " ", "\n", "x", "é", "="]
+    soup = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in soup], "x string")
+    for old, new in pairs:
+        assert new.startswith(old[:old.index(")") + 1] + "<(?:")
+        got = df.select(F.regexp_replace("x", old, "~").alias("a"), F.regexp_replace("x", new, "~").alias("b")).collect()
+        assert all(r.a == r.b for r in got) and any("~" in r.a for r in got)
