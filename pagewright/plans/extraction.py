@@ -55,10 +55,12 @@ def seen(spark: SparkSession, folder: str) -> DataFrame:
 def answered(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Seen pages with the model's answers, tree and program on one row; trees are made behind the join and never move.
 
-    The join keeps as many parts as there were: what follows costs far more than the bytes that are joined tell.
+    The join has as many parts as there were, which takes both sides dealt so: what follows costs far more than
+    the bytes that are joined tell.
     """
     parts = rows.rdd.getNumPartitions()
-    asked = rows.repartition(parts, "page_id").join(ans.answer_arrays(anchored(rows)), "page_id", "left").withColumn(
+    answers = ans.answer_arrays(anchored(rows)).repartition(parts, "page_id")
+    asked = rows.repartition(parts, "page_id").join(answers, "page_id", "left").withColumn(
         "answers", F.coalesce("answers", F.array().cast(f"array<{extract.ANSWER_TYPE}>")))
     trees_ = dom.page_trees(asked, ("page_id", "url", "lines", "title", "answers"))
     return extract.with_one_program(trees_.withColumn("text", tx.join_lines(F.col("lines"))), program_table(spark))

@@ -59,3 +59,10 @@ def test_alternatives_of_a_tag_are_tried_at_its_sign_alone(spark):
         assert new.startswith(old[:old.index(")") + 1] + "<(?:")
         got = df.select(F.regexp_replace("x", old, "~").alias("a"), F.regexp_replace("x", new, "~").alias("b")).collect()
         assert all(r.a == r.b for r in got) and any("~" in r.a for r in got)
+
+
+def test_the_join_of_answers_has_as_many_parts_as_the_pages(spark, folder):
+    """Shuffle partitions are a setting for bytes; trees and rules behind this join are paid by the page."""
+    rows = session.durable(plans.titled(spark, folder).withColumns({"url": F.lit("u"), "html": F.lit("")}).repartition(13))
+    got = plans.answered(spark, rows).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r.p for r in got) >= 8 and sum(r["count"] for r in got) == rows.count()
