@@ -1,10 +1,12 @@
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import body, dom, intent, noise, quality, selectors, signature, specs, views
+from pagewright.plans import all_oracles, all_queries
 
 
 def trees(spark, *sources):
@@ -336,3 +338,16 @@ def test_focus_markup(spark):
     start = time.monotonic()
     deep = markup("<div>" * 20_000 + "<p>deep", 1 << 20)
     assert deep.count("</div>") == 20_000 and deep.endswith("</html>") and time.monotonic() - start < 60
+
+
+def test_path_of_every_block_is_tried(spark, tmp_path):
+    """A page of more blocks than a table of blocks shows; the paragraphs are those of the SQL twin."""
+    many = "".join(f"<p>Text {i} of {i % 7}.</p>" for i in range(450))
+    page = f"<html><head><title>T</title></head><body><nav><ul><li><a href='/a'>a</a></li><li><a href='/b'>b</a></li></ul></nav><article><h1>T</h1>{many}</article></body></html>"
+    spark.createDataFrame([(1, "http://a.b/c", page), (2, "http://a.b/d", page.replace(many, "<p>One.</p><p>Two.</p>"))],
+                          "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(all_oracles()["block_path_roundtrip"]).fetchall()
+    got = all_queries()["block_path_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 452
