@@ -10,10 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_texts import ODD
 
 from pagewright.llm import ppm
+from pagewright.llm.queries import QUERIES
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -231,3 +233,67 @@ def test_shuffles_less_than_five_times_the_texts(spark, tmp_path):
             if '"SparkListenerTaskEnd"' in line:
                 moved += (json.loads(line).get("Task Metrics") or {})["Shuffle Write Metrics"]["Shuffle Bytes Written"]
     assert 0 < moved < 5 * texts
+
+
+def stream(text):
+    return b"".join(b" " + w for w in words(text)[:-1]) + b" \n"
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK_BYTES": 90, "MAX_NODES": 200, "FREQUENT": 5}])
+def test_contexts_reach_over_words(docs, monkeypatch, bounds):
+    """Texts against the dictionary version with contexts as far back as the text goes, in one block and in many."""
+    monkeypatch.setattr(sys.modules[__name__], "coded", lambda text: text)
+    for name, value in bounds.items():
+        monkeypatch.setattr(ppm, name, value)
+    rows = ODD + [(i, f"a bc some more words {i} to  learn\n from, to be or th{i % 7}ngs and ot{i % 5}er words éé{i}") for i in range(30, 60)]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
+    kinds = [0 if i is None or i % 2 else 1 for i, _ in rows]
+    tries = [Plain(Counter(stream(t) for (i, t), k in zip(rows, kinds) if k == kind and not held[i])) for kind in (0, 1)]
+    want = []
+    for i, t in rows:
+        sums = [trie.log(stream(t)) - math.log10(2) for trie in tries]
+        want.append((str(i), max(sums) + math.log10(sum(10 ** (s - max(sums)) for s in sums))))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in ppm.scores(docs(rows), across=True).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(want)], rel=1e-9)
+
+
+def test_the_query_tells_the_order_of_words(docs, spark, tmp_path):
+    rows = [(i, "common wa1 qb2 other words in their usual order") for i in range(40)] + [
+        (i, "order usual their in words other qb2 wa1 common") for i in range(40, 90) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op7_ppm"](spark, str(tmp_path)).collect()}
+    usual, turned = [r["score"] for i, r in got.items() if i < 40], [r["score"] for i, r in got.items() if i >= 40]
+    assert turned and max(turned) < min(usual) - 1
+    assert max(r["base_score"] for r in got.values()) - min(r["base_score"] for r in got.values()) < 1e-9
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_pieces_of_texts(monkeypatch, across):
+    """Keys and sums of texts that pieces cut anywhere."""
+    rng = random.Random(5)
+    texts = [stream("".join(rng.choice("ab  é\n") for _ in range(rng.randrange(0, 90)))) for _ in range(30)]
+    texts = pa.array(texts, pa.binary())
+    want = [np.concatenate([w[w != ppm.NO_CODE] for w, _ in ppm._windows(texts[i:i + 1], across)]) for i in range(len(texts))]
+    seen = np.unique(np.concatenate(want))
+    keys = np.sort(ppm._keys(seen))
+    n, rest = np.random.default_rng(1).integers(1, 9, (2, len(keys))), np.random.default_rng(2).integers(-40, 0, (2, len(keys))) / 8
+    parts = list(ppm._by_bucket(keys, 3))
+    answers = pa.table({"bucket": [b for b, _ in parts], "logs": [
+        [ppm._squeezed(x) for x in (ppm._steps(keys[at]), *(x for k in (0, 1) for x in (n[k, at], *np.unique(rest[k, at], return_inverse=True))))]
+        for _, at in parts]})
+    monkeypatch.setattr(ppm, "PIECE_BITS", 5)
+    pieces = list(ppm._windows(texts, across))
+    assert len(pieces) > 9
+    for i, window in enumerate(want):
+        assert np.array_equal(window, np.concatenate([w[(np.repeat(*held) == i) & (w != ppm.NO_CODE)] for w, held in pieces]))
+    assert np.array_equal(ppm._tally(texts, across), np.unique(np.concatenate(want), return_counts=True))
+    value = np.log10(n) + rest
+    sums = ppm._text_sums(texts, answers, 2, across)
+    assert np.allclose(sums, [value[:, np.searchsorted(keys, ppm._keys(w))].sum(axis=1) for w in want], rtol=1e-12)
+
+
+def test_texts_that_did_not_ask_are_an_error():
+    answers = pa.table({"bucket": pa.array([], pa.int32()), "logs": pa.array([], pa.list_(pa.binary()))})
+    with pytest.raises(RuntimeError, match="not those that asked"):
+        ppm._text_sums(pa.array([b" a \n"], pa.binary()), answers, 1, True)
