@@ -152,8 +152,11 @@ _ISO = r"\A\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\z"
 
 def normalize_date(value: Column) -> Column:
     """First year-month-day in the text as ISO; anything else comes back collapsed."""
-    text = collapse(value)
+    return F.when(value.rlike(_ISO), value).otherwise(let(collapse(value), date_of))
 
+
+def date_of(text: Column) -> Column:
+    """The same of a text that is collapsed already."""
     def iso(t, pattern):
         parts = F.struct(*[F.lpad(F.regexp_extract(t, pattern, i), n, "0").alias(k) for i, k, n in (
             (1, "y", 4), (2, "m", 2), (3, "d", 2))])
@@ -161,8 +164,7 @@ def normalize_date(value: Column) -> Column:
         return let(parts, lambda p: F.when(p["m"].between("01", "12") & p["d"].between("01", "31"), F.concat_ws(
             "-", p["y"], p["m"], p["d"])).otherwise(t))
 
-    return let(text, lambda t: F.when(t.rlike(_ISO), t).when(t.rlike(_YMD), iso(t, _YMD))
-               .when(t.rlike(_DIGITS), iso(t, _DIGITS)).otherwise(t))
+    return F.when(text.rlike(_ISO), text).when(text.rlike(_YMD), iso(text, _YMD)).when(text.rlike(_DIGITS), iso(text, _DIGITS)).otherwise(text)
 
 
 def snippet(text: Column, start: Column, end: Column, radius: int = 60) -> Column:

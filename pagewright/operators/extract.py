@@ -215,7 +215,7 @@ def _tried(state: Column, rule: Column, h: Column) -> Column:
     return F.struct(
         F.when(present(h["value"]), h).alias("hit"), rule["strategy"].alias("strategy"),
         rule["postprocess"].alias("steps"),
-        F.concat(state["errors"], F.array_compact(F.array(h["error"]))).alias("errors"))
+        F.when(h["error"].isNull(), state["errors"]).otherwise(F.concat(state["errors"], F.array(h["error"]))).alias("errors"))
 
 
 def _result(field: Column, position: Column, s: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import BLANK, bind, collapse, let, once, unfold
-from ..functions.text import normalize_date
+from ..functions.text import date_of, normalize_date
 from .extract import RESULT_TYPE, effective
 
 ISSUE_TYPE = "struct<field_name:string,code:string,severity:string,message:string>"
@@ -51,7 +51,7 @@ def supports(evidence: Column, value: Column) -> Column:
     def close(w):
         def one(e):
             return let(collapse(e["text"]), lambda t: t.contains(w["wanted"])
-                       | F.replace(t, F.lit("-")).contains(w["relaxed"]) | (normalize_date(t) == w["wanted"]))
+                       | F.replace(t, F.lit("-")).contains(w["relaxed"]) | (date_of(t) == w["wanted"]))
         return (w["wanted"] != "") & F.exists(evidence, one)
 
     plain = ~value.rlike(rf"\A{BLANK}*+\z") & F.exists(evidence, lambda e: e["text"].contains(value))
@@ -86,7 +86,7 @@ def _checks(field: Column, result: Column, value: Column, missing: Column) -> Co
         F.nullif(note, F.lit("")), F.lit("The model gave an error.")))) \
         .when(note != "", _issue(name, "program_execution_failed",
                                  F.when(required & missing, "error").otherwise("warning"), note))
-    rest = F.array(
+    rest = (
         F.when(missing, _issue(name, "required_field_missing", "error", "A required field has no value.")),
         F.when(~missing & ~matches_type(value, field["type"]), _issue(
             name, "field_type_mismatch", weight,
@@ -100,7 +100,7 @@ def _checks(field: Column, result: Column, value: Column, missing: Column) -> Co
         F.when(~missing & (result["confidence"] < floor), _issue(
             name, "low_confidence", "warning", "Confidence is lower than usual for this strategy.")))
     # An optional field without a value is not checked further.
-    return F.array_compact(F.when(required | ~missing, F.concat(F.array(first), rest)).otherwise(F.array(first)))
+    return F.array_compact(F.when(required | ~missing, F.array(first, *rest)).otherwise(F.array(first)))
 
 
 def _named(results: Column, name: str | Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions.core import unfold
+from pagewright.functions.core import let, unfold
 from pagewright.operators import extract, labels, patterns, specs
 from pagewright.plans import all_queries
 
@@ -107,3 +107,13 @@ def test_unfolding_works_an_array_out_once(spark):
     out = unfold(df, ["k"], F.transform("a", lambda x: x + 1), "v", "at")
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 0, 4), (1, 1, 5), (4, 0, None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
+def test_a_bound_value_is_worked_out_once_and_not_copied(spark):
+    """An array around each bound value and a copy of each result were a fifth of the time of the notice queries."""
+    twice = let(F.rand(3), lambda x: F.struct(x.alias("a"), x.alias("b"), let(x + 1, lambda y: y - x).alias("c")))
+    rows = spark.range(50).select(twice.alias("t"), let(F.lit(None).cast("string"), lambda x: F.coalesce(x, F.lit("none"))).alias("n"))
+    got = rows.collect()
+    assert all(r.t.a == r.t.b and abs(r.t.c - 1) < 1e-9 and r.n == "none" for r in got) and len({r.t.a for r in got}) > 40
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(" not in plan and plan.count("rand(3)") == 1
